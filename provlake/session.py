@@ -21,3 +21,23 @@ def local_session(name: str = "provlake", cores: str = "*", shuffle: int = 8) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; columns are pruned by whoever selects from it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package where their PYTHONPATH lacks it; once for each context."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    there = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context = spark.sparkContext
+    if str(top) in there or getattr(context, "_provlake_shipped", False):
+        return
+    made = os.path.join(tempfile.mkdtemp(prefix="provlake-ship-"), "provlake_pkg.zip")
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted((top / "provlake").rglob("*.py")):
+            z.write(p, p.relative_to(top))
+    context.addPyFile(made)
+    context._provlake_shipped = True
