@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import packing
+from provlake.llm import byte_bpe, media, packing, token_files
 from provlake.llm.common import documents
 
 
@@ -14,9 +14,24 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir)).drop("ids")
+
+
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_token_files": op3_token_files,
+        "op4_byte_bpe": op4_byte_bpe,
+        "op8_media_columns": op8_media_columns,
     }
 
 
