@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import byte_bpe, media, packing, token_files
+from provlake.llm import byte_bpe, compression_quality, media, packing, quality_trees, token_files
 from provlake.llm.common import documents
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir))
 
@@ -22,6 +30,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir)).drop("ids")
 
 
+def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
@@ -29,8 +41,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_quality_rules": op2_quality_rules,
         "op3_token_files": op3_token_files,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_compression_classifier": op5_compression_classifier,
         "op8_media_columns": op8_media_columns,
     }
 
