@@ -23,6 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from provlake.llm.common import small_batches, text_batches
 
@@ -156,7 +157,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score (0 to 1) and predicted (1 if score >= 0.5); docs' own columns of these names are replaced."""
     small_batches(docs.sparkSession)
     keep = docs.drop("score", "predicted")
-    schema = keep.schema.add("score", "double").add("predicted", "integer")
+    schema = StructType(list(keep.schema.fields)).add("score", "double").add("predicted", "integer")
     at = keep.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
