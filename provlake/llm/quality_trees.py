@@ -131,20 +131,21 @@ class Forest:
         return 1 / (1 + np.exp(-self.raw(x))) if len(x) else np.zeros(0)
 
 
-def boost(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, ridge: float = 2.0, least: float = 2.0) -> Forest:
-    """Newton boosting of the logistic loss on binned features."""
+def boost(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, ridge: float = 2.0, least: float = 2.0, weight: np.ndarray | None = None) -> Forest:
+    """Newton boosting of the logistic loss on binned features; weight counts a row as so many."""
+    weight = np.ones(len(y)) if weight is None else weight
     if not len(y) or y.min() == y.max():
         return Forest(base=4.0 if not len(y) or y.min() else -4.0)
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)])
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    share = float(np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3))
     base = float(np.log(share / (1 - share)))
     margin = np.full(len(y), base)
     nodes: list[list] = []  # feature, threshold, left, right, value
     roots = []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
+        g, h = weight * (y - p), weight * p * (1 - p)
         roots.append(len(nodes))
         nodes.append([0, np.inf, len(nodes), len(nodes), 0.0])
         work = [(roots[-1], np.arange(len(y)), 0, -np.inf, np.inf)]
@@ -154,7 +155,7 @@ def boost(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, trees: int = TREES
             total_g, total_h = gs.sum(), hs.sum()
             value = float(np.clip(total_g / (total_h + ridge), low, high))
             best = None
-            if level < depth and len(rows) >= 8:
+            if level < depth and len(rows) >= 2:
                 for f, e in enumerate(edges):
                     if not len(e):
                         continue

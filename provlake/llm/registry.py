@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import byte_bpe, compression_quality, media, packing, quality_trees, token_files
+from provlake.llm import byte_bpe, compression_quality, media, packing, pii, quality_trees, token_files
 from provlake.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_compression_classifier": op5_compression_classifier,
         "op8_media_columns": op8_media_columns,
+        "op9_personal_data": op9_personal_data,
     }
 
 
