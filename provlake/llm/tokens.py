@@ -8,18 +8,24 @@ the parts encoded apart. Texts with runs of white space, or that end in it, are
 from __future__ import annotations
 
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 
-#: White space other than a lone blank inside the text: such a text is encoded whole.
-ODD = re.compile(r"\s\s|\s\Z|[\x00\x1c-\x1f\x85]")
+#: White space other than blanks and line ends, and NUL, which marks the cuts.
+RARE = re.compile(r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A full stop or comma that may belong to the pre-token before it: it follows none of the letters and
 #: digits that normalising leaves as they are, but for case.
-JOINED = re.compile(r"(?:[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]|\A)[.,]")
+JOINED = re.compile(r"[.,](?<![A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f][.,])")
 #: Words a worker keeps, about 200 bytes each.
 MOST_CACHED = 1_000_000
 
 
+def odd(t: str) -> bool:
+    """White space that is not a lone blank or line end inside the text: such a text is encoded whole."""
+    return "  " in t or "\n\n" in t or "\n " in t or " \n" in t or t[-1:].isspace() or RARE.search(t) is not None
+
+
 class WordCache:
     """ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -39,7 +45,7 @@ class WordCache:
         parts: list[list[str] | None] = []
         whole: list[str] = []
         for t in texts:
-            if ODD.search(t):
+            if odd(t):
                 whole.append(t)
                 parts.append(None)
             elif t:
@@ -52,7 +58,7 @@ class WordCache:
         if len(self.known) > MOST_CACHED:
             self.known.clear()
         known = self.known
-        new = list(set().union(*(p for p in parts if p)) - known.keys())
+        new = list(set(filterfalse(known.__contains__, chain.from_iterable(p for p in parts if p))))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             known.update(zip(some, self._encode(some), strict=True))
