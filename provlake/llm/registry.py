@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import byte_bpe, compression_quality, media, packing, pii, quality_trees, suffix_dedup, token_files
+from provlake.llm import byte_bpe, compression_quality, media, neardup, packing, pii, quality_trees, suffix_dedup, token_files
 from provlake.llm.common import documents
 
 
@@ -38,6 +38,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir)).drop("row", "kept")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(documents(spark, sf_dir)).drop("row")
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": op4_byte_bpe,
         "op5_compression_classifier": op5_compression_classifier,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
+        "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_personal_data": op9_personal_data,
     }
