@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import byte_bpe, compression_quality, media, neardup, packing, pii, quality_trees, suffix_dedup, token_files
+from provlake.llm import byte_bpe, compression_quality, media, neardup, packing, paragraph_dedup, pii, quality_trees, suffix_dedup, token_files
 from provlake.llm.common import documents
 
 
@@ -50,6 +50,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.dedup(documents(spark, sf_dir)).drop("row", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_personal_data": op9_personal_data,
+        "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 
 

@@ -66,8 +66,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def sliding(x: np.ndarray, w: int, best: np.ufunc, forward: bool) -> np.ndarray:
     """best over w neighbours from each place on (forward) or up to it; short at the end of the array."""
     out, span = x.copy(), 1
-    while span < w:
+    while span < min(w, len(x)):
         step = min(span, w - span)
+        if step >= len(x):
+            break
         if forward:
             out[: len(x) - step] = best(out[: len(x) - step], out[step:].copy())
         else:
