@@ -58,7 +58,7 @@ def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         null = b.column(0).is_null().to_numpy(zero_copy_only=False)
         done = 0
-        for doc, _, raw, starts in gathered(iter([b])):
+        for doc, _, raw, starts, _ in gathered(iter([b])):
             ids, n_words, (own, shingle, weight) = measured(raw, starts)
             sig = signatures(own, shingle, weight, len(doc))
             keys = band_keys(sig, ROWS).view(np.int64)
@@ -133,7 +133,7 @@ def similar_rows(threshold: float):
             for col in (2, 3):
                 text = pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(col)], names=["d", "r", "t"])
                 found: list[np.ndarray] = []
-                for _, _, raw, starts in gathered(iter([text])):
+                for _, _, raw, starts, _ in gathered(iter([text])):
                     _, _, (own, shingle, weight) = measured(raw, starts)
                     # a shingle that occurs w times is w elements
                     times = np.repeat(np.arange(len(own)), weight)
@@ -260,9 +260,9 @@ def plain(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, row, class_id (the class's least doc_id), class_size, for every row of docs.
+    """doc_id, row, root, class_id (the class's least doc_id), class_size, for every row of docs.
 
-    ``row`` is xxhash64(doc_id, text).
+    ``row`` is xxhash64(doc_id, text); ``root`` names the class.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -282,12 +282,16 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     own = own.join(labels, "id", "left").select("doc_id", "row", F.coalesce("root", "id").alias("root")) if labels is not None else own.withColumnRenamed("id", "root")
     own = stored(own, "roots")
     least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return own.join(least, "root").select("doc_id", "row", "class_id", "class_size")
+    return own.join(least, "root").select("doc_id", "row", "root", "class_id", "class_size")
 
 
 def first_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs that have their class's least doc_id; of equal doc_ids the one with the least hash."""
     found = classes(docs, threshold)
-    kept = found.where("doc_id <=> class_id").groupBy("doc_id", "class_id").agg(F.min("row").alias("_row")).select("_row").distinct()
+    kept = found.where("doc_id <=> class_id").groupBy("class_id", "doc_id", "root").agg(F.min("row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    kept = stored(kept.select("_row", "_n"), "kept")
     marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.join(kept, "_row", "left_semi").select(*docs.columns)
+    out = marked.join(kept.select("_row").distinct(), "_row", "left_semi")
+    if not kept.where("_n > 1").isEmpty():  # rows alike in doc_id and text
+        out = out.dropDuplicates(["_row"])
+    return out.select(*docs.columns)

@@ -100,7 +100,7 @@ def minhash_keys(own: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
 
 def entry_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, row, raw, starts in gathered(batches):
+        for doc, row, raw, starts, _ in gathered(batches):
             text, number, _, _, _, size, of, value = paragraphs(raw, starts)
             long = size >= LEAST_WORDS
             if not long.any():

@@ -148,16 +148,20 @@ def of_kind(i: int) -> Callable[[Column], Column]:
     return lambda x: x["k"] == i
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of s, e, kind number) and proposals (array of featured structs)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = F.col("text")
+def with_spans(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with base (array of s, kind number, e) and proposals (array of featured structs)."""
     base = []
     for i, kind in enumerate(KINDS):
-        good = F.filter(spotted(t, kind, BASE[kind]), only(kind))
+        good = F.filter(spotted(text, kind, BASE[kind]), only(kind))
         base.append(F.transform(good, numbered(i)))
-    more = [F.transform(spotted(t, kind, p), proposal(t, kind)) for kind, p in PROPOSED.items()]
-    return rows.select("doc_id", F.array_sort(F.concat(*base)).alias("base"), F.concat(*more).alias("proposals"))
+    more = [F.transform(spotted(text, kind, p), proposal(text, kind)) for kind, p in PROPOSED.items()]
+    return rows.withColumns({"base": F.array_sort(F.concat(*base)), "proposals": F.concat(*more)})
+
+
+def spans(docs: DataFrame) -> DataFrame:
+    """doc_id, base, proposals."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return with_spans(rows, F.col("text")).drop("text")
 
 
 def overlaps(x: Column, y: Column) -> Column:
@@ -213,10 +217,8 @@ def tree_expression(forest: Forest, x: Column) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans: arrays of struct(s, k, e) by start, then kind, then end. Texts are read once."""
-    found = stored(spans(docs), "spans")
-    forest, cuts = fit(counted(found))
+def chosen(found: DataFrame, forest: Forest, cuts: dict[int, float]) -> DataFrame:
+    """found with spans: base ones and the proposals taken, as struct(s, k, e) by start, then kind, then end."""
     cut = F.lit(2.0)
     taken = F.transform("proposals", lambda x: F.struct(tree_expression(forest, x).alias("p"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("k")))
 
@@ -231,7 +233,13 @@ def find(docs: DataFrame) -> DataFrame:
     better = lambda a, b: (b["p"] > a["p"]) | ((b["p"] == a["p"]) & ((b["s"] < a["s"]) | ((b["s"] == a["s"]) & (b["k"] < a["k"]))))
     alone = F.filter("taken", lambda a: ~F.exists("taken", lambda b: overlaps(a, b) & better(a, b)))
     added = F.transform(alone, lambda a: F.struct(a["s"].alias("s"), a["k"].alias("k"), a["e"].alias("e")))
-    return some.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return some.withColumn("spans", F.array_sort(F.concat("base", added))).drop("taken", "proposals")
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """doc_id, base and spans. Texts are read once."""
+    found = stored(spans(docs), "spans")
+    return chosen(found, *fit(counted(found)))
 
 
 def written(spans_: str) -> Column:
@@ -250,13 +258,12 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span's text replaced by its kind in square brackets; n_chars, where there, is counted anew.
 
-    Spans that overlap become one, named after the first. Rows are told apart by a running number, so repeated
-    doc_ids are safe.
+    Spans that overlap become one, named after the first. Texts are searched twice, for the counts that the trees
+    are fitted on and in place, so that no text is shuffled or written in between. Null texts stay null.
     """
-    marked = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "redact")
-    found = find(marked.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "spans").where(F.size("spans") > 0)
+    model = fit(counted(spans(docs)))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    t = F.col("text")
+    t = F.col("_doc.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -264,8 +271,18 @@ def redact(docs: DataFrame) -> DataFrame:
         put = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"]))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out"))
 
+    # the row is held in one column, so that its names cannot clash with those made here
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))
+    found = chosen(with_spans(rows, F.coalesce(t.cast("string"), F.lit(""))), *model)
     done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    joined = marked.join(found, "_row", "left").withColumn("text", F.when(F.col("spans").isNull(), t).otherwise(done))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*docs.columns)
+    none = F.size("spans") == 0
+    out = found.select("_doc", F.when(none, t).otherwise(done).alias("text"), none.alias("none"))
+    columns = []
+    for c in docs.columns:
+        own = F.col("_doc").getField(c)
+        if c == "text":
+            own = F.col("text")
+        elif c == "n_chars":
+            own = F.when(F.col("none"), own).otherwise(F.length("text").cast(docs.schema[c].dataType))
+        columns.append(own.alias(c))
+    return out.select(*columns)

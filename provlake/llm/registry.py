@@ -35,11 +35,11 @@ def op5_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("row", "kept")
+    return suffix_dedup.dedup(documents(spark, sf_dir))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(documents(spark, sf_dir)).drop("row")
+    return neardup.classes(documents(spark, sf_dir)).drop("row", "root")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,12 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.dedup(documents(spark, sf_dir)).drop("row", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_media_columns": op8_media_columns,
         "op9_personal_data": op9_personal_data,
+        "pipeline": pipeline,
         "op10_paragraph_dedup": op10_paragraph_dedup,
     }
 

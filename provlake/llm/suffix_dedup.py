@@ -22,7 +22,7 @@ known by its doc_id and the hash of doc_id and text.
 
 Edge cases: null text is empty; texts under 50 bytes keep all; a null doc_id is smaller than any other; of rows with
 one doc_id none is smaller than another, so copies there stay; an empty table gives no rows; other columns are
-ignored by ``dedup`` and kept by ``cut_repeats``.
+ignored by ``dedup`` and kept by ``cut_repeats`` (names that begin with _ are its own).
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from provlake.llm import blobs
 from provlake.llm.common import mix, ragged, small_batches, stored, utf8_parts
@@ -142,8 +143,8 @@ def rows_of(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["target", "kind", "payload"])
 
 
-def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc_id, row hash, bytes, offsets) of about ``most`` bytes of text at a time, or of one longer text."""
+def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(doc_id, row hash, bytes, offsets, the rows) of about ``most`` bytes of text at a time, or of one longer text."""
     for b in batches:
         doc = b.column(0).fill_null(NULL_ID).to_numpy()
         row = b.column(1).to_numpy()
@@ -152,7 +153,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iter
         while i < len(doc):
             j = max(i + 1, int(np.searchsorted(starts, starts[i] + most, side="right")) - 1)
             j = min(j, len(doc))
-            yield doc[i:j], row[i:j], raw[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
+            yield doc[i:j], row[i:j], raw[starts[i] : starts[j]], starts[i : j + 1] - starts[i], b.slice(i, j - i)
             i = j
 
 
@@ -163,7 +164,7 @@ def home(row: np.ndarray, n: int) -> np.ndarray:
 
 def anchor_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, row, raw, starts in gathered(batches):
+        for doc, row, raw, starts, _ in gathered(batches):
             text, at, anchor, context = find_anchors(raw, starts)
             if not len(text):
                 continue
@@ -228,15 +229,23 @@ def entry_rows(n: int):
     return run
 
 
+def ipc(rows: pa.RecordBatch) -> np.ndarray:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema) as w:
+        w.write_batch(rows)
+    return np.frombuffer(out.getvalue(), np.uint8)
+
+
 def text_rows(n: int):
-    """Texts on their way to their partitions."""
+    """Texts on their way to their partitions, with the rows' further columns, if any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, row, raw, starts in gathered(batches):
+        for doc, row, raw, starts, own in gathered(batches):
             found = []
             for t, s in by_target(home(row, n), n):
                 size = np.diff(starts)[s]
-                found.append((t, TEXTS, blobs.pack(doc[s], row[s], size, raw[ragged(starts[s], size)])))
+                more = ipc(own.select(own.schema.names[3:]).take(pa.array(s))) if own.num_columns > 3 else np.zeros(0, np.uint8)
+                found.append((t, TEXTS, blobs.pack(doc[s], row[s], size, raw[ragged(starts[s], size)], more)))
             yield rows_of(found)
 
     return run
@@ -258,7 +267,7 @@ class Held:
 
 
 def texts_of(payload: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    doc, row, size, raw = blobs.unpack(payload)
+    doc, row, size, raw, _ = blobs.unpack(payload)
     at = 0
     for d, r, s in zip(doc.tolist(), row.tolist(), size.tolist(), strict=True):
         yield d, r, raw[at : at + s]
@@ -428,10 +437,12 @@ def covered(size: int, anchors: np.ndarray, begin: np.ndarray, end: np.ndarray)
     return np.column_stack([a[head], b[np.r_[head[1:], len(a)] - 1]])
 
 
-RESULT = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
 
+def cover_rows(make):
+    """make(payload, [(doc, bytes, removed bytes' places, number of stretches)]) gives the batch for one pack of texts."""
 
-def cover_rows(with_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full: list[list[np.ndarray]] = []
         parts: list[list[np.ndarray]] = []
@@ -448,62 +459,83 @@ def cover_rows(with_kept: bool):
                     for doc, row, raw in texts_of(payload):
                         (anchors,) = held[0].of(doc, row)
                         begin, end = held[1].of(doc, row)
-                        kept, removed, spans = raw, 0, 0
+                        gone, spans = NOTHING, 0
                         if len(anchors) or len(begin):
-                            runs = covered(len(raw), anchors, begin, end)
-                            gone = ragged(runs[:, 0], runs[:, 1] - runs[:, 0])
-                            keep = np.ones(len(raw), bool)
-                            keep[gone] = False
-                            kept, removed, spans = raw[keep], len(gone), len(runs)
-                            if with_kept:
-                                char = np.cumsum((raw & 0xC0) != 0x80) - 1
-                                broken = np.zeros(int(char[-1]) + 1, bool)
-                                broken[char[gone]] = True
-                                keep = ~broken[char]
-                        elif with_kept:
-                            keep = slice(None)
-                        out.append((None if doc == NULL_ID else doc, row, len(raw), removed, spans, hashlib.sha256(kept.tobytes()).hexdigest(), raw[keep].tobytes() if with_kept else None))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-                    names = ("doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                            stretches = covered(len(raw), anchors, begin, end)
+                            gone, spans = ragged(stretches[:, 0], stretches[:, 1] - stretches[:, 0]), len(stretches)
+                        out.append((doc, raw, gone, spans))
+                    yield make(payload, out)
 
     return run
 
 
-def dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
-    """doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept (null unless with_kept) of each row of docs.
-
-    ``row`` is xxhash64(doc_id, text). ``kept`` lacks the whole of a character that is cut in part, so it is UTF-8.
-    """
-    spark = docs.sparkSession
+NOTHING = np.zeros(0, np.int64)
+
+
+def digest_batch(_: bytes, found: list[tuple]) -> pa.RecordBatch:
+    rows = []
+    for doc, raw, gone, spans in found:
+        kept = np.delete(raw, gone) if len(gone) else raw
+        rows.append((None if doc == NULL_ID else doc, len(raw), len(gone), spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def text_batch(payload: bytes, found: list[tuple]) -> pa.RecordBatch:
+    """The rows with what is kept of their texts; a character that is cut in part goes whole."""
+    texts = []
+    for _, raw, gone, _ in found:
+        if len(gone):
+            char = np.cumsum((raw & 0xC0) != 0x80) - 1
+            broken = np.zeros(int(char[-1]) + 1, bool)
+            broken[char[gone]] = True
+            raw = raw[~broken[char]]
+        texts.append(raw.tobytes().decode())
+    more = blobs.unpack(payload)[4]
+    rows = pa.ipc.open_stream(more.tobytes()).read_next_batch()
+    null = rows.column(rows.schema.names.index("_null"))
+    changed = pa.array([len(f[2]) > 0 for f in found])
+    out = [c for c, name in zip(rows.columns, rows.schema.names, strict=True) if name != "_null"]
+    names = [name for name in rows.schema.names if name != "_null"]
+    return pa.RecordBatch.from_arrays([*out, pa.array(texts, mask=null.to_numpy(zero_copy_only=False)), changed], names=[*names, "text", "_changed"])
+
+
+def _run(rows: DataFrame, make, schema) -> DataFrame:
+    """rows: _id, _row, _text and what else ``make`` puts out again."""
+    spark = rows.sparkSession
     small_batches(spark)
     n = blobs.partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    flags = stored(blobs.exchange(rows.mapInArrow(anchor_rows(n), blobs.ROW), n).mapInArrow(entry_rows(n), blobs.ROW), "flags")
+    plain = rows.select("_id", "_row", "_text")
+    flags = stored(blobs.exchange(plain.mapInArrow(anchor_rows(n), blobs.ROW), n).mapInArrow(entry_rows(n), blobs.ROW), "flags")
     blobs.free_shuffles(spark)
-    texts = rows.mapInArrow(text_rows(n), blobs.ROW)
-    asked = blobs.exchange(flags.where(f"kind = {ASKED}").unionByName(texts), n).sortWithinPartitions("kind")
+    asked = blobs.exchange(flags.where(f"kind = {ASKED}").unionByName(plain.mapInArrow(text_rows(n), blobs.ROW)), n).sortWithinPartitions("kind")
     contexts = blobs.exchange(asked.mapInArrow(context_rows(n), blobs.ROW), n)
     more = stored(contexts.mapInArrow(suffix_rows(n), blobs.ROW), "repeats")
     blobs.free_shuffles(spark)
-    # PARTS sorts after TEXTS, so it is moved before
-    moves = more.selectExpr("target", f"{PARTS} kind", "payload", "0 first")
     full = flags.where(f"kind = {FULL}").selectExpr("target", "kind", "payload", "0 first")
-    both = full.unionByName(moves).unionByName(texts.selectExpr("target", "kind", "payload", "1 first"))
-    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(cover_rows(with_kept), RESULT)
+    both = full.unionByName(more.selectExpr("target", "kind", "payload", "0 first"))
+    both = both.unionByName(rows.mapInArrow(text_rows(n), blobs.ROW).selectExpr("target", "kind", "payload", "1 first"))
+    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(cover_rows(make), schema)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return _run(rows.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_row"), F.col("text").alias("_text")), digest_batch, RESULT)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated bytes cut from the texts and n_chars, where there, counted anew.
 
-    A character that is cut in part goes whole. Texts that keep nothing stay as empty rows.
+    Texts that keep nothing stay as empty rows; null texts stay null.
     """
-    found = dedup(docs, with_kept=True).where("n_removed > 0").select("row", F.col("doc_id").alias("_doc"), "kept").dropDuplicates(["row", "_doc"])
-    marked = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = marked.join(found, (marked["row"] == found["row"]) & marked["doc_id"].eqNullSafe(found["_doc"]), "left")
-    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.col("kept").cast("string"))
-    out = out.withColumn("text", text)
+    others = [c for c in docs.columns if c != "text"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.select(id_.alias("_id"), F.xxhash64(id_, text).alias("_row"), text.alias("_text"), *others, F.col("text").isNull().alias("_null"))
+    schema = StructType([docs.schema[c] for c in others]).add("text", "string").add("_changed", "boolean")
+    out = _run(rows, text_batch, schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
