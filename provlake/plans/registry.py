@@ -1,15 +1,444 @@
-"""Queries over the driver tables, and the SQL each must agree with."""
+"""Queries over the driver tables, and the SQL each must agree with.
+
+The driver tables hold no bibliographies, so each operator runs on a stand-in with the same shape: documents for
+bibliography entries and records, labels for lock entries, benchmark items for claims, document lines for source
+blocks, conversations for claim rows, pages for publisher pages, events for actions.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from provlake.functions import constants as K
+from provlake.functions import text as T
+from provlake.operators import audit, evidence, resolve, rollup, upsert
+from provlake.session import table
+from provlake.sources import parsers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+# --- resolver: documents of equal text are a query's candidates --------------------------------------
+
+TITLE = "left(text, 80)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries are the least document of each text; candidates are all documents of that text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("query_id"))
+    c = d.withColumn("h", F.sha2("text", 256)).join(first, "h")
+    year = F.col("n_chars").cast("int")
+    pairs = c.select(
+        "query_id", F.col("doc_id").alias("ord"),
+        F.substring("text", 1, 80).alias("q_title"), F.array("lang").alias("q_authors"), year.alias("q_year"), F.lit(None).cast("string").alias("q_doi"), F.lit(None).cast("string").alias("q_arxiv_id"),
+        F.col("source").alias("c_source"), F.substring("text", 1, 80).alias("c_title"), F.array("lang").alias("c_authors"), year.alias("c_year"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "source")).alias("c_doi"), F.lit(None).cast("string").alias("c_arxiv_id"),
+        F.concat(F.lit("https://x.org/"), "source").alias("c_url"), (F.col("doc_id") % 2 == 0).alias("c_official"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("bib")).alias("c_bibtex_url"), (F.col("doc_id") % 5 + 1).cast("int").alias("c_priority"), F.lit(False).alias("c_pending"),
+    )
+    return first.select("query_id"), resolve.best(resolve.score(pairs, nfkc=False))
+
+
+SCORED_SQL = """
+WITH first AS (SELECT sha256(text) AS h, min(doc_id) AS query_id FROM documents GROUP BY 1),
+s AS (SELECT query_id, doc_id AS ord, source, doc_id % 3 = 0 AS has_doi, doc_id % 2 = 0 AS official, doc_id % 4 = 0 AS has_bib,
+  60 + 10 + 10 + CASE WHEN doc_id % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END - doc_id % 5 AS score, doc_id % 5 AS p
+  FROM documents JOIN first ON sha256(text) = h),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM s)
+"""
+
+
+@query(SCORED_SQL + "SELECT query_id, ord AS candidate, CAST(score AS INTEGER) AS score FROM r")
+def resolver_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)[1].select("query_id", F.col("ord").alias("candidate"), "score")
+
+
+@query(SCORED_SQL + "SELECT query_id, ord AS candidate, CAST(score AS INTEGER) AS score FROM r WHERE rank = 1")
+def resolver_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)[1].where("rank = 1").select("query_id", F.col("ord").alias("candidate"), "score")
+
+
+TIES_SQL = """, t AS (SELECT r.*, (r.top - r.score <= 3) AND NOT (b.source = r.source AND b.has_doi = r.has_doi AND b.official = r.official AND b.has_bib = r.has_bib AND b.p = r.p) AS near_tie
+  FROM r JOIN (SELECT * FROM r WHERE rank = 1) b USING (query_id))"""
+
+
+@query(SCORED_SQL + TIES_SQL + "SELECT query_id, ord AS candidate FROM t WHERE near_tie")
+def resolver_near_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir)[1].where("near_tie").select("query_id", F.col("ord").alias("candidate"))
+
+
+DECISION_SQL = (
+    SCORED_SQL
+    + TIES_SQL
+    + """, g AS (SELECT query_id, max(score) AS score, min(CASE WHEN rank = 1 THEN ord END) AS candidate,
+  count(DISTINCT CASE WHEN (rank = 1 OR near_tie) AND has_doi THEN source END) AS n_dois,
+  count(DISTINCT CASE WHEN (rank = 1 OR near_tie) AND official THEN source END) AS n_official,
+  max(CASE WHEN rank = 1 AND official AND has_bib THEN 1 ELSE 0 END) AS exported FROM t GROUP BY 1),
+d AS (SELECT query_id, CAST(score AS INTEGER) AS score, candidate, n_dois, n_official,
+  CASE WHEN n_dois > 1 THEN 'DOI_CONFLICT' WHEN n_official > 1 THEN 'MULTIPLE_OFFICIAL_RECORDS' WHEN score < 90 THEN 'LOW_CONFIDENCE' END AS issue, exported FROM g)
+"""
+)
+DECISION_COLUMNS = """query_id, CASE WHEN issue IS NULL THEN 'selected' ELSE 'blocked' END AS decision,
+  CASE WHEN issue IN ('DOI_CONFLICT', 'MULTIPLE_OFFICIAL_RECORDS') THEN 'ambiguous' WHEN issue IS NOT NULL THEN 'unresolved' WHEN exported = 1 THEN 'verified_official_bibtex' ELSE 'verified_manual_fallback' END AS status,
+  score, issue, candidate AS candidate_ord, n_dois, n_official"""
+
+
+@query(DECISION_SQL + f"SELECT {DECISION_COLUMNS} FROM d")
+def resolver_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.decide(*_pairs(spark, sf_dir))
+
+
+@query(DECISION_SQL + ", e AS (SELECT issue FROM d) SELECT count(*) AS total, count(*) FILTER (WHERE issue IS NULL) AS ok, count(*) FILTER (WHERE issue IS NOT NULL) AS blocking FROM e")
+def fixture_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = resolve.decide(*_pairs(spark, sf_dir))
+    return d.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("issue").isNull()).alias("ok"), F.count_if(F.col("issue").isNotNull()).alias("blocking"))
+
+
+# --- audits ------------------------------------------------------------------------------------------
+
+
+def _bib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("citation_key"), F.col("lang").alias("b_title"), F.col("n_chars").cast("string").alias("b_year"), F.lit("a").alias("b_author"), F.when(F.col("doc_id") % 7 != 0, "x").alias("b_doi"), F.col("text").alias("b_raw"))
+
+
+def _lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the document's text hash for those that are toxic, as if they were exports."""
+    lab = table(spark, sf_dir, "labels")
+    none = F.lit(None).cast("string")
+    return lab.select(
+        (F.col("doc_id") + F.when(F.col("doc_id") % 11 == 0, 1_000_000_000).otherwise(0)).alias("citation_key"),
+        F.when(F.col("quality") == 1, "verified_official_bibtex").otherwise("draft").alias("status"),
+        F.when(F.col("toxic") == 1, "official_export").when(F.col("quality") == 1, "arxiv_manual_normalized").alias("source_kind"),
+        F.when(F.col("doc_id") % 5 == 0, "url").alias("bibtex_url"), F.when(F.col("doc_id") % 2 == 0, "placeholder").otherwise("0").alias("stored_sha"),
+        F.lit("en").alias("l_title"), none.alias("l_year"), F.lit("a").alias("l_author"), F.lit("x").alias("l_doi"), none.alias("l_accessed"), none.alias("fallback_reason"), F.when(F.col("doc_id") % 3 == 0, "missing").alias("doi_check"),
+    )
+
+
+BIB_SQL = """
+WITH b AS (SELECT doc_id AS k, lang, doc_id % 7 <> 0 AS has_doi FROM documents),
+l AS (SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000000 ELSE 0 END AS k, doc_id AS i, quality = 1 AS good, toxic = 1 AS tox FROM labels),
+j AS (SELECT coalesce(b.k, l.k) AS citation_key, b.k IS NOT NULL AS in_b, l.k IS NOT NULL AS in_l, lang, has_doi, i, good, tox FROM b FULL JOIN l ON b.k = l.k),
+issues AS (
+  SELECT 'MISSING_LOCK_ENTRY' AS code, 'blocking' AS severity, citation_key, 0 AS ord FROM j WHERE NOT in_l
+  UNION ALL SELECT 'NON_PASSING_STATUS', 'blocking', citation_key, 1 FROM j WHERE in_b AND in_l AND NOT good
+  UNION ALL SELECT 'UNVERIFIED_BIBTEX_SOURCE', 'blocking', citation_key, 2 FROM j WHERE in_b AND in_l AND NOT tox AND NOT good
+  UNION ALL SELECT 'OFFICIAL_EXPORT_NOT_USED', 'blocking', citation_key, 3 FROM j WHERE in_b AND in_l AND i % 5 = 0 AND NOT tox
+  UNION ALL SELECT 'OFFICIAL_EXPORT_CONTENT_CHANGED', 'warning', citation_key, 4 FROM j WHERE in_b AND in_l AND tox AND i % 2 <> 0
+  UNION ALL SELECT 'OFFICIAL_EXPORT_CHECKSUM_MISSING', 'warning', citation_key, 5 FROM j WHERE in_b AND in_l AND tox AND i % 2 = 0
+  UNION ALL SELECT 'TITLE_MISMATCH', 'blocking', citation_key, 6 FROM j WHERE in_b AND in_l AND lang <> 'en'
+  UNION ALL SELECT 'FALLBACK_REASON_MISSING', 'warning', citation_key, 9 FROM j WHERE in_b AND in_l AND NOT tox AND good
+  UNION ALL SELECT 'ARXIV_ACCESSED_DATE_MISSING', 'warning', citation_key, 10 FROM j WHERE in_b AND in_l AND NOT tox AND good
+  UNION ALL SELECT 'DOI_MISSING', 'warning', citation_key, 11 FROM j WHERE in_b AND in_l AND NOT (good AND i % 3 = 0) AND NOT has_doi
+  UNION ALL SELECT 'LOCK_ENTRY_NOT_IN_BIB', 'warning', citation_key, 12 FROM j WHERE NOT in_b)
+"""
+
+
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.bib_lock(_bib(spark, sf_dir), _lock(spark, sf_dir))
+
+
+@query(BIB_SQL + "SELECT * FROM issues")
+def bib_lock_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _issues(spark, sf_dir)
+
+
+@query("SELECT doc_id AS citation_key FROM documents ANTI JOIN labels USING (doc_id)")
+def missing_lock_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").withColumnRenamed("doc_id", "citation_key")
+
+
+@query("SELECT doc_id AS citation_key FROM (SELECT doc_id FROM labels WHERE quality = 1) l ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id)")
+def lock_not_in_bib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").join(d, "doc_id", "left_anti").withColumnRenamed("doc_id", "citation_key")
+
+
+@query(
+    """SELECT 'CITATION_NOT_IN_BIB' AS code, 'blocking' AS severity, o_custkey AS citation_key, 0 AS ord FROM (SELECT DISTINCT o_custkey FROM orders) o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)
+    UNION ALL SELECT 'BIB_ENTRY_NOT_CITED', 'warning', c_custkey, 1 FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+)
+def cite_bib_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cited = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("citation_key"))
+    listed = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("citation_key"))
+    return audit.cited_and_listed(cited, listed)
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn is a claim, the assistant's next is its quote."""
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = c.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("r2"), F.lead("text").over(w).alias("t2"))
+    rows = rows.where("role = 'user' and r2 = 'assistant'")
+    return rows.select(
+        F.concat_ws("-", "conv_id", "turn").alias("claim_id"), F.col("text").alias("claim_text"), F.when(F.col("turn") % 4 == 3, F.lit("")).otherwise(F.lit("a, b")).alias("citation_key"),
+        F.when(F.col("conv_id") % 5 != 0, "p1").alias("source_location"), F.when(F.col("conv_id") % 7 != 0, F.col("t2")).alias("quote_or_evidence"),
+        F.when(F.col("conv_id") % 3 == 0, "Abstract").otherwise("source text").alias("evidence_kind"), F.when(F.col("conv_id") % 2 == 0, "checked").otherwise("draft").alias("status"),
+    )
+
+
+CLAIMS_SQL = """
+WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t2 FROM conversations),
+c AS (SELECT conv_id, turn, conv_id || '-' || turn AS claim_id, text, CASE WHEN conv_id % 7 <> 0 THEN t2 END AS quote, conv_id % 2 = 0 AS done FROM t WHERE role = 'user' AND r2 = 'assistant')
+"""
+
+
+@query(
+    CLAIMS_SQL
+    + """, k AS (SELECT c.*, CASE WHEN turn % 4 = 3 THEN NULL ELSE x END AS citation_key FROM c JOIN (SELECT 'a' AS x UNION ALL SELECT 'b') v ON NOT (turn % 4 = 3 AND x = 'b')),
+i AS (SELECT citation_key, CASE WHEN NOT done THEN 1 WHEN conv_id % 5 = 0 THEN 2 WHEN coalesce(trim(quote), '') = '' THEN 3 WHEN conv_id % 3 = 0 THEN 4 END AS ord FROM k)
+SELECT CASE ord WHEN 1 THEN 'CLAIM_NOT_CHECKED' WHEN 2 THEN 'CLAIM_SOURCE_LOCATION_MISSING' WHEN 3 THEN 'CLAIM_EVIDENCE_MISSING' ELSE 'CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE' END AS code,
+  CASE WHEN ord = 4 THEN 'blocking' ELSE 'warning' END AS severity, citation_key, ord FROM i WHERE ord IS NOT NULL"""
+)
+def claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.claims(_claims(spark, sf_dir))
+
+
+TERMS_SQL = f"list_distinct(list_filter(regexp_extract_all(lower(%s), '[a-z][a-z0-9_-]{{{{3,}}}}'), lambda x: x NOT IN ({quoted(K.STOP_TERMS)})))".replace("{{", "{").replace("}}", "}")
+
+
+@query(
+    CLAIMS_SQL
+    + f""", o AS (SELECT claim_id, text, quote, CAST(len(list_intersect({TERMS_SQL % 'text'}, {TERMS_SQL % "coalesce(quote, '')"})) AS BIGINT) AS overlap FROM c)
+SELECT claim_id, overlap, CASE WHEN coalesce(trim(quote), '') = '' THEN 'CLAIM_EVIDENCE_MISSING' WHEN overlap < 2 THEN 'CLAIM_EVIDENCE_LOW_OVERLAP'
+  WHEN regexp_matches(lower(text), '\\b({"|".join(K.STRONG_TERMS)})\\b') AND (overlap < 3 OR regexp_matches(lower(quote), '\\b({"|".join(K.HEDGE_TERMS)})\\b')) THEN 'CLAIM_MAY_BE_TOO_STRONG' END AS issue FROM o"""
+)
+def claim_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.consistency(_claims(spark, sf_dir)).select("claim_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), "issue")
+
+
+# --- evidence ----------------------------------------------------------------------------------------
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("scope"), F.col("item_id").alias("claim_id"), "text")
+    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("scope"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return b, d.select("scope", (F.col("doc_id") * 100_000 + F.col("line")).alias("block_id"), "text")
+
+
+OVERLAP_SQL = f"""
+WITH b AS (SELECT item_id % 20 AS scope, item_id AS claim_id, {TERMS_SQL % 'text'} AS terms FROM benchmark),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+d AS (SELECT doc_id % 20 AS scope, doc_id * 100000 + line AS block_id, text, {TERMS_SQL % 'text'} AS terms FROM lines),
+x AS (SELECT scope, claim_id, len(terms) AS n, unnest(terms) AS term FROM b),
+y AS (SELECT scope, block_id, unnest(terms) AS term FROM d),
+p AS (SELECT x.scope, claim_id, block_id, count(*) AS overlap, any_value(n) AS claim_terms FROM x JOIN y USING (scope, term) GROUP BY 1, 2, 3)
+"""
+
+
+@query(OVERLAP_SQL + "SELECT scope, claim_id, block_id, overlap, round_even(overlap / claim_terms, 4) AS coverage, claim_terms FROM p")
+def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.overlap(*_evidence(spark, sf_dir)).drop("semantic")
+
+
+QUALITY_SQL = (
+    OVERLAP_SQL
+    + """, q AS (SELECT block_id, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*')) AS words, regexp_matches(text, '[.!?]') AS stops FROM d),
+e AS (SELECT p.*, words, round_even(overlap / claim_terms, 4) AS coverage, round_even((CASE WHEN words >= 35 AND stops THEN 1.0 ELSE 0 END) + (CASE WHEN words >= 20 THEN 0.35 ELSE 0 END) - (CASE WHEN words <= 18 AND NOT stops THEN 1.0 ELSE 0 END), 4) AS quality,
+  words <= 18 AND NOT stops AS title_like FROM p JOIN q USING (block_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, coverage DESC, quality DESC, words DESC, block_id) AS rank FROM e)
+"""
+)
+
+
+def _ranked(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
+    claims, blocks = _evidence(spark, sf_dir)
+    good = evidence.quality(blocks).select("block_id", "words", "title_like", "abstract_like", "quality")
+    return evidence.ranked(evidence.overlap(claims, blocks).join(good, "block_id"), top=top)
+
+
+@query(QUALITY_SQL + "SELECT claim_id, block_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank = 1")
+def best_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 1).select("claim_id", "block_id", "overlap", "rank")
+
+
+@query(
+    QUALITY_SQL
+    + """SELECT claim_id, block_id, CAST(rank AS INTEGER) AS rank, CASE WHEN overlap < 2 OR coverage < 0.25 OR title_like OR quality < 0 THEN 'low' WHEN overlap >= 3 AND coverage >= 0.5 AND quality >= 0.5 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE rank <= 5"""
+)
+def topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.confidence(_ranked(spark, sf_dir, 5)).select("claim_id", "block_id", "rank", "confidence")
+
+
+@query(f"SELECT doc_id, CAST(len({TERMS_SQL % 'text'}) AS BIGINT) AS n_terms, array_to_string(list_sort({TERMS_SQL % 'text'}), ' ') AS terms FROM documents WHERE lang = 'en'")
+def claim_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.terms(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
+# --- roll-ups ----------------------------------------------------------------------------------------
+
+
+@query(
+    BIB_SQL
+    + """, k AS (SELECT code, severity, citation_key, row_number() OVER (PARTITION BY code, severity ORDER BY citation_key) AS r FROM (SELECT DISTINCT code, severity, citation_key FROM issues) z)
+SELECT i.code, i.severity, i.n, s.sample, CASE WHEN s.keys > 10 THEN s.keys - 10 ELSE 0 END AS omitted FROM (SELECT code, severity, count(*) AS n FROM issues GROUP BY 1, 2) i
+JOIN (SELECT code, severity, string_agg(CASE WHEN r <= 10 THEN CAST(citation_key AS VARCHAR) END, ',' ORDER BY r) AS sample, count(*) AS keys FROM k GROUP BY 1, 2) s ON i.code = s.code AND i.severity = s.severity"""
+)
+def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.issue_summary(_issues(spark, sf_dir))
+
+
+@query(
+    BIB_SQL
+    + """, p AS (SELECT 'bibliography' AS phase UNION ALL SELECT 'source-title' UNION ALL SELECT 'claim review' UNION ALL SELECT 'manuscript'),
+g AS (SELECT count(*) FILTER (WHERE severity = 'blocking') AS blocking, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT code) AS codes FROM issues)
+SELECT phase, CASE WHEN phase = 'bibliography' THEN blocking ELSE 0 END AS blocking, CASE WHEN phase = 'bibliography' THEN warnings ELSE 0 END AS warnings, CASE WHEN phase = 'bibliography' THEN codes ELSE 0 END AS codes,
+  CASE WHEN phase = 'bibliography' AND blocking > 0 THEN 'blocked' WHEN phase = 'bibliography' AND warnings > 0 THEN 'warnings' ELSE 'pass' END AS status FROM p, g"""
+)
+def phase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.phases(spark, _issues(spark, sf_dir))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.histogram(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) z WHERE r = 1")
+def dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return rollup.first_seen(rows, ["user_id", "event_type"], "event_id")
+
+
+@query(
+    """SELECT event_id, event_type = 'click' AND n <= 3 AS selected FROM (SELECT event_id, event_type, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS n FROM events) z"""
+)
+def max_actions_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return rollup.gated(rows, "user_id", "event_id", F.col("event_type") == "click", 3).select("event_id", "selected")
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def first_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+# --- pages, text, manifests, updates -----------------------------------------------------------------
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>')) AS BIGINT) AS n_anchors FROM pages"""
+)
+def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(parsers.anchors(h)).cast("long").alias("n_anchors"))
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href FROM pages""")
+def html_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(parsers.anchors(F.col("html"))).alias("a")).select("page_id", "a.href")
+
+
+@query("SELECT page_id, h = 'example.com' OR h LIKE '%.example.com' AS matches FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS h FROM pages) z")
+def host_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.host_matches(F.col("url"), F.lit("example.com")).alias("matches"))
+
+
+@query("SELECT doc_id, length(trim(text)) < 80 AS too_short, text LIKE '%token = %' AS sensitive FROM documents")
+def text_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", (F.length(F.trim("text")) < 80).alias("too_short"), F.contains("text", F.lit("token = ")).alias("sensitive"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("sha"))
+
+
+@query("SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 120) || '_' || left(sha256(url), 12) || '.json' AS file FROM pages")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.cache_key(F.col("url")).alias("file"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 10 = 0 OR doc_id % 7 = 0")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("sha"))
+    now = d.where("doc_id % 10 <> 0").withColumn("sha", F.when(F.col("doc_id") % 7 == 0, "other").otherwise(F.col("sha")))
+    return upsert.manifest_diff(now, d, ["doc_id"])
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
+def lock_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "documents").select("doc_id", F.lit("old").alias("state"))
+    return upsert.upsert(old, table(spark, sf_dir, "labels").select("doc_id", F.lit("new").alias("state")), "doc_id")
+
+
+@query(
+    """SELECT doc_id AS citation_key, CASE WHEN l.doc_id IS NULL THEN 'keep' WHEN quality <> 1 THEN 'blocked' WHEN d.doc_id % 2 = 0 THEN 'unchanged' ELSE 'replace' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)"""
+)
+def sync_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citation_key"), F.col("lang").alias("text"))
+    canonical = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.concat("lang", F.lit("!")))
+    lock = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    lock = lock.select(F.col("doc_id").alias("citation_key"), canonical.alias("canonical"), T.sha256(F.concat(canonical, F.lit("\n"))).alias("stored_sha"), (F.col("quality") == 1).alias("ok"))
+    return upsert.sync_action(d, lock)
+
+
+@query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'draft' WHEN l.quality = 1 THEN CASE WHEN lang = 'de' THEN 'needs_review_weak_evidence' ELSE 'checked' END ELSE 'too_strong' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
+def review_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("claim_id"), F.lit("draft").alias("status"), F.when(F.col("lang") == "de", "Abstract").otherwise("body").alias("evidence_kind"))
+    r = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("claim_id"), F.when(F.col("quality") == 1, "supported").otherwise("too_strong").alias("decision"), F.lit(None).cast("string").alias("evidence_kind"), F.lit(0).alias("ord"))
+    return upsert.import_reviews(c, r, allow_checked=True).select(F.col("claim_id").alias("doc_id"), "status")
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS BIGINT) AS n FROM documents")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 320 THEN rtrim(left(text, 317), ' ') || '...' ELSE text END AS quote FROM documents")
+def quote_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text"), 320).alias("quote"))
+
+
+@query("SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM customer")
+def author_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", T.normalize_author(F.col("c_name"), nfkd=False).alias("name"))
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT conv_id AS root, turn AS path, 0 AS depth FROM conversations WHERE turn = 0 UNION ALL SELECT root, path + 1, depth + 1 FROM r JOIN conversations c ON c.conv_id = root AND c.turn = path + 1 WHERE depth < 20) SELECT root, path, depth FROM r"""
+)
+def include_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as files that include the next; a root's first turn reaches its whole conversation."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    name = lambda t: F.concat_ws("/", "conv_id", t)
+    edges = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"]).select(name("turn").alias("source"), name(F.col("turn") + 1).alias("target"))
+    out = parsers.closure(edges, c.where("turn = 0").select(name("turn").alias("path")))
+    return out.select(F.split_part("root", F.lit("/"), F.lit(1)).cast("long").alias("root"), F.split_part("path", F.lit("/"), F.lit(2)).cast("long").alias("path"), "depth")
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'de' THEN 'crossref,arxiv,openalex,semantic_scholar' WHEN lang = 'en' THEN 'acl,openalex,semantic_scholar' ELSE 'arxiv,openalex,semantic_scholar' END AS sources FROM documents")
+def source_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    d = table(spark, sf_dir, "documents")
+    got = parsers.recommended_sources(F.when(F.col("lang") == "en", "Proc. EMNLP"), none, F.when(F.col("lang") == "de", "10.1/x"), F.when(F.col("lang") == "de", "1234.5678"))
+    return d.select("doc_id", F.array_join(got, ",").alias("sources"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
