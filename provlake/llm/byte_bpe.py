@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +91,7 @@ class Codec:
     def ids_of(self, pre: list[str]) -> bytes:
         """ids of a list of pre-tokens, little-endian unsigned 32-bit."""
         known = self.known
-        for p in set(pre) - known.keys():
+        for p in set(filterfalse(known.__contains__, pre)):
             known[p] = np.array(merge(p.encode(), self.ranks), "<u4").tobytes()
         got = b"".join(map(known.__getitem__, pre))
         if len(known) > MOST_CACHED:
