@@ -1,6 +1,6 @@
 """Media columns: payloads stored as images in archives, read back through a Spark data source.
 
-``store`` turns each text into a lossless 8-bit grey image (binary PGM, 64 samples a row) and packs the images
+``store`` turns each text into a lossless 8-bit grey image (PNG, 64 samples a row) and packs the images
 of a task into one archive. An archive is: members, a directory of fixed-width entries (offset, length,
 crc32, doc_id, flags), and a footer that gives the directory's place. ``ArchiveSource`` is a Python data
 source: it plans byte-range partitions over the archives, each partition reads the directory entries of the
@@ -33,12 +33,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from provlake.llm.common import scratch, small_batches, text_batches
 
 WIDTH = 64
-RANGE_BYTES = 8_000_000
+RANGE_BYTES = 4_000_000
 RETRIES = 4
 ENTRY = struct.Struct("<QIIqIB3x")  # offset, length, crc32, doc_id, unpadded bytes, doc_id is null
 FOOTER = struct.Struct("<QQ8s")  # directory offset, members, mark
 MARK = b"GREYARC1"
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 def padded(raw: bytes) -> bytes:
@@ -46,18 +47,40 @@ def padded(raw: bytes) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // WIDTH)) * WIDTH, b"\0")
 
 
+def chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
 def to_image(payload: bytes) -> bytes:
-    """A binary PGM whose samples are the payload."""
-    return b"P5\n%d %d\n255\n" % (WIDTH, len(payload) // WIDTH) + payload
+    """A grey PNG whose 8-bit samples are the payload; rows are unfiltered."""
+    x = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    rows = np.zeros((len(x), WIDTH + 1), np.uint8)
+    rows[:, 1:] = x
+    head = struct.pack(">IIBBBBB", WIDTH, len(x), 8, 0, 0, 0, 0)
+    return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + chunk(b"IEND", b"")
 
 
 def from_image(stored: bytes) -> bytes:
-    """The samples of a binary PGM of this width."""
-    kind, size, depth, samples = stored.split(b"\n", 3)
-    width, height = map(int, size.split())
-    if kind != b"P5" or width != WIDTH or depth != b"255" or len(samples) != width * height:
-        raise ValueError("not an image of ours")
-    return samples
+    """The samples of a grey 8-bit PNG of this width with unfiltered rows; checksums are verified."""
+    if stored[:8] != SIGNATURE:
+        raise ValueError("not a PNG")
+    at, height, data = 8, 0, []
+    while at < len(stored):
+        n, kind = struct.unpack_from(">I4s", stored, at)
+        body = stored[at + 8 : at + 8 + n]
+        if struct.unpack_from(">I", stored, at + 8 + n)[0] != zlib.crc32(kind + body):
+            raise ValueError("a chunk fails its checksum")
+        if kind == b"IHDR":
+            width, height, *form = struct.unpack(">IIBBBBB", body)
+            if width != WIDTH or form != [8, 0, 0, 0, 0]:
+                raise ValueError("not an image of ours")
+        elif kind == b"IDAT":
+            data.append(body)
+        at += 12 + n
+    rows = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8).reshape(height, WIDTH + 1)
+    if rows[:, 0].any():
+        raise ValueError("a row is filtered")
+    return rows[:, 1:].tobytes()
 
 
 def features(samples: bytes) -> str:
