@@ -163,7 +163,10 @@ def claim_stubs(files: DataFrame) -> DataFrame:
         plain = re.sub(r"(?m)%.*$", "", text)
         for para in re.finditer(r"(?:[^\n]*\S[^\n]*\n?)+", plain):
             at = para.start()
-            for s in re.split(r"(?<=[.!?])(?=\s)", para[0]):
+            # a full stop within a citation ends no sentence
+            masked = find.sub(lambda m: "x" * len(m[0]), para[0])
+            ends = [m.end() for m in re.finditer(r"[.!?](?=\s)", masked)] + [len(masked)]
+            for s in (para[0][a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)):
                 hits = list(find.finditer(s))
                 if hits:
                     line = plain.count("\n", 0, at + hits[0].start()) + 1

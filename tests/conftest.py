@@ -3,11 +3,13 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, TOP)
+os.environ["PYTHONPATH"] = os.pathsep.join([TOP, os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from provlake.session import local_session
 
     s = local_session("tests", "4", 4)
