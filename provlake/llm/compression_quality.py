@@ -32,6 +32,8 @@ TRAIN_BYTES = 4096
 DICTIONARY_BYTES = 110_000
 BLOCK = 4096
 LEVEL = 3
+#: With fewer calibration rows of the rarer label the curve has two inputs only.
+FEW = 25
 
 
 def train(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -87,7 +89,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def calibrate(sizes: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def calibrate(sizes: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and weights of the logistic curve, by Newton steps."""
     x = inputs(sizes)
     mean, scale = x.mean(0), x.std(0)
@@ -96,6 +98,8 @@ def calibrate(sizes: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np
     x = (x - mean) / scale
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
+    if min(y.sum(), len(y) - y.sum()) < FEW:  # too few to fit more than the difference and the share
+        penalty[3:] = 1e9
     penalty[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
