@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import constants as K
 from provlake.functions import text as T
-from provlake.operators import audit, evidence, resolve, rollup, upsert
+from provlake.operators import audit, evidence, resolve, rollup, titles, upsert
 from provlake.session import table
 from provlake.sources import parsers
 
@@ -436,6 +436,56 @@ def source_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(got, ",").alias("sources"))
 
 
+TITLE_PAGE_SQL = r"""
+WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS head FROM pages),
+c AS (SELECT page_id, title, head, regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS t, regexp_replace(lower(head), '[^a-z0-9]', '', 'g') AS h FROM p)
+"""
+
+
+@query(TITLE_PAGE_SQL + "SELECT page_id, trim(title) = '' OR lower(trim(title)) = lower(trim(head)) OR (t <> '' AND h <> '' AND (contains(h, t) OR (length(h) >= least(32, length(t)) AND contains(t, h)))) AS matches FROM c")
+def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("html")
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_extract(h, r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("head"))
+    return p.select("page_id", titles.matches(F.col("title"), F.array("head"), nfkc=False).alias("matches"))
+
+
+@query("SELECT doc_id, regexp_replace(trim(string_split(text, chr(10))[1]), '\\s+', ' ', 'g') AS first FROM documents WHERE length(trim(string_split(text, chr(10))[1])) >= 8 AND NOT starts_with(lower(trim(text)), 'abstract') AND length(string_split(text, chr(10))[1]) < 4000")
+def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("length(trim(split(text, '\n')[0])) >= 8 and not startswith(lower(trim(text)), 'abstract') and length(split(text, '\n')[0]) < 4000")
+    return d.select("doc_id", titles.lines(F.col("text")).alias("ls")).select("doc_id", F.get(titles.candidates(F.col("ls")), F.lit(0)).alias("first"))
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 OR doc_id % 9 = 0")
+def monitor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = table(spark, sf_dir, "labels")
+    lock = lab.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "official_record_pending").otherwise("draft").alias("status"), F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "arxiv_manual_normalized").alias("source_kind"), F.lit("acl").alias("authority"))
+    return titles.needs_monitor(lock).select("doc_id")
+
+
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://arxiv.org/pdf/' || page_id WHEN page_id % 3 = 1 THEN 'https://openreview.net/pdf?id=' || page_id ELSE 'https://proceedings.mlr.press/v1/p' || page_id || '/p' || page_id || '.pdf' END AS pdf FROM pages"""
+)
+def url_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://openreview.net/forum?id="), n))
+    u = u.otherwise(F.concat(F.lit("https://proceedings.mlr.press/v1/p"), n, F.lit(".html")))
+    return table(spark, sf_dir, "pages").select("page_id", titles.pdf_url(F.col("url"), u).alias("pdf"))
+
+
+@query(
+    """SELECT code, event_type AS source, count(*) AS n, min(event_id) AS first FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN 'NO_CANDIDATES' WHEN 1 THEN 'LIVE_SMOKE_RATE_LIMITED' WHEN 2 THEN 'LIVE_SMOKE_NETWORK_UNAVAILABLE' WHEN 3 THEN 'LIVE_SMOKE_HTTP_ERROR' ELSE 'LIVE_SMOKE_DISCOVERY_ERROR' END AS code FROM events) z GROUP BY 1, 2"""
+)
+def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = F.array(*map(F.lit, ["", "HTTP Error 429: Too Many Requests", "<urlopen error timed out>", "HTTP Error 500", "bad payload"]))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"), titles.failure_code(F.get(errors, (F.col("event_id") % 5).cast("int"))).alias("code"))
+    return e.groupBy("code", "source").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+
+
+@query(BIB_SQL + "SELECT citation_key, count(*) FILTER (WHERE severity = 'blocking') = 0 AS ok FROM issues GROUP BY 1")
+def gate_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.ok(_issues(spark, sf_dir), "citation_key")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
