@@ -8,10 +8,11 @@ hash of its words.
 2. a band's entries meet in one partition. Items of a batch that share a band are linked to the batch's least item
    on the spot, so a band that a third of all texts share has one entry a batch, not one a text
 3. candidate pairs join each item to its band's least item. Pairs are measured exactly on the texts
-4. bands whose items are still in several components are tried further: each item with those items of other
-   components whose signatures agree best, in blocks of ``BLOCK`` items; at first with ``ROUNDS[0]`` of them, in the
-   last round with all that agree enough to be similar (``SLACK``, about five standard deviations, below the
-   threshold). So no link is lost to the star shape, and no group puts out all its pairs while a few join it
+4. where a band's items are still in several components, components that have items of like signatures (``SLACK``,
+   about five standard deviations, below the threshold) are one family. A family's items meet in blocks of
+   ``BLOCK``, each block with each, and a block pair measures exactly whatever is in different components. It puts
+   out no more links than join its components, so no link is lost to the star shape of step 3, and no group puts
+   out all its pairs
 
 Edge cases: null and empty texts and those of blanks only have no words, and are one class; texts of one to four
 words have one shingle; repeated rows are in their class each; a null doc_id is kept, and the least of a class only
@@ -37,7 +38,7 @@ from provlake.llm.suffix_dedup import by_target, gathered, rows_of
 SIMILARITY = 0.8
 ROWS = 4
 BLOCK = 512
-ROUNDS = (4, 32, None)
+COLUMNS = 4096
 SLACK = 0.18
 BAND, MEMBER = 0, 1
 MEMBERS = "key long, id long, hub long"
@@ -89,7 +90,7 @@ def stars(key: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def band_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             parts = [np.frombuffer(k, np.int64) for k in b.column(1).to_pylist()]
@@ -108,7 +109,7 @@ def band_rows(n: int):
                 found.append((t, BAND, blobs.pack(key[k], item[k])))
             yield rows_of(found)
 
-    return run
+    return bands
 
 
 def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,64 +126,109 @@ def member_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (key, item, hub)], names=["key", "id", "hub"])
 
 
+def elements(texts: pa.Array) -> list[np.ndarray]:
+    """The multiset of each text's shingles, as sorted hashes of (shingle, which occurrence)."""
+    out: list[np.ndarray] = []
+    zero = pa.array(np.zeros(len(texts), np.int64))
+    for _, _, raw, starts, _ in gathered(iter([pa.RecordBatch.from_arrays([zero, zero, texts], names=["d", "r", "t"])])):
+        _, _, (own, shingle, weight) = measured(raw, starts)
+        times = np.repeat(np.arange(len(own)), weight)
+        level = np.arange(len(times)) - np.repeat(np.cumsum(weight) - weight, weight)
+        value = mix(shingle[times] + level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        value = value[np.lexsort((value, own[times]))]
+        ends = np.searchsorted(own[times], np.arange(len(starts)))
+        out += [value[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def similar_rows(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, similar) of pairs with both texts."""
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b) of those pairs with both texts that are similar."""
         for b in batches:
-            sides = []
-            for col in (2, 3):
-                text = pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(col)], names=["d", "r", "t"])
-                found: list[np.ndarray] = []
-                for _, _, raw, starts, _ in gathered(iter([text])):
-                    _, _, (own, shingle, weight) = measured(raw, starts)
-                    # a shingle that occurs w times is w elements
-                    times = np.repeat(np.arange(len(own)), weight)
-                    level = np.arange(len(times)) - np.repeat(np.cumsum(weight) - weight, weight)
-                    value = mix(shingle[times] + level.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                    order = np.lexsort((value, own[times]))
-                    ends = np.searchsorted(own[times], np.arange(len(starts)))
-                    value = value[order]
-                    found += [value[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                sides.append(found)
-            ok = [shingles.overlap(x, y) >= threshold for x, y in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "similar"])
-
-    return run
-
-
-def partner_rows(most: int | None, least: float):
-    """Pairs of items of different components within a block pair; rows come sorted by key, i, j."""
-
-    def pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        side = np.array([r[0] for r in rows])
-        ids = np.array([r[1] for r in rows], np.int64)
-        root = np.array([r[2] for r in rows], np.int64)
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the block meets itself
-        out_a, out_b = [], []
-        for i in x:
-            agree = (sig[y] == sig[i]).mean(axis=1)
-            fits = np.flatnonzero((agree >= least) & (root[y] != root[i]) & (ids[y] != ids[i]))
-            if most is not None and len(fits) > most:
-                fits = fits[np.argsort(-agree[fits], kind="stable")[:most]]
-            out_a.append(np.full(len(fits), ids[i]))
-            out_b.append(ids[y[fits]])
-        a, b = np.concatenate(out_a or [ids[:0]]), np.concatenate(out_b or [ids[:0]])
-        return np.minimum(a, b), np.maximum(a, b)
+            ok = [shingles.overlap(x, y) >= threshold for x, y in zip(elements(b.column(2)), elements(b.column(3)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return similar
+
+
+class Union:
+    """Joins roots and tells whether two were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
+def joining(like: np.ndarray, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Of the pairs (rows of x, of y) that are alike, as few as join their components."""
+    i, j = np.nonzero(like & (root[x][:, None] != root[y][None, :]))
+    union = Union()
+    return [(p, q) for p, q in zip(x[i].tolist(), y[j].tolist(), strict=True) if union.join(int(root[p]), int(root[q]))]
+
+
+def by_signature(payload: list[bytes], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    sig = np.frombuffer(b"".join(payload), np.uint8).reshape(len(payload), -1)
+    return np.array([(sig[y] == sig[i]).mean(axis=1) >= least for i in x]).reshape(len(x), len(y))
+
+
+def by_overlap(payload: list[str], x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Exact similarities by products of incidence matrices, some columns (elements of two items or more) at a time."""
+    sets = elements(pa.array(payload, pa.string()))
+    sizes = np.array([len(e) for e in sets])
+    item = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    shared = (count > 1)[column]
+    item, column = item[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    item, column = item[order], column[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        own = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[item[own], column[own] - c] = 1
+        common += m[x] @ m[y].T
+    union = sizes[x][:, None] + sizes[y][None, :] - common
+    return (common >= least * union - 1e-6) & (union > 0)
+
+
+def block_rows(alike, least: float, ids_out: bool):
+    """Links within block pairs, which come sorted: (a, b) of items, or of their components."""
+
+    def links_of(rows: list[tuple]) -> pa.RecordBatch:
+        side, ids, root, payload = zip(*rows, strict=True)
+        side, ids, root = np.array(side), np.array(ids, np.int64), np.array(root, np.int64)
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the block meets itself
+        found: list[tuple[int, int]] = []
+        if len(x) and len(y) and (root != root[0]).any():
+            found = joining(alike(list(payload), x, y, least), x, y, root)
+        p, q = np.array(found, np.int64).reshape(-1, 2).T
+        a, b = (ids[p], ids[q]) if ids_out else (root[p], root[q])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for key, i, j, side, item, root, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, i, j) != now:
                     if held:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(held)], names=["a", "b"])
+                        yield links_of(held)
                     now, held = (key, i, j), []
-                held.append((side, item, root, sig))
+                held.append(tuple(row))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs(held)], names=["a", "b"])
+            yield links_of(held)
 
-    return run
+    return block_links
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -200,18 +246,21 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
-def blocks(open_: DataFrame) -> DataFrame:
-    """(key, i, j, side, id, root, sig): an item goes to each pair of blocks of its key that has its own."""
-    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    rows = open_.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def blocks(rows: DataFrame, payload: str) -> DataFrame:
+    """(key, i, j, side, id, root, payload): an item goes to each pair of blocks of its key that has its own.
+
+    Items of one component mostly share blocks, so most block pairs of a group that is one but for a few are skipped.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    out = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "root", "sig")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    out = out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "root", payload)
+    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -> DataFrame | None:
-    """(id, root) of the items that have a near duplicate; None if no band has two items."""
+    """(id, root) of the items that have a near duplicate; None if there are none."""
     spark = docs.sparkSession
     n = blobs.partitions(spark)
     members = stored(blobs.exchange(sketches.select("id", "bands").mapInArrow(band_rows(n), blobs.ROW), n).mapInArrow(member_rows, MEMBERS), "members")
@@ -220,38 +269,34 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
         return None
     least = threshold - SLACK
     ids = members.select("id").distinct()
-    found = sketches.join(ids, "id")
     # one text and one signature for each item: of its least doc_id
-    first = stored(found.groupBy("id").agg(F.min_by(F.struct("row", "sig"), F.struct("doc_id", "row")).alias("x")).select("id", "x.row", "x.sig"), "items")
+    first = sketches.join(ids, "id").groupBy("id").agg(F.min_by(F.struct("row", "sig"), F.struct("doc_id", "row")).alias("x"))
+    first = stored(first.select("id", "x.row", "x.sig"), "items")
     sigs = first.select("id", "sig")
     texts = stored(docs.join(first.select("id", "row"), "row").select("id", "text").dropDuplicates(["id"]), "texts")
     blobs.free_shuffles(spark)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        b = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        both = b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(similar_rows(threshold), "a long, b long, similar boolean"), "measured")
-
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    tested = verified(agreeing(pairs, sigs, least))
-    labels = None
-    for most in ROUNDS:
-        good = tested.where("similar").select("a", "b")
-        if not good.isEmpty():
-            labels = components(good)
-        root = members.select("key", "id").distinct()
-        root = root.join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")) if labels is not None else root.withColumn("root", F.col("id"))
-        mixed = root.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _n > 2").select("key")
-        open_ = stored(root.join(mixed, "key").join(sigs, "id"), "open")
-        if open_.isEmpty():
-            break
-        more = blocks(open_).mapInArrow(partner_rows(most, least), "a long, b long").distinct()
-        more = stored(more.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            break
-        tested = stored(tested.unionByName(verified(more)), "tested")
-    good = tested.where("similar").select("a", "b")
-    return None if good.isEmpty() else components(good)
+    pairs = agreeing(pairs, sigs, least).join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+    good = stored(pairs.mapInArrow(similar_rows(threshold), "a long, b long"), "similar")
+    blobs.free_shuffles(spark)
+    labels = None if good.isEmpty() else components(good)
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("root", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+    root = rooted(members.select("key", "id").distinct())
+    mixed = root.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _n > 2").select("key")
+    near = stored(blocks(root.join(mixed, "key").join(sigs, "id"), "sig").mapInArrow(block_rows(by_signature, least, False), "a long, b long").distinct(), "families")
+    blobs.free_shuffles(spark)
+    if near.isEmpty():
+        return labels
+    families = components(near).select(F.col("id").alias("root"), F.col("root").alias("key"))
+    items = rooted(ids).join(families, "root").join(texts, "id").select("key", "id", "root", "text")
+    more = stored(blocks(items, "text").mapInArrow(block_rows(by_overlap, threshold, True), "a long, b long").distinct(), "similar")
+    blobs.free_shuffles(spark)
+    return labels if more.isEmpty() else components(good.unionByName(more))
 
 
 def plain(docs: DataFrame) -> DataFrame:
