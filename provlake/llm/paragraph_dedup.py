@@ -99,7 +99,7 @@ def minhash_keys(own: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
 
 
 def entry_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def paragraph_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, row, raw, starts, _ in gathered(batches):
             text, number, _, _, _, size, of, value = paragraphs(raw, starts)
             long = size >= LEAST_WORDS
@@ -133,13 +133,13 @@ def entry_rows(n: int):
                     found.append((t, band, blobs.pack(doc, row, blobs.deltas(text[i].astype(np.uint32)), number[i].astype(np.uint32), key[s], content[i].astype(np.uint32))))
             yield rows_of(found)
 
-    return run
+    return paragraph_entries
 
 
 def band_rows(n: int):
     """Settle copies (band 0) and ask for the paragraphs of bands with several contents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple[int, int], list[list[np.ndarray]]] = defaultdict(list)
         for b in batches:
             for target, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -172,11 +172,11 @@ def band_rows(n: int):
                 found.append((t, ASKED, blobs.pack(doc[k], row[k], number[k].astype(np.int64), group[s])))
             yield rows_of(found)
 
-    return run
+    return bands
 
 
 def set_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held: Held | None = None
         for b in batches:
@@ -206,7 +206,7 @@ def set_rows(n: int):
                     [(t, SETS, blobs.pack(doc[s], row[s], number[s], content[s], group[s], size[s].astype(np.uint32), shingle[ragged(starts[s], size[s])])) for t, s in by_target(group >> np.int64(36), n)]
                 )
 
-    return run
+    return sets
 
 
 def similar_links(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
@@ -239,7 +239,7 @@ LINK = "a long, b long, a_doc long, a_row long, a_number long, b_doc long, b_row
 
 
 def link_rows(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def set_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [blobs.unpack(p) for b in batches for p in b.column(2).to_pylist()]
         if not parts:
             return
@@ -263,7 +263,7 @@ def link_rows(threshold: float):
             names = ["a", "b", "a_doc", "a_row", "a_number", "b_doc", "b_row", "b_number"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return run
+    return set_links
 
 
 RESULT = "doc_id long, row long, n_bytes long, n_paragraphs long, n_gone long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -279,7 +279,7 @@ def runs_of(gone: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def cut_rows(with_kept: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held: Held | None = None
         for b in batches:
@@ -305,19 +305,19 @@ def cut_rows(with_kept: bool):
                 names = ("doc_id", "row", "n_bytes", "n_paragraphs", "n_gone", "n_removed", "n_spans", "kept_sha256", "kept")
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return run
+    return cut_paragraphs
 
 
 def gone_rows(n: int):
     """(doc, row, number) rows, sorted into packs for the texts' partitions."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gone_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 doc, row, number = (c.to_numpy() for c in b.columns)
                 yield rows_of([(t, GONE, blobs.pack(doc[s], row[s], number[s])) for t, s in by_target(home(row, n), n)])
 
-    return run
+    return gone_packs
 
 
 def dedup(docs: DataFrame, threshold: float = SIMILARITY, with_kept: bool = False) -> DataFrame:
