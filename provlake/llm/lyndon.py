@@ -63,13 +63,17 @@ def _group_all(n, starts, lane_of, at, place, group, size, start_of_end) -> np.n
     while len(cursor):
         g = start_of_end[cursor]
         n_members = cursor - g + 1
-        members = at[ragged(g, n_members)]
-        own = np.repeat(g, n_members)
-        p = _skip(left, left[members], own, group_at)
-        q = _skip(right, right[members], own, group_at)
+        members = np.sort(at[ragged(g, n_members)])
+        # members that stand next to each other in what is left are one run, with one pointer
+        before = left[members]
+        new_run = np.ones(len(members), bool)
+        new_run[1:] = before[1:] != members[:-1]
+        head = np.flatnonzero(new_run)
+        p = before[head]
+        q = right[members[np.append(head[1:], len(members)) - 1]]
         right[p] = q
         left[q] = p
-        left[none] = right[none] = none
+        p = p[np.cumsum(new_run) - 1]
         inside = p != none
         to = p[inside]
         previous[members[inside]] = to
@@ -126,15 +130,6 @@ def _group_all(n, starts, lane_of, at, place, group, size, start_of_end) -> np.n
     return previous
 
 
-def _skip(link: np.ndarray, to: np.ndarray, own: np.ndarray, group_at: np.ndarray) -> np.ndarray:
-    """Follow a link past members of the same group."""
-    same = np.flatnonzero(group_at[to] == own)
-    while len(same):
-        to[same] = link[to[same]]
-        same = same[group_at[to[same]] == own[same]]
-    return to
-
-
 def _emit(n, starts, group, previous) -> np.ndarray:
     """Ranks in ascending order, one rank of every lane at a time."""
     out = np.full(n, -1, np.int64)

@@ -3,8 +3,8 @@
 Building one suffix array over a corpus isn't distributable, so documents first meet through anchors. An anchor
 is a ``GRAM``-byte string whose hash is least among those of some ``WINDOW``-byte string (equal least ones all
 count). Which anchor a window has depends on its own bytes only, hence equal windows share an anchor at the same
-place, and all that could make a window a repeat lies in the anchors' contexts: the ``REACH`` bytes before it to the
-``WINDOW`` bytes from it.
+place, and all that could make a window a repeat lies in the anchors' contexts: what the windows that have them span,
+at most ``REACH`` bytes before to ``WINDOW`` bytes from the anchor.
 
 1. anchors    each task hashes its texts, finds anchors, and settles what repeats within its own batch; one entry
               for each (anchor, context, least document) goes to the anchor's partition, as packed arrays
@@ -46,8 +46,10 @@ GRAM = 20
 REACH = WINDOW - GRAM
 BATCH_BYTES = 4_000_000
 PIECE = 2_000_000
-LANE = 128
+STEP = 3
+LANE = 2000
 LANE_SYMBOLS = 1_500_000
+NOTHING = np.zeros(0, np.int64)
 NULL_ID = np.iinfo(np.int64).min
 ENTRIES, LOCAL, FULL, ASKED, TEXTS, PARTS = range(6)
 
@@ -80,9 +82,10 @@ def sliding(x: np.ndarray, w: int, best: np.ufunc, forward: bool) -> np.ndarray:
 
 
 def find_anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of texts laid end to end: (text number, place in it, anchor hash, context hash).
+    """Anchors of texts laid end to end: (text number, place in it, reach, anchor hash, context hash).
 
-    starts: n+1 offsets. Long texts are scanned in pieces that overlap by more than a context.
+    An anchor's context is what the windows that have it span; reach packs the bytes of it before the anchor and
+    those from it on (``sides``). starts: n+1 offsets. Long texts are scanned in pieces that overlap by more than a context.
     """
     out: list[list[np.ndarray]] = []
     lengths = np.diff(starts)
@@ -113,21 +116,41 @@ def find_anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
         places = np.arange(n)
         fits = places + GRAM <= stop
         g[~fits] = np.uint64(2**64 - 1)
-        least = sliding(g, REACH + 1, np.minimum, True)
+        tables = [g]  # least of 1, 2, 4, ... grams from each place on
+        for j in range(4):
+            t = tables[-1].copy()
+            if n > 1 << j:
+                np.minimum(t[: -(1 << j)], tables[-1][1 << j :], out=t[: -(1 << j)])
+            tables.append(t)
+        least = tables[4].copy()
+        if n > REACH - 15:
+            np.minimum(least[: -(REACH - 15)], tables[4][REACH - 15 :], out=least[: -(REACH - 15)])
         least[places + WINDOW > stop] = 0
         chosen = np.flatnonzero((sliding(least, REACH + 1, np.maximum, False) == g) & fits)
         own = piece[chosen]
         at = chosen - first[own] + from_[own]
         inside = (at >= keep_a[own]) & (at < keep_b[own])
         chosen, own, at = chosen[inside], own[inside], at[inside]
-        l = np.minimum(REACH, at)
-        r = np.minimum(WINDOW, lengths[text[own]] - at)
+        # an anchor's windows: no gram in them is less, so they are neighbours; from ``low`` to ``high`` bytes before it
+        mine, before, after = g[chosen], np.zeros(len(chosen), np.int64), np.zeros(len(chosen), np.int64)
+        for j in (4, 3, 2, 1, 0):
+            from_left = chosen - before - (1 << j)
+            before += (1 << j) * ((from_left >= 0) & (tables[j][np.maximum(from_left, 0)] >= mine))
+            from_right = chosen + after + 1
+            after += (1 << j) * ((from_right < n) & (tables[j][np.minimum(from_right, n - 1)] >= mine))
+        high = np.minimum(np.minimum(before, REACH), chosen - first[own])
+        low = np.maximum(np.maximum(REACH - after, chosen + WINDOW - stop[chosen]), 0)
+        l, r = high, WINDOW - low
         context = (total[chosen + r] - total[chosen - l]) * down[chosen - l]
         context = mix(context + l.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + r.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        out.append([text[own], at, mix(g[chosen]), context])
+        out.append([text[own], at, (l | r << 8).astype(np.uint16), mix(g[chosen]), context])
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(4))
+        return NOTHING, NOTHING, NOTHING.astype(np.uint16), NOTHING.view(np.uint64), NOTHING.view(np.uint64)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(5))
+
+
+def sides(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (reach & 255).astype(np.int64), (reach >> 8).astype(np.int64)
 
 
 def by_target(target: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,13 +186,13 @@ def home(row: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchor_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, row, raw, starts, _ in gathered(batches):
-            text, at, anchor, context = find_anchors(raw, starts)
+            text, at, reach, anchor, context = find_anchors(raw, starts)
             if not len(text):
                 continue
             order = np.lexsort((doc[text], context, anchor))
-            text, at, anchor, context = text[order], at[order], anchor[order], context[order]
+            text, at, reach, anchor, context = (x[order] for x in (text, at, reach, anchor, context))
             d = doc[text]
             new = np.r_[True, (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])]
             least = d[new][np.cumsum(new) - 1]
@@ -178,33 +201,35 @@ def anchor_rows(n: int):
             k = np.flatnonzero(known)
             for t, some in by_target(home(row[text[k]], n), n):
                 s = k[some]
-                found.append((t, LOCAL, blobs.pack(doc[text[s]], row[text[s]], at[s].astype(np.uint32))))
+                found.append((t, LOCAL, blobs.pack(doc[text[s]], row[text[s]], at[s].astype(np.uint32), reach[s])))
             k = np.flatnonzero(~known)
             for t, some in by_target(((anchor[k] >> np.uint64(32)) % np.uint64(n)).astype(np.int64), n):
                 s = k[some]
                 s = s[np.lexsort((at[s], text[s]))]
-                found.append((t, ENTRIES, blobs.pack(doc, row, blobs.deltas(text[s].astype(np.uint32)), at[s].astype(np.uint32), anchor[s].astype(np.uint32), context[s])))
+                found.append((t, ENTRIES, blobs.pack(doc, row, blobs.deltas(text[s].astype(np.uint32)), at[s].astype(np.uint32), reach[s], anchor[s].astype(np.uint32), context[s])))
             yield rows_of(found)
 
-    return run
+    return anchors
 
 
 def entry_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[list[np.ndarray]]] = defaultdict(list)
+        local: dict[int, list[list[np.ndarray]]] = defaultdict(list)
         for b in batches:
             for target, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == LOCAL:
-                    d, r, at = blobs.unpack(payload)
-                    yield rows_of([(target, FULL, blobs.pack(d, r, at))])
+                    local[target].append(blobs.unpack(payload))
                     continue
-                doc, row, text, at, anchor, context = blobs.unpack(payload)
+                doc, row, text, at, reach, anchor, context = blobs.unpack(payload)
                 text = np.cumsum(text, dtype=np.uint32)
-                parts[target].append([doc[text], row[text], at, anchor, context])
+                parts[target].append([doc[text], row[text], at, reach, anchor, context])
+        yield rows_of([(t, FULL, blobs.pack(*blobs.joined(p, 4))) for t, p in local.items()])
+        local.clear()
         for bucket in list(parts):
-            doc, row, at, anchor, context = blobs.joined(parts.pop(bucket), 5)
+            doc, row, at, reach, anchor, context = blobs.joined(parts.pop(bucket), 6)
             order = np.lexsort((doc, context, anchor))
-            doc, row, at, anchor, context = (x[order] for x in (doc, row, at, anchor, context))
+            doc, row, at, reach, anchor, context = (x[order] for x in (doc, row, at, reach, anchor, context))
             new_a = np.r_[True, anchor[1:] != anchor[:-1]]
             new_c = new_a.copy()
             new_c[1:] |= context[1:] != context[:-1]
@@ -218,15 +243,15 @@ def entry_rows(n: int):
             k = np.flatnonzero(full)
             for t, some in by_target(home(row[k], n), n):
                 s = k[some]
-                found.append((t, FULL, blobs.pack(doc[s], row[s], at[s])))
+                found.append((t, FULL, blobs.pack(doc[s], row[s], at[s], reach[s])))
             k = np.flatnonzero(asked)
             group = (of_a[k].astype(np.int64)) | (np.int64(bucket) << np.int64(36))
             for t, some in by_target(home(row[k], n), n):
                 s = k[some]
-                found.append((t, ASKED, blobs.pack(doc[s], row[s], at[s], group[some])))
+                found.append((t, ASKED, blobs.pack(doc[s], row[s], at[s], reach[s], group[some])))
             yield rows_of(found)
 
-    return run
+    return entries
 
 
 def ipc(rows: pa.RecordBatch) -> np.ndarray:
@@ -239,7 +264,7 @@ def ipc(rows: pa.RecordBatch) -> np.ndarray:
 def text_rows(n: int):
     """Texts on their way to their partitions, with the rows' further columns, if any."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, row, raw, starts, own in gathered(batches):
             found = []
             for t, s in by_target(home(row, n), n):
@@ -248,7 +273,7 @@ def text_rows(n: int):
                 found.append((t, TEXTS, blobs.pack(doc[s], row[s], size, raw[ragged(starts[s], size)], more)))
             yield rows_of(found)
 
-    return run
+    return texts
 
 
 class Held:
@@ -277,7 +302,7 @@ def texts_of(payload: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
 def context_rows(n: int):
     """Rows come sorted by kind, so what is asked for is there before the texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held: Held | None = None
         for b in batches:
@@ -285,15 +310,15 @@ def context_rows(n: int):
                 if kind == ASKED:
                     parts.append(blobs.unpack(payload))
                 elif kind == TEXTS:
-                    held = held or Held(parts, 4)
+                    held = held or Held(parts, 5)
                     cut: list[list[np.ndarray]] = []
                     for doc, row, raw in texts_of(payload):
-                        at, group = held.of(doc, row)
+                        at, reach, group = held.of(doc, row)
                         if not len(at):
                             continue
                         at = at.astype(np.int64)
-                        l = np.minimum(REACH, at)
-                        size = l + np.minimum(WINDOW, len(raw) - at)
+                        l, r = sides(reach)
+                        size = l + r
                         cut.append([np.full(len(at), doc), np.full(len(at), row), at, l, size, group, raw[ragged(at - l, size)]])
                     if not cut:
                         continue
@@ -304,7 +329,7 @@ def context_rows(n: int):
                         found.append((t, PARTS, blobs.pack(doc[s], row[s], at[s].astype(np.uint32), l[s].astype(np.uint8), size[s].astype(np.uint8), group[s], raw[ragged(starts[s], size[s])])))
                     yield rows_of(found)
 
-    return run
+    return contexts
 
 
 def repeats_in(doc: np.ndarray, group: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,46 +382,80 @@ def repeats_in(doc: np.ndarray, group: np.ndarray, raw: np.ndarray, starts: np.n
     return np.concatenate(found_c), np.concatenate(found_o)
 
 
-def split_large(group: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, l: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """Contexts of groups within ``most``: (context, group, start, size), those of larger groups cut to sub-groups.
+def with_partner(group: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, l: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a context another of its group may share: from ``low`` to ``high`` bytes before the anchor.
 
-    The windows of an anchor that begin between ``low`` and ``high`` bytes before it all hold the bytes from low
-    before it to WINDOW - high after it. So contexts are grouped anew by these bytes, and cut to what such windows
-    can reach; down to one window, which all of a sub-group's contexts then equal.
+    Windows that begin from ``a`` to ``b`` bytes before the anchor all hold the bytes from a before it to WINDOW - b
+    after it, so contexts that share one agree there. A context that agrees with no other at any step of STEP
+    beginnings has no repeat and needs no suffixes (low above high).
     """
-    done: list[tuple[np.ndarray, ...]] = []
-    todo = [(np.arange(len(group)), group, 0, REACH)]
+    up, down = powers(len(raw) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    lowest, highest = np.full(len(group), REACH + 1), np.full(len(group), -1)
+    for a in range(0, REACH + 1, STEP):
+        b = min(a + STEP - 1, REACH)
+        fits = np.flatnonzero((l >= a) & (sizes - l >= WINDOW - b))
+        first = starts[fits] + l[fits] - a
+        key = mix((total[first + a + WINDOW - b] - total[first]) * down[first] + mix(group[fits].view(np.uint64)))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        shared = np.zeros(len(fits), bool)
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        shared = fits[shared]
+        lowest[shared] = np.minimum(lowest[shared], a)
+        highest[shared] = b
+    return lowest, highest
+
+
+def split_large(doc: np.ndarray, group: np.ndarray, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, l: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """What suffix arrays are to be built of, (context, group, start, size), and what is a copy: (context, start, size).
+
+    Groups of more than ``most`` contexts are split. The windows of an anchor that begin from ``low`` to ``high``
+    bytes before it all hold the bytes from low before it to WINDOW - high after it; so contexts are grouped anew by
+    these bytes and cut to what such windows reach, down to one window. Cut contexts of a group that are equal are
+    one: those of larger documents than the least are copies throughout. A context alone in its group has no repeat.
+    """
+    up, down = powers(len(raw) + 1)
+    total = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
+    done: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+    copies: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+    todo = [(np.arange(len(group)), np.unique(group, return_inverse=True)[1], 0, REACH)]
+    base = 0
     while todo:
         c, g, low, high = todo.pop()
-        _, number, count = np.unique(g, return_inverse=True, return_counts=True)
-        small = (count <= most)[number] | (low == high)
-        s = c[small]
-        lead = np.minimum(l[s], high)
-        from_ = l[s] - lead
-        to = np.minimum(sizes[s], l[s] + WINDOW - low)
-        done.append((s, number[small], starts[s] + from_, to - from_))
-        c, number = c[~small], number[~small]
+        from_ = starts[c] + l[c] - np.minimum(l[c], high)
+        to = np.minimum(starts[c] + sizes[c], starts[c] + l[c] + WINDOW - low)
+        key = mix((total[to] - total[from_]) * down[from_] + mix(g.astype(np.uint64)) + (to - from_).astype(np.uint64))
+        order = np.lexsort((doc[c], key))
+        key, d = key[order], doc[c[order]]
+        new = np.r_[True, key[1:] != key[:-1]]
+        copy = d > d[new][np.cumsum(new) - 1]
+        k = order[copy]
+        copies.append((c[k], from_[k], (to - from_)[k]))
+        k = np.sort(order[~copy])
+        c, g, from_, to = c[k], g[k], from_[k], to[k]
+        count = np.bincount(g)[g]
+        small = (count > 1) & ((count <= most) | (low == high))
+        done.append((c[small], g[small] + base, from_[small], (to - from_)[small]))
+        base += int(g.max(initial=0)) + 1
+        large = (count > most) & (low < high)
+        c, g = c[large], g[large]
         if not len(c):
             continue
         mid = (low + high) // 2
         for a, b in ((low, mid), (mid + 1, high)):
             fits = (l[c] >= a) & (sizes[c] - l[c] >= WINDOW - b)
             cc = c[fits]
-            if not len(cc):
-                continue
-            common = raw[(starts[cc] + l[cc] - a)[:, None] + np.arange(a + WINDOW - b)]
-            key = np.ascontiguousarray(common).view(f"V{common.shape[1]}").ravel()
-            _, part = np.unique(key, return_inverse=True)
-            todo.append((cc, number[fits].astype(np.int64) * (int(part.max()) + 1) + part, a, b))
-    base, groups = 0, []
-    for _, g, *_ in done:
-        groups.append(g + base)
-        base += int(g.max(initial=-1)) + 1
-    return np.concatenate([d[0] for d in done]), np.concatenate(groups), np.concatenate([d[2] for d in done]), np.concatenate([d[3] for d in done])
+            if len(cc):
+                first = starts[cc] + l[cc] - a
+                common = mix((total[first + a + WINDOW - b] - total[first]) * down[first] + mix(g[fits].astype(np.uint64)))
+                todo.append((cc, np.unique(common, return_inverse=True)[1], a, b))
+    return tuple(np.concatenate([d[i] for d in done]) for i in range(4)), tuple(np.concatenate([d[i] for d in copies]) for i in range(3))
 
 
 def suffix_rows(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         for b in batches:
             parts += [blobs.unpack(p) for p in b.column(2).to_pylist()]
@@ -406,15 +465,25 @@ def suffix_rows(n: int):
         parts.clear()
         at, l, size = at.astype(np.int64), l.astype(np.int64), size.astype(np.int64)
         starts = np.cumsum(size) - size
-        context, sub, start, length = split_large(group, raw, starts, size, l, LANE)
-        c, o = repeats_in(doc[context], sub, raw, start, length)
-        o = o + (start - starts[context])[c]
-        c = context[c]
+        lowest, highest = with_partner(group, raw, starts, size, l)
+        keep = lowest <= highest
+        doc, row, at, l, size, group, starts, lowest, highest = (x[keep] for x in (doc, row, at, l, size, group, starts, lowest, highest))
+        if not len(doc):
+            return
+        # what no partner reaches is cut off
+        less = l - np.minimum(l, highest)
+        size = np.minimum(size, l + WINDOW - lowest) - less
+        l, starts = l - less, starts + less
+        (context, sub, start, length), (copy, copy_start, copy_length) = split_large(doc, group, raw, starts, size, l, LANE)
+        c, o = repeats_in(doc[context], sub, raw, start, length) if len(context) else (NOTHING, NOTHING)
+        n_windows = np.maximum(copy_length - WINDOW + 1, 0)
+        o = np.concatenate([o + (start - starts[context])[c], ragged(copy_start - starts[copy], n_windows)])
+        c = np.concatenate([context[c], np.repeat(copy, n_windows)])
         order = np.lexsort((o, c))
         c, o = c[order], o[order]
         if not len(c):
             return
-        new = np.r_[True, (c[1:] != c[:-1]) | (o[1:] > o[:-1] + 1)]
+        new = np.r_[True, (c[1:] != c[:-1]) | (o[1:] > o[:-1] + 1)]  # several finds of one window don't matter
         head = np.flatnonzero(new)
         tail = np.r_[head[1:], len(c)] - 1
         own = c[head]
@@ -422,14 +491,15 @@ def suffix_rows(n: int):
         end = at[own] - l[own] + o[tail] + WINDOW
         yield rows_of([(t, PARTS, blobs.pack(doc[own[s]], row[own[s]], begin[s], end[s])) for t, s in by_target(home(row[own], n), n)])
 
-    return run
+    return suffixes
 
 
-def covered(size: int, anchors: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def covered(anchors: np.ndarray, reach: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """(from, to) of the maximal covered stretches."""
     anchors = anchors.astype(np.int64)
-    a = np.concatenate([np.maximum(anchors - REACH, 0), begin])
-    b = np.concatenate([np.minimum(anchors + WINDOW, size), end])
+    l, r = sides(reach)
+    a = np.concatenate([anchors - l, begin])
+    b = np.concatenate([anchors + r, end])
     order = np.argsort(a, kind="stable")
     a, b = a[order], np.maximum.accumulate(b[order])
     new = np.r_[True, a[1:] > b[:-1]]
@@ -443,7 +513,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def cover_rows(make):
     """make(payload, [(doc, bytes, removed bytes' places, number of stretches)]) gives the batch for one pack of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full: list[list[np.ndarray]] = []
         parts: list[list[np.ndarray]] = []
         held: tuple[Held, Held] | None = None
@@ -454,22 +524,19 @@ def cover_rows(make):
                 elif kind == PARTS:
                     parts.append(blobs.unpack(payload))
                 else:
-                    held = held or (Held(full, 3), Held(parts, 4))
+                    held = held or (Held(full, 4), Held(parts, 4))
                     out = []
                     for doc, row, raw in texts_of(payload):
-                        (anchors,) = held[0].of(doc, row)
+                        anchors, reach = held[0].of(doc, row)
                         begin, end = held[1].of(doc, row)
                         gone, spans = NOTHING, 0
                         if len(anchors) or len(begin):
-                            stretches = covered(len(raw), anchors, begin, end)
+                            stretches = covered(anchors, reach, begin, end)
                             gone, spans = ragged(stretches[:, 0], stretches[:, 1] - stretches[:, 0]), len(stretches)
                         out.append((doc, raw, gone, spans))
                     yield make(payload, out)
 
-    return run
-
-
-NOTHING = np.zeros(0, np.int64)
+    return cover
 
 
 def digest_batch(_: bytes, found: list[tuple]) -> pa.RecordBatch:
