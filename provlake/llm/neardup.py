@@ -273,12 +273,13 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
     first = sketches.join(ids, "id").groupBy("id").agg(F.min_by(F.struct("row", "sig"), F.struct("doc_id", "row")).alias("x"))
     first = stored(first.select("id", "x.row", "x.sig"), "items")
     sigs = first.select("id", "sig")
-    texts = stored(docs.join(first.select("id", "row"), "row").select("id", "text").dropDuplicates(["id"]), "texts")
+    # texts are joined by sorting at every size: what they are joined with has no bound
+    texts = stored(docs.join(first.select("id", "row").hint("merge"), "row").select("id", "text").dropDuplicates(["id"]), "texts")
     blobs.free_shuffles(spark)
 
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = agreeing(pairs, sigs, least).join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+    pairs = agreeing(pairs, sigs, least).join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
     good = stored(pairs.mapInArrow(similar_rows(threshold), "a long, b long"), "similar")
     blobs.free_shuffles(spark)
     labels = None if good.isEmpty() else components(good)
@@ -336,7 +337,7 @@ def first_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     kept = found.where("doc_id <=> class_id").groupBy("class_id", "doc_id", "root").agg(F.min("row").alias("_row"), F.count(F.lit(1)).alias("_n"))
     kept = stored(kept.select("_row", "_n"), "kept")
     marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = marked.join(kept.select("_row").distinct(), "_row", "left_semi")
+    out = marked.join(kept.select("_row").distinct().hint("merge"), "_row", "left_semi")
     if not kept.where("_n > 1").isEmpty():  # rows alike in doc_id and text
         out = out.dropDuplicates(["_row"])
     return out.select(*docs.columns)
