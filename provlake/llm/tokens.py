@@ -35,6 +35,8 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        #: The vocabulary ignores case and blanks: words that differ by these share an entry.
+        self.folds = len({self._encode([t])[0] for t in ("Ab c", "ab c", " aB  c ")}) == 1
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -49,7 +51,10 @@ class WordCache:
                 whole.append(t)
                 parts.append(None)
             elif t:
-                cut = t.replace(" ", "\0 ").replace("\n", "\0\n\0")
+                if self.folds and max(t) < "\u0180" and "\u0130" not in t:
+                    cut = t.lower().replace(" ", "\0").replace("\n", "\0")
+                else:
+                    cut = t.replace(" ", "\0 ").replace("\n", "\0\n\0")
                 if not JOINED.search(t):
                     cut = cut.replace(",", "\0,").replace(".", "\0.")
                 parts.append(cut.split("\0"))
