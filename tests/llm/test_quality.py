@@ -96,6 +96,17 @@ def test_spans_against_python(spark):
     assert pii.report(df.limit(0)).collect() == []
 
 
+def test_digits_that_stand_apart(spark):
+    texts = ["pay 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 now", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "call +1 2 3 4 5 6 7 8 9 today", "+1-2.3(4)5 6 7 8 9", "only 1 digit, and + 2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    for i, t in enumerate(texts):
+        want = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base(t)]
+        assert len(want) == (i < 4) and got[i]["spans"] == ",".join(want) and got[i]["n_card"] == (i < 2) and got[i]["n_phone"] == (i in (2, 3))
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {0: "pay [CARD] now", 1: "[CARD]", 2: "call [PHONE] today", 3: "[PHONE]", 4: texts[4]}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.c and +1 (811) 555-3281!", "x", 30, 1), (2, "clean", "y", 5, 2), (3, None, "z", 0, 3), (1, "clean", "y", 5, 2)], "doc_id long, text string, lang string, n_chars long, base int")
     got = sorted((tuple(r) for r in pii.redact(df).collect()), key=str)
