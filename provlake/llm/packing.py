@@ -13,7 +13,9 @@ doc_id is kept; an empty table gives no rows; other columns of the input are ign
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,9 @@ from provlake.llm.tokens import cache_for
 CAPACITY = 2048
 END_ID = 0
 #: Branchings that the search may try before it keeps the best packing found.
-MOST_NODES = 60
+MOST_NODES = 4_000
+#: Fillings that are put in order of tightness at a time; those that follow are tried as well.
+LOOK_AHEAD = 24
 
 
 # --- the packing itself, on a histogram of lengths -------------------------------------------------
@@ -52,20 +56,23 @@ def lower_bound(hist: dict[int, int], capacity: int) -> int:
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over a histogram: (lengths in a bin, how many such bins)."""
     open_bins: dict[int, dict[tuple[int, ...], int]] = {}
+    rooms: list[int] = []  # of open_bins, ascending
     closed: list[tuple[tuple[int, ...], int]] = []
 
     def put(room: int, bin_: tuple[int, ...], n: int) -> None:
         if room == 0:
             closed.append((bin_, n))
         else:
+            if room not in open_bins:
+                insort(rooms, room)
             at = open_bins.setdefault(room, {})
             at[bin_] = at.get(bin_, 0) + n
 
     for size in sorted(hist, reverse=True):
         left = hist[size]
         while left:
-            rooms = [r for r in open_bins if r >= size]
-            if not rooms:
+            i = bisect_left(rooms, size)
+            if i == len(rooms):
                 per = capacity // size
                 full, rest = divmod(left, per)
                 if full:
@@ -73,10 +80,10 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
                 if rest:
                     put(capacity - rest * size, (size,) * rest, 1)
                 break
-            room = min(rooms)
+            room = rooms[i]
             bin_, n = open_bins[room].popitem()
             if not open_bins[room]:
-                del open_bins[room]
+                del open_bins[room], rooms[i]
             per = room // size
             used = min(n, left // per)
             if used:
@@ -93,78 +100,124 @@ def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...],
     return closed
 
 
-def completions(hist: dict[int, int], largest: int, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Fillings of the bin that holds ``largest``, tightest first, without dominated ones.
+def completions(left: dict[int, int], sizes: list[int], largest: int, capacity: int) -> Iterator[tuple[int, ...] | None]:
+    """All fillings of the bin that holds ``largest``, one by one, from the one of the largest pieces on.
 
     A filling is dominated if another one holds, in place of one of its pieces, a larger piece that still
-    fits, or one piece more. So only maximal fillings count, and among those of one piece only the largest.
+    fits, or one piece more; or if the largest piece that fits is as long as all of it. Of those that come
+    up, a dominated one is given as None, so that the caller can count it. ``sizes`` descend; ``left`` has the
+    pieces of each and must be, whenever the next filling is asked for, what it was at first.
     """
-    sizes = sorted((s for s in hist if hist[s] > (s == largest)), reverse=True)
-    room, found = capacity - largest, []
-    fits = [s for s in sizes if s <= room]
-    if not fits:
-        return [()]
-    smallest = fits[-1]
-
-    def grow(chosen: tuple[int, ...], left: int, start: int, used: dict[int, int]) -> None:
-        if len(found) >= most:
+    room = capacity - largest
+    chosen: list[tuple[int, int]] = []  # place in sizes, how many
+    total, top, reduced = 0, None, -1
+    at = bisect_left(sizes, -room, key=int.__neg__)
+    while True:
+        for i in range(at, len(sizes)):
+            if not room:
+                break
+            size = sizes[i]
+            n = min(left[size] - (size == largest), room // size)
+            if n > 0:
+                chosen.append((i, n))
+                room -= n * size
+                total += n * size
+        if top is None:
+            top = sizes[chosen[0][0]] if chosen else 0
+        if reduced < 0 or room < sizes[reduced]:
+            fine = total > top or not chosen or sizes[chosen[0][0]] == top
+            yield tuple(sizes[i] for i, n in chosen for _ in range(n)) if fine else None
+        else:
+            # one more of the reduced length fits, and with fewer of it still would
+            while chosen and chosen[-1][0] >= reduced:
+                i, n = chosen.pop()
+                room += n * sizes[i]
+                total -= n * sizes[i]
+            yield None
+        if not chosen:
             return
-        more = False
-        for i in range(start, len(fits)):
-            s = fits[i]
-            if s > left or used.get(s, 0) + (s == largest) >= hist[s]:
-                continue
-            more = True
-            used[s] = used.get(s, 0) + 1
-            grow((*chosen, s), left - s, i, used)
-            used[s] -= 1
-            if len(found) >= most:
-                return
-        if not more and (left < smallest or all(s > left or used.get(s, 0) + (s == largest) >= hist[s] for s in fits)):
-            found.append(chosen)
-
-    grow((), room, 0, {})
-    found = list(dict.fromkeys(found)) or [()]
-    singles = [f for f in found if len(f) == 1]
-    top = max(singles, default=None)
-    kept = [f for f in found if len(f) != 1 or f == top]
-    kept = [f for f in kept if not (top and len(f) > 1 and sum(f) <= top[0])]
-    return sorted(kept or found, key=lambda f: (-sum(f), len(f)))
+        i, n = chosen.pop()
+        room += sizes[i]
+        total -= sizes[i]
+        if n > 1:
+            chosen.append((i, n - 1))
+        reduced, at = i, i + 1
+
+
+def tightest(found: Iterator[tuple[int, ...] | None]) -> Iterator[tuple[int, ...] | None]:
+    """The same, all of them, but of every ``LOOK_AHEAD`` that follow one another the tightest first."""
+    while some := list(islice(found, LOOK_AHEAD)):
+        yield from sorted((f for f in some if f is not None), key=lambda f: (-sum(f), len(f)))
+        yield from (None for f in some if f is None)
 
 
 def bin_completion(hist: dict[int, int], capacity: int = CAPACITY, most_nodes: int = MOST_NODES) -> list[tuple[tuple[int, ...], int]]:
     """Branch and bound over fillings of the bin of the largest piece; equal bins are made many at a time.
 
     The incumbent starts as the best-fit packing, and each node offers another: its bins so far, completed by
-    best fit. A node whose bins and waste so far cannot beat the incumbent is pruned. The search ends when the
-    incumbent meets the lower bound, or after ``most_nodes`` nodes.
+    best fit. A node whose bins and waste so far cannot beat the incumbent is pruned. All fillings are branched
+    on, each with every number of equal bins, the greatest first; a filling that a node has been through is not
+    used again for that length below it. The search ends when the incumbent meets the lower bound, when nothing
+    is left to try, so that it is optimal, or after ``most_nodes`` nodes.
     """
     hist = {s: n for s, n in hist.items() if n}
     full = [((capacity,), hist.pop(capacity))] if hist.get(capacity) else []
     best = best_fit(hist, capacity)
     count = sum(n for _, n in best)
     bound = lower_bound(hist, capacity)
+    if count <= bound:
+        return full + best
     total = sum(s * n for s, n in hist.items())
-    nodes = 0
-    stack: list[tuple[dict[int, int], list[tuple[tuple[int, ...], int]], int, int]] = [(hist, [], 0, 0)] if count > bound else []
+    sizes = sorted(hist, reverse=True)
+    left = dict(hist)
+    made: list[tuple[tuple[int, ...], int]] = []
+    bins = waste = nodes = 0
+
+    def branches(first: int, largest: int, done: set[tuple[int, ...]]) -> Iterator[tuple[tuple[int, ...], int, int, set] | None]:
+        """(bin, how many, first, done) of each child; None for a filling that is passed over."""
+        for filling in tightest(completions(left, sizes[first:], largest, capacity)):
+            if filling is None or filling in done:
+                yield None
+                continue
+            done = done | {filling}
+            bin_ = (largest, *filling)
+            for times in range(min(left[s] // bin_.count(s) for s in set(bin_)), 0, -1):
+                yield bin_, times, first, done
+
+    def change(bin_: tuple[int, ...], times: int) -> None:
+        for s in bin_:
+            left[s] -= times
+
+    stack = [branches(0, sizes[0], set())]
     while stack and nodes < most_nodes and count > bound:
-        left, made, bins, waste = stack.pop()
+        child = next(stack[-1], ())
+        if child == ():
+            stack.pop()
+            if made:
+                bin_, times = made.pop()
+                change(bin_, -times)
+                bins, waste = bins - times, waste - times * (capacity - sum(bin_))
+            continue
         nodes += 1
+        if child is None:
+            continue
+        bin_, times, first, done = child
+        more = times * (capacity - sum(bin_))
         # waste bound: what is wasted so far cannot be used by the rest
-        if -(-(total + waste) // capacity) >= count or not left:
+        if -(-(total + waste + more) // capacity) >= count:
             continue
-        tail = best_fit(left, capacity)
-        if bins + sum(n for _, n in tail) < count:
-            best, count = made + tail, bins + sum(n for _, n in tail)
-        if bins + lower_bound(left, capacity) >= count:
+        change(bin_, times)
+        rest = {s: n for s in sizes[first:] if (n := left[s])}
+        tail = best_fit(rest, capacity)
+        if bins + times + sum(n for _, n in tail) < count:
+            best, count = [*made, (bin_, times), *tail], bins + times + sum(n for _, n in tail)
+        if not rest or bins + times + lower_bound(rest, capacity) >= count:
+            change(bin_, -times)
             continue
-        largest = max(left)
-        for filling in reversed(completions(left, largest, capacity, 24)[:6]):
-            bin_ = (largest, *filling)
-            need = {s: bin_.count(s) for s in bin_}
-            times = max(1, min(left[s] // k for s, k in need.items()))
-            rest = {s: n - need.get(s, 0) * times for s, n in left.items()}
-            stack.append(({s: n for s, n in rest.items() if n}, [*made, (bin_, times)], bins + times, waste + times * (capacity - sum(bin_))))
+        made.append((bin_, times))
+        bins, waste = bins + times, waste + more
+        largest = next(iter(rest))
+        stack.append(branches(sizes.index(largest, first), largest, done if largest == bin_[0] else set()))
     return full + best
 
 

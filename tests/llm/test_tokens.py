@@ -149,6 +149,42 @@ def test_search_improves_on_best_fit():
     assert sum(n for _, n in bins) == least_bins([7, 7, 6, 5, 5, 4, 4, 3, 3], 15)
 
 
+def test_search_as_it_runs_in_production(spark):
+    """A table whose best-fit packing misses the bound: met with the default number of nodes."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    n = packing.pieces(table, vocabulary("byte_bpe_50k.json")).groupBy("length").count().collect()
+    hist = {r["length"]: r["count"] for r in n}
+    bound = hist.get(2048, 0) + packing.lower_bound({s: k for s, k in hist.items() if s != 2048}, 2048)
+    assert sum(k for _, k in packing.best_fit(hist, 2048)) > bound
+    bins = packing.bin_completion(hist)
+    assert {s: sum(k * b.count(s) for b, k in bins) for s in hist} == hist and all(sum(b) <= 2048 for b, _ in bins)
+    assert sum(k for _, k in bins) == bound
+    assert packing.pack(table).agg({"sequence_id": "max"}).first()[0] == bound - 1
+
+
+def test_completions_leave_out_dominated_fillings_only():
+    left = {50: 2, 40: 1, 30: 2, 20: 2, 10: 3, 3: 4}
+    sizes, room = sorted(left, reverse=True), 50
+    every = set()
+
+    def grow(chosen, at):
+        free = room - sum(chosen)
+        if all(s > free or left[s] - (s == 50) <= chosen.count(s) for s in sizes):
+            every.add(chosen)
+        for i in range(at, len(sizes)):
+            if sizes[i] <= free and left[sizes[i]] - (sizes[i] == 50) > chosen.count(sizes[i]):
+                grow((*chosen, sizes[i]), i)
+
+    grow((), 0)
+    found = [f for f in packing.tightest(packing.completions(left, sizes, 50, 100)) if f is not None]
+    assert set(found) == {f for f in every if f[0] == 50 or sum(f) > 50} and len(set(found)) == len(found)
+    left = {60: 2, 31: 1, 30: 2, 9: 3, 5: 2}
+    sizes, room, every = sorted(left, reverse=True), 40, set()
+    grow((), 0)
+    found = [f for f in packing.tightest(packing.completions(left, sizes, 60, 100)) if f is not None]
+    assert set(found) == {f for f in every if f[0] == 31 or sum(f) > 31} and len(found) > 2 and len(set(found)) == len(found)
+
+
 def test_packing(spark):
     df, rows = docs(spark)
     got = packing.pack(df, capacity=64, with_ids=True).collect()
