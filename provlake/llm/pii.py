@@ -6,8 +6,12 @@ expressions. Patterns use possessive repeats and ``\\G``, so that they match as
 time proportional to the text and without recursion.
 
 Base spans (email, ip, card, phone) always stay. Generators propose more: addresses written with blanks or words
-for the signs, bare phone numbers, bare digit groups. Whether a proposal is taken is learnt from base matches:
-features leave out the one mark that the base rule asks for, the label is whether the span overlaps a base span.
+for the signs, phone numbers without a plus, card numbers with other signs between the digits. Generators match
+base spans too, and whether a proposal is taken is learnt from those: the label is whether it overlaps a base span
+of its kind. That only says that the mark of the base rule is there, so features leave out all that tells it (signs
+or words, plus and country code, brackets, separators), and a proposal that is not labelled may be as good as one that
+is: where proposals look most like base spans, the share with a label is taken as the share of good ones that have the
+mark, and precision is counted against it. Kinds of which under ``LEAST_MARKED`` have it there get no more spans.
 Features are small integers, so the training set is a table of counts of feature combinations, bounded by the
 product of their ranges (``COMBINATIONS``) however many documents there are; it covers all documents. Trees are
 fitted on documents of one hashed half, thresholds are set on the other for ``PRECISION``.
@@ -42,9 +46,11 @@ OCTET = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 #: What generators propose, by the kind it would be.
 PROPOSED = {
     "email": rf"(?<!{LOCAL}){LOCAL}++ ?(?:@|\(at\)|\[at\]) ?{LABEL}++(?: ?(?:\.|\(dot\)|\[dot\]) ?{LABEL}++)++",
-    "card": BASE["card"],
-    "phone": r"(?<![0-9])(?<![0-9][ .-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?<![0-9][ ._/-]{1,3})[0-9](?:[ ._/-]{0,3}[0-9]){11,18}+(?![ ._/-]{0,3}[0-9])",
+    "phone": r"(?<![0-9])(?<![0-9][ .-])(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
 }
+#: Plus and country code of a proposed phone number.
+CODE = r"^\+[0-9]{1,3}[ .-]?(?=\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$)"
 #: Words before a span that speak for a kind.
 CONTEXT = {
     1: r"(?i)(?:phone|tel|call|fax|mobile|cell)[^A-Za-z0-9]{0,4}$",
@@ -52,11 +58,12 @@ CONTEXT = {
     3: r"(?i)(?:mail|contact|write|reach)[^A-Za-z0-9]{0,4}$",
 }
 #: Feature: number of its values.
-FEATURES = {"kind": 4, "digits": 6, "luhn": 2, "groups": 5, "paren": 2, "before": 4, "after": 4, "context": 4, "words": 2}
+FEATURES = {"kind": 4, "digits": 6, "groups": 5, "before": 4, "after": 4, "context": 4, "tail": 2}
 COMBINATIONS = int(np.prod(list(FEATURES.values())))
 TREES, DEPTH, RATE = 30, 3, 0.3
 PRECISION = 0.95
 LEAST_SEEN = 20
+LEAST_MARKED = 0.2
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -110,7 +117,8 @@ def char_class(c: Column) -> Column:
 
 def featured(text: Column, kind: str, x: Column) -> Column:
     """struct(kind number, s, e, FEATURES...) of one proposal."""
-    m, d = x["m"], digits_of(x["m"])
+    m = F.regexp_replace(x["m"], CODE, "") if kind == "phone" else x["m"]
+    d = digits_of(m)
     n = F.length(d)
     left, before, after = around(text, x["s"], x["e"])
     context = F.lit(0)
@@ -119,16 +127,12 @@ def featured(text: Column, kind: str, x: Column) -> Column:
     values = {
         "kind": F.lit(KINDS.index(kind)),
         "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5),
-        "luhn": F.when(n.between(12, 19) & F.call_function("luhn_check", d), 1).otherwise(0),
         "groups": F.least(F.size(F.split(F.trim(F.regexp_replace(m, "[^0-9]+", " ")), " ")) - 1, F.lit(4)),
-        "paren": F.when(F.instr(m, "(") > 0, 1).otherwise(0),
-        # a plus with its country code is the base rule's mark, so the bare number's left side is what stands before that
-        "before": char_class(F.right(F.regexp_replace(left, r"\+[0-9]{1,3}[ .-]?$", ""), F.lit(1))),
+        "before": char_class(before),
         "after": char_class(after),
         "context": context,
-        "words": F.when(F.regexp_like(m, F.lit(r"(?i)at[)\]]|dot[)\]]")), 1).otherwise(0),
+        "tail": F.when(F.regexp_like(m, F.lit("(?:^|[^A-Za-z0-9-])[a-z]{2,4}$")), 1).otherwise(0),
     }
-    del before
     return F.struct(x["s"].alias("s"), x["e"].alias("e"), *(v.cast("int").alias(k) for k, v in values.items()))
 
 
@@ -154,7 +158,12 @@ def with_spans(rows: DataFrame, text: Column) -> DataFrame:
     for i, kind in enumerate(KINDS):
         good = F.filter(spotted(text, kind, BASE[kind]), only(kind))
         base.append(F.transform(good, numbered(i)))
-    more = [F.transform(spotted(text, kind, p), proposal(text, kind)) for kind, p in PROPOSED.items()]
+    more = []
+    for kind, p in PROPOSED.items():
+        some = spotted(text, kind, p)
+        # the check digit is no mark that a card number may lack
+        some = F.filter(some, only(kind)) if kind == "card" else some
+        more.append(F.transform(some, proposal(text, kind)))
     return rows.withColumns({"base": F.array_sort(F.concat(*base)), "proposals": F.concat(*more)})
 
 
@@ -171,7 +180,7 @@ def overlaps(x: Column, y: Column) -> Column:
 def counted(found: DataFrame) -> list[tuple]:
     """(half, label, FEATURES..., rows) of all proposals; at most 4 x COMBINATIONS rows reach the driver."""
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
-    label = F.transform("proposals", lambda x: F.struct(x.alias("x"), F.exists("base", lambda y: overlaps(x, y)).cast("int").alias("label")))
+    label = F.transform("proposals", lambda x: F.struct(x.alias("x"), F.exists("base", lambda y: (y["k"] == x["kind"]) & overlaps(x, y)).cast("int").alias("label")))
     rows = found.where(F.size("proposals") > 0).select(half, F.explode(label).alias("p"))
     keys = [F.col("half"), F.col("p.label").alias("label"), *(F.col(f"p.x.{f}").alias(f) for f in FEATURES)]
     return [tuple(r) for r in rows.select(*keys).groupBy("half", "label", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()]
@@ -196,8 +205,10 @@ def fit(counts: list[tuple]) -> tuple[Forest, dict[int, float]]:
         order = np.argsort(-score[there], kind="stable")
         s, good, n = score[there][order], np.cumsum((y * w)[there][order]), np.cumsum(w[there][order])
         ends = np.r_[s[1:] != s[:-1], True]
-        fine = ends & (good / n >= PRECISION) & (s >= 0.5)
-        if fine.any():
+        share = good / n
+        marked = share[ends & (n >= LEAST_SEEN)].max()
+        fine = ends & (share >= PRECISION * marked) & (s >= 0.5 * marked)
+        if marked >= LEAST_MARKED and fine.any():
             cuts[k] = float(s[np.flatnonzero(fine)[-1]]) - 1e-9
     return forest, cuts
 

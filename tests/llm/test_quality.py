@@ -107,6 +107,46 @@ def test_digits_that_stand_apart(spark):
     assert {r["doc_id"]: r["text"] for r in pii.redact(df).collect()} == {0: "pay [CARD] now", 1: "[CARD]", 2: "call [PHONE] today", 3: "[PHONE]", 4: texts[4]}
 
 
+def planted_texts():
+    """(text, kind, span that no base rule finds or None, whether it should be added)."""
+    rng = np.random.RandomState(11)
+    out = []
+    for i in range(6000):
+        a, b, c = rng.randint(200, 999), rng.randint(100, 999), rng.randint(1000, 9999)
+        card = "".join(map(str, [4, *rng.randint(0, 10, 14)]))
+        card += next(d for d in "0123456789" if luhn(card + d))
+        four = [card[j : j + 4] for j in (0, 4, 8, 12)]
+        name, host = f"ann{'abc'[i % 3]}", f"host{'xyz'[i % 3]}"
+        out.append([
+            (f"please write to {name}@{host}.org soon", "email", None, False),
+            (f"please write to {name}@{host}.org soon", "email", None, False),
+            (f"please write to {name} (at) {host} (dot) org soon", "email", f"{name} (at) {host} (dot) org", True),
+            (f"so call +1 ({a}) {b}-{c} today", "phone", None, False),
+            (f"so call +1 {a} {b} {c} today", "phone", None, False),
+            (f"so call {a}-{b}-{c} today", "phone", f"{a}-{b}-{c}", True),
+            (f"so call ({a}) {b}-{c} today", "phone", f"({a}) {b}-{c}", True),
+            (f"an order no {a}-{b}-{c} was shipped", "phone", f"{a}-{b}-{c}", False),
+            (f"an order no {a}{b}{c}, shipped", "phone", f"{a}{b}{c}", False),
+            (f"with card {' '.join(four)} paid", "card", None, False),
+            (f"with card {'.'.join(four)} paid", "card", ".".join(four), True),
+        ][i % 11])
+    return out
+
+
+def test_proposals_are_added_on_a_large_table(spark):
+    texts = planted_texts()
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(df).collect()}
+    added = {True: {k: [] for k in pii.KINDS}, False: {k: [] for k in pii.KINDS}}
+    for i, (t, kind, span, good) in enumerate(texts):
+        if span is not None:
+            assert not base(t)
+            added[good][kind].append(got[i] == f"{kind}:{t.index(span)}:{t.index(span) + len(span)}")
+            assert good or got[i] in ("", f"{kind}:{t.index(span)}:{t.index(span) + len(span)}")
+    assert all(np.mean(added[True][k]) > 0.95 for k in ("email", "phone", "card"))
+    assert np.mean(added[False]["phone"]) < 0.05
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.c and +1 (811) 555-3281!", "x", 30, 1), (2, "clean", "y", 5, 2), (3, None, "z", 0, 3), (1, "clean", "y", 5, 2)], "doc_id long, text string, lang string, n_chars long, base int")
     got = sorted((tuple(r) for r in pii.redact(df).collect()), key=str)
