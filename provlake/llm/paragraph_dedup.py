@@ -2,8 +2,10 @@
 
 Documents hold few natural paragraphs and shared passages lie within lines, so a paragraph ends at a line end or
 where a word's hash is least within ``SIDE`` words on both sides of its line: passages that documents share are cut
-alike from a few words on. Paragraphs of fewer than ``LEAST_WORDS`` words are never cut out, nor are repeats of
-fewer than ``LEAST_RUN`` words in a row: stock phrases stay, passages go.
+alike from a few words on. Lines of fewer than ``LEAST_WORDS`` words that follow one another count as one line, so
+that passages set in short lines are cut alike too. Paragraphs of fewer than ``LEAST_WORDS`` words, which are then
+short lines between longer ones, are never cut out, nor are repeats of fewer than ``LEAST_RUN`` words in a row: stock
+phrases stay, passages go.
 
 1. each batch hashes its paragraphs. Copies within the batch are settled on the spot; of each content the first
    (least doc_id, then place) sends one entry a band (``BANDS`` of ``ROWS`` MinHash rows, for a recall above 0.99 at
@@ -39,7 +41,8 @@ from provlake.llm.suffix_dedup import NULL_ID, TEXTS, Held, by_target, gathered,
 
 SIMILARITY = 0.8
 SIDE = 5
-LEAST_WORDS = 7
+#: No piece within a line is shorter: the words of a shingle, and of the first piece that ``SIDE`` allows.
+LEAST_WORDS = 5
 LEAST_RUN = 16
 BANDS, ROWS = 5, 2
 #: Kinds of rows besides TEXTS; those of entries are their band's number. ASKED sorts before TEXTS.
@@ -58,6 +61,11 @@ def paragraphs(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     line = lines[begin]
     own = np.ones(n, bool)
     own[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+    # short lines in a row are one
+    head = np.flatnonzero(own)
+    short = np.diff(np.r_[head, n]) < LEAST_WORDS
+    joined = head[1:][short[1:] & short[:-1]]
+    own[joined[text[joined] == text[joined - 1]]] = False
     row = np.cumsum(own) - 1
     # a word pair is least among its neighbours of the same line
     pair = mix(value * np.uint64(3) + np.r_[value[1:], [np.uint64(0)]]) >> np.uint64(1)

@@ -178,3 +178,18 @@ def test_block_links_join_only():
     rows = [(2, i, i, t) for i, t in enumerate(["a b c d e f"] * 3)]
     (out,) = neardup.block_rows(neardup.by_overlap, 0.8, True)(iter([pa.RecordBatch.from_arrays([pa.array([1] * 3), pa.array([0] * 3), pa.array([0] * 3), *(pa.array(c) for c in zip(*rows, strict=True))], names=list("kijsabc"))]))
     assert out.num_rows == 2
+
+
+def test_passages_in_short_lines_and_short_pieces_go(spark):
+    rng = np.random.RandomState(5)
+    words = lambda n: [f"w{x}" for x in rng.randint(0, 10**6, n)]
+    long, lines, verse = " ".join(words(400)), words(240), words(240)
+    cut = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = [long, long, cut(lines, 3), cut(lines, 3), cut(verse, 6), cut(verse, 6)]
+    texts += [" ".join(words(40)) + "\n" + cut(lines, 3) + "\n" + " ".join(words(40)), "one two\nthree", "one two\nthree"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in paragraph_dedup.dedup(df, with_kept=True).collect()}
+    assert got[0] == texts[0] and got[2] == texts[2] and got[4] == texts[4] and got[7] == texts[7] and got[8] == texts[8]
+    assert [len(got[i].split()) for i in (1, 3, 5)] == [0, 0, 0]
+    # but for the new lines around it, the passage goes
+    assert got[6].startswith(texts[6].split("\n")[0]) and got[6].endswith(texts[6].split("\n")[-1]) and len(got[6].split()) == 80
