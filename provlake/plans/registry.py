@@ -230,9 +230,11 @@ def claim_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evidence ----------------------------------------------------------------------------------------
 
 
-def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("scope"), F.col("item_id").alias("claim_id"), "text")
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("scope"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+def _evidence(spark: SparkSession, sf_dir: str, scoped: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Claims and blocks; those of unlike scope don't meet, and there is one scope only if not scoped."""
+    scope = lambda key: (F.col(key) % 20 if scoped else F.lit(0).cast("long")).alias("scope")
+    b = table(spark, sf_dir, "benchmark").select(scope("item_id"), F.col("item_id").alias("claim_id"), "text")
+    d = table(spark, sf_dir, "documents").select(scope("doc_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return b, d.select("scope", (F.col("doc_id") * 100_000 + F.col("line")).alias("block_id"), "text")
 
 
@@ -261,8 +263,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC,
 )
 
 
-def _ranked(spark: SparkSession, sf_dir: str, top: int) -> DataFrame:
-    claims, blocks = _evidence(spark, sf_dir)
+def _ranked(spark: SparkSession, sf_dir: str, top: int, scoped: bool = True) -> DataFrame:
+    claims, blocks = _evidence(spark, sf_dir, scoped)
     good = evidence.quality(blocks).select("block_id", "words", "title_like", "abstract_like", "quality")
     return evidence.ranked(evidence.overlap(claims, blocks).join(good, "block_id"), top=top)
 
@@ -280,6 +282,30 @@ def topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.confidence(_ranked(spark, sf_dir, 5)).select("claim_id", "block_id", "rank", "confidence")
 
 
+# the same of every claim with every document
+
+ALL_OVERLAP_SQL = OVERLAP_SQL.replace("item_id % 20", "CAST(0 AS BIGINT)").replace("doc_id % 20", "CAST(0 AS BIGINT)")
+ALL_QUALITY_SQL = QUALITY_SQL.replace(OVERLAP_SQL, ALL_OVERLAP_SQL)
+
+
+@query(ALL_OVERLAP_SQL + "SELECT claim_id, block_id, overlap, round_even(overlap / claim_terms, 4) AS coverage, claim_terms FROM p")
+def evidence_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.overlap(*_evidence(spark, sf_dir, scoped=False)).drop("scope", "semantic")
+
+
+@query(ALL_QUALITY_SQL + "SELECT claim_id, block_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank = 1")
+def best_block_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir, 1, scoped=False).select("claim_id", "block_id", "overlap", "rank")
+
+
+@query(
+    ALL_QUALITY_SQL
+    + """SELECT claim_id, block_id, CAST(rank AS INTEGER) AS rank, CASE WHEN overlap < 2 OR coverage < 0.25 OR title_like OR quality < 0 THEN 'low' WHEN overlap >= 3 AND coverage >= 0.5 AND quality >= 0.5 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE rank <= 5"""
+)
+def topk_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.confidence(_ranked(spark, sf_dir, 5, scoped=False)).select("claim_id", "block_id", "rank", "confidence")
+
+
 @query(f"SELECT doc_id, CAST(len({TERMS_SQL % 'text'}) AS BIGINT) AS n_terms, array_to_string(list_sort({TERMS_SQL % 'text'}), ' ') AS terms FROM documents WHERE lang = 'en'")
 def claim_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.terms(F.col("text")).alias("t"))
