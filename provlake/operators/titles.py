@@ -82,12 +82,36 @@ PDF_RULES = [
     (r"^https?://openreview\.net/forum\?id=([^&#]+).*$", "https://openreview.net/pdf?id=$1"),
     (r"^https?://proceedings\.mlr\.press/(v\d+)/([^/.?#]+)\.html.*$", "https://proceedings.mlr.press/$1/$2/$2.pdf"),
     (r"^https?://dl\.acm\.org/doi/(?:abs/)?(10\.[^?#]+).*$", "https://dl.acm.org/doi/pdf/$1"),
+    (r"(?i)^(https?://(?:www\.)?jmlr\.org)/papers/v(\d+)/([^/?#]+)\.html(?:[?#].*)?$", "$1/papers/volume$2/$3/$3.pdf"),
+    (r"^(?=.*jmlr\.org)(.*?)\.html(?:[?#].*)?$", "$1.pdf"),
+    (r"(?i)^(https://link\.springer\.com)/(?:chapter|article)/(.+?)(?:[?#].*)?$", "$1/content/pdf/$2.pdf"),
+    (r"(?i)^(https://(?:www\.)?pnas\.org)/doi/(?:abs|full|pdf)/(.+?)(?:[?#].*)?$", "$1/doi/pdf/$2"),
+    (r"(?i)^(https://www\.science\.org)/doi/(?:abs|full|pdf)/(.+?)(?:[?#].*)?$", "$1/doi/pdf/$2"),
+    (r"^(?=.*frontiersin\.org)(.*/(?i:pdf))$", "$1"),
+    (r"^(?=.*frontiersin\.org)(.*?)/full(?:[?#].*)?$", "$1/pdf"),
+    (r"^(?=.*mdpi\.com)(.*/(?i:pdf))$", "$1"),
+    (r"^(?=.*mdpi\.com)(.*?)/htm(?:[?#].*)?$", "$1/pdf"),
+    (r"^(?=.*mdpi\.com)([^?#]*?)/*(?:[?#].*)?$", "$1/pdf"),
 ]
+PAPER = [("/hash/", "/file/"), (r"-Abstract(?=[-.])", "-Paper"), (r"\.html(?:[?#].*)?$", ".pdf")]
+# Hosts whose pages differ from their PDFs in several places; an address that none of these changes has none.
+PDF_STEPS = {
+    "proceedings.neurips.cc": [(r"(proceedings\.neurips\.cc)/paper/", "$1/paper_files/paper/"), *PAPER],
+    "proceedings.iclr.cc": PAPER,
+    "openaccess.thecvf.com": [("/html/", "/papers/"), (r"\.html(?:[?#].*)?$", ".pdf")],
+}
 
 
 def pdf_url(*urls: Column) -> Column:
     """The PDF of the first address that one of the rules knows."""
-    found = [F.when(F.regexp_like(u, F.lit(p)), F.regexp_replace(u, p, r)) for u in urls for p, r in PDF_RULES]
+    found = []
+    for u in urls:
+        found += [F.when(F.regexp_like(u, F.lit(p)), F.regexp_replace(u, p, r)) for p, r in PDF_RULES]
+        for host, steps in PDF_STEPS.items():
+            changed = u
+            for p, r in steps:
+                changed = F.regexp_replace(changed, p, r)
+            found.append(F.when(F.contains(u, F.lit(host)) & (changed != u), changed))
     return F.coalesce(*found)
 
 
