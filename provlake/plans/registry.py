@@ -312,6 +312,12 @@ def claim_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
 
+@query(f"SELECT doc_id, CAST(len({TERMS_SQL % 'text'}) AS BIGINT) AS n_terms, array_to_string(list_sort({TERMS_SQL % 'text'}), ' ') AS terms FROM documents")
+def claim_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", T.terms(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+
+
 # --- roll-ups ----------------------------------------------------------------------------------------
 
 
