@@ -9,18 +9,21 @@ from provlake.functions.constants import HEADINGS
 from provlake.functions.text import bigrams, terms
 
 
-def overlap(claims: DataFrame, blocks: DataFrame, scope: str = "scope") -> DataFrame:
+def overlap(claims: DataFrame, blocks: DataFrame, scope: str = "scope", semantic: bool = True) -> DataFrame:
     """Claims and blocks of one scope that share a term: scope, claim_id, block_id, overlap, coverage, semantic.
 
     claims: scope, claim_id, text; blocks: scope, block_id, text. Terms are joined, never claims with blocks, so the
     join's size is what the shared terms make it; the counts are summed before the shuffle. The term arrays join back
-    by id for the pairs' bigrams.
+    by id for the pairs' bigrams, unless semantic is left out.
     """
     c = claims.select(scope, "claim_id", terms(F.col("text")).alias("c_terms"))
     b = blocks.select(scope, "block_id", terms(F.col("text")).alias("b_terms"))
     left = c.select(scope, "claim_id", F.explode("c_terms").alias("term"))
     right = b.select(scope, "block_id", F.explode("b_terms").alias("term"))
     shared = left.join(right, [scope, "term"]).groupBy(scope, "claim_id", "block_id").agg(F.count(F.lit(1)).alias("overlap"))
+    if not semantic:
+        pairs = shared.join(c.select(scope, "claim_id", F.size("c_terms").alias("n")), [scope, "claim_id"])
+        return pairs.select(scope, "claim_id", "block_id", "overlap", F.bround(F.col("overlap") / F.col("n"), 4).alias("coverage"), F.col("n").cast("long").alias("claim_terms"))
     pairs = shared.join(c, [scope, "claim_id"]).join(b, [scope, "block_id"])
     both = F.size(F.array_intersect(bigrams(F.col("c_terms")), bigrams(F.col("b_terms"))))
     pairs = pairs.withColumn("coverage", F.bround(F.col("overlap") / F.size("c_terms"), 4))

@@ -266,7 +266,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC,
 def _ranked(spark: SparkSession, sf_dir: str, top: int, scoped: bool = True) -> DataFrame:
     claims, blocks = _evidence(spark, sf_dir, scoped)
     good = evidence.quality(blocks).select("block_id", "words", "title_like", "abstract_like", "quality")
-    return evidence.ranked(evidence.overlap(claims, blocks).join(good, "block_id"), top=top)
+    return evidence.ranked(evidence.overlap(claims, blocks, semantic=False).join(good, "block_id"), top=top)
 
 
 @query(QUALITY_SQL + "SELECT claim_id, block_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank = 1")
@@ -290,7 +290,7 @@ ALL_QUALITY_SQL = QUALITY_SQL.replace(OVERLAP_SQL, ALL_OVERLAP_SQL)
 
 @query(ALL_OVERLAP_SQL + "SELECT claim_id, block_id, overlap, round_even(overlap / claim_terms, 4) AS coverage, claim_terms FROM p")
 def evidence_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.overlap(*_evidence(spark, sf_dir, scoped=False)).drop("scope", "semantic")
+    return evidence.overlap(*_evidence(spark, sf_dir, scoped=False), semantic=False).drop("scope")
 
 
 @query(ALL_QUALITY_SQL + "SELECT claim_id, block_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank = 1")
