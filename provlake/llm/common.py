@@ -6,10 +6,10 @@ which the driver and all executors share; so a lost executor only repeats its ow
 
 from __future__ import annotations
 
+import ctypes
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +32,10 @@ def vocabulary(name: str, folder: str | None = None) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; nothing local stands in for it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="provlake-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -98,6 +97,35 @@ def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return some.limit(2 * n)
 
 
+#: What a Python worker keeps between tasks, by the name of its kind: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine, as idle workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow: what a worker keeps, but for the kind ``keeps``, goes before it, and what it has freed after it."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind in [k for k in KEPT if k != keeps]:
+            KEPT.pop(kind)()
+        try:
+            yield from run(batches)
+        finally:
+            for kind in [k for k in KEPT if k != keeps]:
+                KEPT.pop(kind)()
+            give_back()
+
+    return task
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Batches of no more than about ``most`` bytes, or of one row."""
     for b in batches:

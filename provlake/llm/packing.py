@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provlake.llm.common import small_batches, stored, text_batches, vocabulary
-from provlake.llm.tokens import cache_for
+from provlake.llm.common import lean, ragged, small_batches, stored, text_batches, vocabulary
+from provlake.llm.tokens import cache_for, with_end
 
 CAPACITY = 2048
 END_ID = 0
@@ -242,34 +242,31 @@ def runs(bins: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, i
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces; the first may be shorter."""
-    first = n % capacity or min(n, capacity)
-    return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
-
-
 def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids' bytes."""
     small_batches(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache_for(vocab)
         for b in text_batches(batches):
-            ids = b.column(0).to_pylist()
-            rows: list[list] = [[] for _ in range(5 + with_ids)]
-            for doc, raw in zip(ids, words.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                raw += end
-                for k, (s, n) in enumerate(cut(len(raw) // 4, capacity)):
-                    part = raw[4 * s : 4 * (s + n)]
-                    for col, v in zip(rows, (doc, k, s, n, zlib.crc32(part), part), strict=False):
-                        col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=False)], names=names[: len(rows)])
+            ids, starts = with_end(*words.encode_array(b.column(1)), end_id)
+            n = np.diff(starts)
+            number = -(-n // capacity)
+            own = np.repeat(np.arange(len(n)), number)
+            piece = ragged(np.zeros(len(n), np.int64), number)
+            first = (n - 1) % capacity + 1  # only the first piece may be shorter
+            start = np.where(piece == 0, 0, first[own] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[own], capacity)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            at = 4 * (starts[own] + start)
+            places = list(zip(at.tolist(), (at + 4 * length).tolist(), strict=True))
+            columns = [b.column(0).take(pa.array(own)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array([zlib.crc32(raw[i:j]) for i, j in places], pa.int64())]
+            if with_ids:
+                columns.append(pa.array([bytes(raw[i:j]) for i, j in places], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     kind = PIECES + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run, "tokens"), kind)
 
 
 def pack(docs: DataFrame, vocab: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, most_nodes: int = MOST_NODES) -> DataFrame:

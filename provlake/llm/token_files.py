@@ -3,7 +3,8 @@
 File: mark, dictionary length, dictionary, one frame for each document, the index (doc_id, frame offset,
 number of ids, doc_id is null), and a footer with the index's place and the dictionary's SHA-256. ``lookup``
 reads one document by the index, without the frames before it. The dictionary is trained on the serialized
-ids of a bounded sample (``SAMPLE`` documents, hashed over the whole table); all documents are written with it.
+ids of a bounded sample: at most ``SAMPLE`` blocks of ``BLOCK`` ids from anywhere in the texts of hashed documents;
+all documents are written with it.
 
 Documents lie in ascending order of doc_id over files and within each; the manifest has one row for each file,
 with the ids before it. Files carry attempt-unique names and the manifest names those of finished tasks only.
@@ -26,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.llm.common import hashed_sample, scratch, small_batches, text_batches, vocabulary
+from provlake.llm.common import hashed_sample, lean, scratch, small_batches, text_batches, vocabulary
 from provlake.llm.media import open_fs, read_at
-from provlake.llm.tokens import cache_for
+from provlake.llm.tokens import cache_for, with_end
 
 END_ID = 1
 SAMPLE = 1500
-SAMPLE_BYTES = 20_000
+BLOCK = 4096
 DICTIONARY_BYTES = 64_000
 LEVEL = 3
 MARK = b"TOKFILE1"
@@ -51,9 +52,19 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 
 def dictionary(docs: DataFrame, vocab: str, end_id: int, sample: int = SAMPLE) -> bytes:
-    rows = hashed_sample(docs.select("doc_id", "text"), "doc_id", sample).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).collect()
-    end = np.array([end_id], "<u4").tobytes()
-    return train([ids + end for ids in cache_for(vocab).encode([r["text"] or "" for r in rows])])
+    """Whole texts of about ``sample`` hashed documents are cut into blocks; of these the least by hash serve."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = cache_for(vocab)
+        for b in text_batches(batches):
+            ids, starts = with_end(*words.encode_array(b.column(0)), end_id)
+            raw = ids.astype("<u4").tobytes()
+            places = [(4 * k, 4 * min(k + BLOCK, j)) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) for k in range(i, j, BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in places], pa.binary())], names=["raw"])
+
+    some = hashed_sample(docs.select("doc_id", F.col("text").cast("string").alias("text")), "doc_id", sample).select("text")
+    rows = some.mapInArrow(lean(blocks, "tokens"), "raw binary").orderBy(F.xxhash64("raw"), "raw").limit(sample).collect()
+    return train([bytes(r["raw"]) for r in rows])
 
 
 def heading(shared: bytes) -> bytes:
@@ -104,7 +115,6 @@ def write(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int =
     vocab = vocab or vocabulary("word_bpe_49k.json")
     small_batches(docs.sparkSession)
     shared = dictionary(docs, vocab, end_id, sample)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache_for(vocab)
@@ -115,15 +125,16 @@ def write(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int =
         first: tuple | None = None
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(shared) if shared else None, write_content_size=True)
         for b in text_batches(batches):
-            docs_ = b.column(0).to_pylist()
-            for doc, raw in zip(docs_, words.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
+            ids, starts = with_end(*words.encode_array(b.column(1)), end_id)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            for doc, i, j in zip(b.column(0).to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 if out is None:
                     out = where.open_output_stream(f"{at}/{name}")
                     out.write(heading(shared))
                     first = (doc is not None, doc or 0)
-                frame = press.compress(raw + end)
+                frame = press.compress(raw[4 * i : 4 * j])
                 out.write(frame)
-                n = len(raw) // 4 + 1
+                n = j - i
                 entries.append((doc or 0, offset, n, doc is None))
                 offset += len(frame)
                 total += n
@@ -136,7 +147,7 @@ def write(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int =
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows = ordered.mapInArrow(run, "path string, docs long, ids long, known boolean, first long").collect()
+    rows = ordered.mapInArrow(lean(run, "tokens"), "path string, docs long, ids long, known boolean, first long").collect()
     out, before = [], 0
     for r in sorted(rows, key=lambda r: (r["known"], r["first"])):
         out.append((r["path"], r["docs"], before))
@@ -166,7 +177,7 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]], with_ids: bool
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(kinds)])
 
     table = spark.createDataFrame([(p, s) for p, _, s in files], "path string, start long").repartition(max(1, len(files)))
-    return table.mapInArrow(run, READ + (", ids binary" if with_ids else ""))
+    return table.mapInArrow(lean(run), READ + (", ids binary" if with_ids else ""))
 
 
 def write_and_read(docs: DataFrame, folder: str | None = None, vocab: str | None = None, end_id: int = END_ID) -> DataFrame:
