@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROW = "target int, kind int, payload binary"
 
@@ -47,8 +48,15 @@ def joined(parts: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(k)]
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Bytes of text for each partition, at most about: a task holds what some such bytes give.
+PART_BYTES = 8_000_000
+
+
+def partitions(docs: DataFrame, text: str = "text") -> int:
+    """As many as the session asks for, or more where the texts are more: what a task holds has a bound at every size."""
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(n, -(-size // PART_BYTES))
 
 
 def exchange(rows: DataFrame, n: int) -> DataFrame:

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.llm.common import small_batches, text_batches, vocabulary
+from provlake.llm.common import KEPT, lean, small_batches, text_batches, vocabulary
 
 CHUNK = 32_768
 OVERLAP = 512
 LOOKAHEAD = 4
-MOST_CACHED = 500_000
+#: Bytes of memory that the pre-tokens a worker keeps may take, about; each costs two entries besides its characters.
+MOST_BYTES = 80_000_000
+ENTRY_BYTES = 210
 
 
 def pattern() -> str:
@@ -87,15 +89,18 @@ class Codec:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pat)
         self.known: dict[str, bytes] = {}
+        self.bytes = 0
 
     def ids_of(self, pre: list[str]) -> bytes:
         """ids of a list of pre-tokens, little-endian unsigned 32-bit."""
         known = self.known
         for p in set(filterfalse(known.__contains__, pre)):
-            known[p] = np.array(merge(p.encode(), self.ranks), "<u4").tobytes()
+            known[p] = ids = np.array(merge(p.encode(), self.ranks), "<u4").tobytes()
+            self.bytes += ENTRY_BYTES + len(p) + len(ids)
         got = b"".join(map(known.__getitem__, pre))
-        if len(known) > MOST_CACHED:
+        if self.bytes > MOST_BYTES:
             known.clear()
+            self.bytes = 0
         return got
 
     def encode(self, text: str) -> bytes:
@@ -114,7 +119,9 @@ _CODECS: dict[tuple[str, str], Codec] = {}
 
 def codec(file: str, pat: str) -> Codec:
     if (file, pat) not in _CODECS:
+        _CODECS.clear()
         _CODECS[file, pat] = Codec(file, pat)
+    KEPT["codec"] = _CODECS.clear
     return _CODECS[file, pat]
 
 
@@ -203,13 +210,13 @@ def encode(docs: DataFrame, file: str | None = None, pat: str | None = None, chu
         if held:
             yield rows_batch([done()])
 
-    rows = long_docs.mapInArrow(split, "doc_id long, key long, k int, n int, part string").repartition("key", "k")
-    found = rows.mapInArrow(scan, "doc_id long, key long, k int, n int, part string, head array<long>, tail array<long>")
+    rows = long_docs.mapInArrow(lean(split, "codec"), "doc_id long, key long, k int, n int, part string").repartition("key", "k")
+    found = rows.mapInArrow(lean(scan, "codec"), "doc_id long, key long, k int, n int, part string, head array<long>, tail array<long>")
     order, text = Window.partitionBy("key").orderBy("k"), Window.partitionBy("key")
     common = F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))
     found = found.withColumn("from", F.when(F.col("k") == 0, F.lit(0).cast("long")).otherwise(common))
     found = found.withColumn("to", F.when(F.col("k") == F.col("n") - 1, F.col("k").cast("long") * chunk + F.length("part")).otherwise(F.lead("from").over(order)))
     found = found.withColumn("whole", F.max(F.col("from").isNull() | F.col("to").isNull() | F.coalesce(F.col("to") < F.col("from"), F.lit(False))).over(text))
-    ids = found.select("doc_id", "key", "k", "part", "from", "to", "whole").repartition("key", "k").mapInArrow(pieces, "doc_id long, key long, k int, ids binary, own string")
-    whole = ids.repartition("key").sortWithinPartitions("key", "k").mapInArrow(joined, OUT)
-    return docs.where(F.length("text") <= chunk).mapInArrow(short, OUT).unionByName(whole)
+    ids = found.select("doc_id", "key", "k", "part", "from", "to", "whole").repartition("key", "k").mapInArrow(lean(pieces, "codec"), "doc_id long, key long, k int, ids binary, own string")
+    whole = ids.repartition("key").sortWithinPartitions("key", "k").mapInArrow(lean(joined, "codec"), OUT)
+    return docs.where(F.length("text") <= chunk).mapInArrow(lean(short, "codec"), OUT).unionByName(whole)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from provlake.llm.common import small_batches, text_batches
+from provlake.llm.common import lean, small_batches, text_batches
 
 SAMPLE = 3000
 TRAIN_BYTES = 4096
@@ -154,7 +154,7 @@ def sized(rows: DataFrame, good: bytes, bad: bytes) -> DataFrame:
             cols = list(zip(*got, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "quality", "n", "good", "bad"])
 
-    return rows.mapInArrow(run, "doc_id long, quality int, n long, good long, bad long")
+    return rows.mapInArrow(lean(run), "doc_id long, quality int, n long, good long, bad long")
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
@@ -171,7 +171,7 @@ def apply(docs: DataFrame, model: Model) -> DataFrame:
             score = model.score(got)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

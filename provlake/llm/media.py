@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from provlake.llm.common import scratch, small_batches, text_batches
+from provlake.llm.common import lean, scratch, small_batches, text_batches
 
 WIDTH = 64
 RANGE_BYTES = 4_000_000
@@ -132,7 +132,7 @@ def store(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
             size = offset + len(last)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size], pa.int64())], names=["path", "size"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "path string, size long").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "path string, size long").collect()
     return sorted((r["path"], r["size"]) for r in rows)
 
 
@@ -251,7 +251,7 @@ def digests(media: DataFrame) -> DataFrame:
                 names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
-    return media.mapInArrow(run, DIGEST)
+    return media.mapInArrow(lean(run), DIGEST)
 
 
 def media_digests(docs: DataFrame, folder: str | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from provlake.llm import blobs, shingles
 from provlake.llm.bagminhash import SLOTS, band_keys, signatures
-from provlake.llm.common import mix, small_batches, stored
+from provlake.llm.common import lean, mix, small_batches, stored
 from provlake.llm.components import components
 from provlake.llm.suffix_dedup import by_target, gathered, rows_of
 
@@ -243,7 +243,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(r.column(i).to_pylist()), np.uint8).reshape(r.num_rows, -1) for i in (2, 3))
             yield r.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "_x", "_y").mapInArrow(lean(run), "a long, b long")
 
 
 def blocks(rows: DataFrame, payload: str) -> DataFrame:
@@ -262,8 +262,8 @@ def blocks(rows: DataFrame, payload: str) -> DataFrame:
 def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -> DataFrame | None:
     """(id, root) of the items that have a near duplicate; None if there are none."""
     spark = docs.sparkSession
-    n = blobs.partitions(spark)
-    members = stored(blobs.exchange(sketches.select("id", "bands").mapInArrow(band_rows(n), blobs.ROW), n).mapInArrow(member_rows, MEMBERS), "members")
+    n = blobs.partitions(docs)
+    members = stored(blobs.exchange(sketches.select("id", "bands").mapInArrow(lean(band_rows(n)), blobs.ROW), n).mapInArrow(member_rows, MEMBERS), "members")
     blobs.free_shuffles(spark)
     if members.isEmpty():
         return None
@@ -280,7 +280,7 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     pairs = agreeing(pairs, sigs, least).join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
     pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
-    good = stored(pairs.mapInArrow(similar_rows(threshold), "a long, b long"), "similar")
+    good = stored(pairs.mapInArrow(lean(similar_rows(threshold)), "a long, b long"), "similar")
     blobs.free_shuffles(spark)
     labels = None if good.isEmpty() else components(good)
 
@@ -289,13 +289,13 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
 
     root = rooted(members.select("key", "id").distinct())
     mixed = root.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _n > 2").select("key")
-    near = stored(blocks(root.join(mixed, "key").join(sigs, "id"), "sig").mapInArrow(block_rows(by_signature, least, False), "a long, b long").distinct(), "families")
+    near = stored(blocks(root.join(mixed, "key").join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
     blobs.free_shuffles(spark)
     if near.isEmpty():
         return labels
     families = components(near).select(F.col("id").alias("root"), F.col("root").alias("key"))
     items = rooted(ids).join(families, "root").join(texts, "id").select("key", "id", "root", "text")
-    more = stored(blocks(items, "text").mapInArrow(block_rows(by_overlap, threshold, True), "a long, b long").distinct(), "similar")
+    more = stored(blocks(items, "text").mapInArrow(lean(block_rows(by_overlap, threshold, True)), "a long, b long").distinct(), "similar")
     blobs.free_shuffles(spark)
     return labels if more.isEmpty() else components(good.unionByName(more))
 
@@ -322,7 +322,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([m.column(0), row.slice(at, m.num_rows), *m.columns[1:]], names=["doc_id", "row", "id", "sig", "bands"])
                 at += m.num_rows
 
-    sketches = stored(rows.mapInArrow(sketch, "doc_id long, row long, id long, sig binary, bands binary"), "sketches")
+    sketches = stored(rows.mapInArrow(lean(sketch), "doc_id long, row long, id long, sig binary, bands binary"), "sketches")
     labels = links(rows.select("row", "text"), sketches, threshold)
     own = sketches.select("doc_id", "row", "id")
     own = own.join(labels, "id", "left").select("doc_id", "row", F.coalesce("root", "id").alias("root")) if labels is not None else own.withColumnRenamed("id", "root")

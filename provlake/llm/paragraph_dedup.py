@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provlake.llm import blobs, shingles
-from provlake.llm.common import mix, ragged, small_batches, stored
+from provlake.llm.common import lean, mix, ragged, small_batches, stored
 from provlake.llm.components import components
 from provlake.llm.neardup import plain
 from provlake.llm.suffix_dedup import NULL_ID, TEXTS, Held, by_target, gathered, home, rows_of, sliding, text_rows, texts_of
@@ -335,14 +335,14 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, with_kept: bool = Fals
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = blobs.partitions(spark)
     rows = plain(docs)
-    flags = stored(blobs.exchange(rows.mapInArrow(entry_rows(n), blobs.ROW), n).mapInArrow(band_rows(n), blobs.ROW), "flags")
+    n = blobs.partitions(rows)
+    flags = stored(blobs.exchange(rows.mapInArrow(lean(entry_rows(n)), blobs.ROW), n).mapInArrow(band_rows(n), blobs.ROW), "flags")
     blobs.free_shuffles(spark)
-    texts = rows.mapInArrow(text_rows(n), blobs.ROW)
+    texts = rows.mapInArrow(lean(text_rows(n)), blobs.ROW)
     asked = flags.where(f"kind = {ASKED}").unionByName(texts)
-    sets = blobs.exchange(blobs.exchange(asked, n).sortWithinPartitions("kind").mapInArrow(set_rows(n), blobs.ROW), n)
-    links = stored(sets.mapInArrow(link_rows(threshold), LINK), "paragraph-links")
+    sets = blobs.exchange(blobs.exchange(asked, n).sortWithinPartitions("kind").mapInArrow(lean(set_rows(n)), blobs.ROW), n)
+    links = stored(sets.mapInArrow(lean(link_rows(threshold)), LINK), "paragraph-links")
     blobs.free_shuffles(spark)
     gone = flags.where(f"kind = {GONE}")
     if not links.isEmpty():
@@ -351,6 +351,6 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, with_kept: bool = Fals
         nodes = stored(nodes.join(roots, "id"), "paragraph-nodes")
         first = nodes.groupBy("root").agg(F.min(F.struct("doc", "row", "number")).alias("first"))
         late = nodes.join(first, "root").where("struct(doc, row, number) <> first").select("doc", "row", "number")
-        gone = gone.unionByName(late.mapInArrow(gone_rows(n), blobs.ROW))
+        gone = gone.unionByName(late.mapInArrow(lean(gone_rows(n)), blobs.ROW))
     both = gone.selectExpr("target", "kind", "payload", "0 first").unionByName(texts.selectExpr("target", "kind", "payload", "1 first"))
-    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(cut_rows(with_kept), RESULT)
+    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(lean(cut_rows(with_kept)), RESULT)

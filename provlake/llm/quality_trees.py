@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provlake.llm.common import small_batches, stored, text_batches
+from provlake.llm.common import lean, small_batches, stored, text_batches
 
 SAMPLE = 20_000
 TREES = 60
@@ -101,7 +101,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     schema = ", ".join([f"{n} long" for n in ("doc_id", *COUNTS)] + [f"{n} double" for n in RATIOS])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 @dataclass
@@ -211,6 +211,6 @@ def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
             x = np.column_stack([b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in RATIOS]) if b.num_rows else np.zeros((0, len(RATIOS)))
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(1 + len(COUNTS))] + [pa.array(forest.score(x))], names=[*names[: 1 + len(COUNTS)], "score"])
 
-    scored = stats.mapInArrow(run, ", ".join(f"{n} long" for n in ("doc_id", *COUNTS)) + ", score double")
+    scored = stats.mapInArrow(lean(run), ", ".join(f"{n} long" for n in ("doc_id", *COUNTS)) + ", score double")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= 0.5)).select("doc_id", *COUNTS, "base_failed", "kept", "score")

@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from provlake.llm import blobs
-from provlake.llm.common import mix, ragged, small_batches, stored, utf8_parts
+from provlake.llm.common import KEPT, lean, mix, ragged, small_batches, stored, utf8_parts
 from provlake.llm.lyndon import suffix_arrays
 
 WINDOW = 50
 GRAM = 20
 REACH = WINDOW - GRAM
 BATCH_BYTES = 4_000_000
-PIECE = 2_000_000
+PIECE = 1_000_000
 STEP = 3
 LANE = 2000
 LANE_SYMBOLS = 1_500_000
@@ -60,7 +60,8 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and its inverse modulo 2**64, for i < n."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BATCH_BYTES + 4096)
+        size = max(n, PIECE + 4096)
+        KEPT["powers"] = _POWERS.clear
         inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
         _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b)]), dtype=np.uint64) for b in (BASE, inverse)]
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -572,18 +573,18 @@ def _run(rows: DataFrame, make, schema) -> DataFrame:
     """rows: _id, _row, _text and what else ``make`` puts out again."""
     spark = rows.sparkSession
     small_batches(spark)
-    n = blobs.partitions(spark)
     plain = rows.select("_id", "_row", "_text")
-    flags = stored(blobs.exchange(plain.mapInArrow(anchor_rows(n), blobs.ROW), n).mapInArrow(entry_rows(n), blobs.ROW), "flags")
+    n = blobs.partitions(plain, "_text")
+    flags = stored(blobs.exchange(plain.mapInArrow(lean(anchor_rows(n)), blobs.ROW), n).mapInArrow(entry_rows(n), blobs.ROW), "flags")
     blobs.free_shuffles(spark)
-    asked = blobs.exchange(flags.where(f"kind = {ASKED}").unionByName(plain.mapInArrow(text_rows(n), blobs.ROW)), n).sortWithinPartitions("kind")
-    contexts = blobs.exchange(asked.mapInArrow(context_rows(n), blobs.ROW), n)
-    more = stored(contexts.mapInArrow(suffix_rows(n), blobs.ROW), "repeats")
+    asked = blobs.exchange(flags.where(f"kind = {ASKED}").unionByName(plain.mapInArrow(lean(text_rows(n)), blobs.ROW)), n).sortWithinPartitions("kind")
+    contexts = blobs.exchange(asked.mapInArrow(lean(context_rows(n)), blobs.ROW), n)
+    more = stored(contexts.mapInArrow(lean(suffix_rows(n)), blobs.ROW), "repeats")
     blobs.free_shuffles(spark)
     full = flags.where(f"kind = {FULL}").selectExpr("target", "kind", "payload", "0 first")
     both = full.unionByName(more.selectExpr("target", "kind", "payload", "0 first"))
-    both = both.unionByName(rows.mapInArrow(text_rows(n), blobs.ROW).selectExpr("target", "kind", "payload", "1 first"))
-    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(cover_rows(make), schema)
+    both = both.unionByName(rows.mapInArrow(lean(text_rows(n)), blobs.ROW).selectExpr("target", "kind", "payload", "1 first"))
+    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(lean(cover_rows(make)), schema)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
