@@ -2,46 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provlake.functions.constants import HEADINGS
-from provlake.functions.text import bigrams, terms
+from provlake.functions.text import bigrams, clip, lines_of, squeezed, strip, terms
 
 
 def overlap(claims: DataFrame, blocks: DataFrame, scope: str = "scope", semantic: bool = True) -> DataFrame:
-    """Claims and blocks of one scope that share a term: scope, claim_id, block_id, overlap, coverage, semantic.
+    """Claims and blocks of one scope that share a term: scope, claim_id, block_id, overlap, coverage, claim_terms, semantic.
 
     claims: scope, claim_id, text; blocks: scope, block_id, text. Terms are joined, never claims with blocks, so the
-    join's size is what the shared terms make it; the counts are summed before the shuffle. The term arrays join back
-    by id for the pairs' bigrams, unless semantic is left out.
+    join's size is what the shared terms make it; the counts are summed before the shuffle. Pairs of neighbouring terms
+    are joined along with the terms, so nothing but ids and counts ever stands beside a pair; semantic=False leaves them
+    out. A side that is small is broadcast by its measured size, and a frequent term is split by the adaptive plan.
     """
-    c = claims.select(scope, "claim_id", terms(F.col("text")).alias("c_terms"))
-    b = blocks.select(scope, "block_id", terms(F.col("text")).alias("b_terms"))
-    left = c.select(scope, "claim_id", F.explode("c_terms").alias("term"))
-    right = b.select(scope, "block_id", F.explode("b_terms").alias("term"))
-    shared = left.join(right, [scope, "term"]).groupBy(scope, "claim_id", "block_id").agg(F.count(F.lit(1)).alias("overlap"))
-    if not semantic:
-        pairs = shared.join(c.select(scope, "claim_id", F.size("c_terms").alias("n")), [scope, "claim_id"])
-        return pairs.select(scope, "claim_id", "block_id", "overlap", F.bround(F.col("overlap") / F.col("n"), 4).alias("coverage"), F.col("n").cast("long").alias("claim_terms"))
-    pairs = shared.join(c, [scope, "claim_id"]).join(b, [scope, "block_id"])
-    both = F.size(F.array_intersect(bigrams(F.col("c_terms")), bigrams(F.col("b_terms"))))
-    pairs = pairs.withColumn("coverage", F.bround(F.col("overlap") / F.size("c_terms"), 4))
-    return pairs.select(scope, "claim_id", "block_id", "overlap", "coverage", F.size("c_terms").cast("long").alias("claim_terms"), F.bround(F.col("overlap") + F.col("coverage") + both * 0.25, 4).alias("semantic"))
-
-
-def quality(blocks: DataFrame) -> DataFrame:
-    """Adds words, title_like, abstract_like, body_like, quality to blocks with text."""
-    t = F.trim("text")
-    first = F.lower(F.trim(F.regexp_replace(F.get(F.split(t, "\n"), F.lit(0)), "[:.]$", "")))
-    heading = F.when(first.isin(HEADINGS), first)
+    c = claims.select(scope, "claim_id", terms(F.col("text")).alias("_t"))
+    b = blocks.select(scope, "block_id", terms(F.col("text")).alias("_t"))
+    tokens = F.concat("_t", bigrams(F.col("_t"))) if semantic else F.col("_t")
+    left = c.select(scope, "claim_id", F.size("_t").cast("long").alias("claim_terms"), F.explode(tokens).alias("token"))
+    right = b.select(scope, "block_id", F.explode(tokens).alias("token"))
+    pair = F.contains("token", F.lit(" "))
+    shared = left.join(right, [scope, "token"]).groupBy(scope, "claim_id", "block_id").agg(F.count_if(~pair).alias("overlap"), F.max("claim_terms").alias("claim_terms"), F.count_if(pair).alias("_pairs"))
+    out = shared.withColumn("coverage", F.bround(F.col("overlap") / F.col("claim_terms"), 4))
+    if semantic:
+        out = out.withColumn("semantic", F.bround(F.col("overlap") + F.col("coverage") + F.col("_pairs") * 0.25, 4))
+    return out.drop("_pairs")
+
+
+def section_heading(text: Column) -> Column:
+    """The first line, if it is a known heading or a short line in title case without full stop."""
+    first = squeezed(F.get(lines_of(strip(text)), F.lit(0)))
+    low = F.regexp_replace(F.lower(first), ":+$", "")
+    known = F.create_map(*(F.lit(x) for h in HEADINGS for x in (h, h.title())))
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    title = F.regexp_like(first, F.lit(f"[{cased}]")) & ~F.regexp_like(first, F.lit(rf"(?<![{cased}])\p{{Ll}}|(?<=[{cased}])[\p{{Lu}}\p{{Lt}}]"))
+    short = F.size(F.split(first, " ")) <= 6
+    return F.coalesce(F.try_element_at(known, low), F.when((first != "") & short & title & ~F.endswith(first, F.lit(".")), first))
+
+
+def quality(blocks: DataFrame, column: str = "text") -> DataFrame:
+    """Adds section_heading, words, title_like, abstract_like, body_like, quality to blocks with text."""
+    t = strip(F.col(column))
     out = blocks.withColumns(
         {
-            "words": F.size(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]*"), F.lit(0))).cast("long"),
+            "section_heading": section_heading(F.col(column)),
+            "words": F.size(F.regexp_extract_all(column, F.lit("[A-Za-z][A-Za-z0-9_-]*"), F.lit(0))).cast("long"),
             "_stops": F.regexp_like(t, F.lit("[.!?]")),
-            "abstract_like": F.coalesce(heading == "abstract", F.lit(False)) | F.startswith(F.lower(t), F.lit("abstract ")),
         }
     )
+    out = out.withColumn("abstract_like", F.coalesce(F.lower("section_heading") == "abstract", F.lit(False)) | F.startswith(F.lower(t), F.lit("abstract ")))
     out = out.withColumns({"title_like": (F.col("words") <= 18) & ~F.col("_stops"), "body_like": (F.col("words") >= 35) & F.col("_stops") & ~F.col("abstract_like")})
     points = F.when(F.col("body_like"), 1.0).otherwise(0.0) + F.when(F.col("words") >= 20, 0.35).otherwise(0.0)
     points = points - F.when(F.col("title_like"), 1.0).otherwise(0.0) - F.when(F.col("abstract_like"), 0.45).otherwise(0.0)
@@ -55,12 +65,26 @@ def confidence(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("confidence", F.when(low, "low").when(high, "high").otherwise("medium"))
 
 
+def likeness(pairs: DataFrame) -> DataFrame:
+    """Adds what the semantic ranking goes by first: the semantic score and the passage's quality."""
+    return pairs.withColumn("likeness", F.col("semantic") + F.col("quality"))
+
+
+def certainty(pairs: DataFrame, most_quote: int = 500) -> DataFrame:
+    """Adds what the review's ranking goes by: confidence as a number, and the clipped quote's length."""
+    level = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
+    return pairs.withColumns({"certainty": level, "quote_length": F.length(clip(F.col("text"), most_quote))})
+
+
 #: Ranking keys, best first; ties keep the first block.
 LEXICAL = ("overlap", "coverage", "quality", "words")
-SEMANTIC = ("semantic", "overlap", "coverage", "words")
+SEMANTIC = ("likeness", "overlap", "coverage", "words")
+REVIEW = ("certainty", "overlap", "coverage", "quality", "words", "quote_length")
+#: Between the best blocks of several texts, where their quality doesn't count.
+ACROSS = {"lexical": ("overlap", "coverage"), "semantic-lite": ("semantic", "overlap", "coverage")}
 
 
-def ranked(pairs: DataFrame, keys: tuple[str, ...] = LEXICAL, top: int = 1, by: tuple[str, ...] = ("claim_id",)) -> DataFrame:
+def ranked(pairs: DataFrame, keys: tuple[str, ...] = LEXICAL, top: int = 1, by: tuple[str, ...] = ("claim_id",), order: tuple[str, ...] = ("block_id",)) -> DataFrame:
     """The top blocks of each claim, with rank. Spark keeps only each task's best before the shuffle."""
-    w = Window.partitionBy(*by).orderBy(*(F.desc(k) for k in keys), F.asc("block_id"))
+    w = Window.partitionBy(*by).orderBy(*(F.desc(k) for k in keys), *(F.asc(k) for k in order))
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)

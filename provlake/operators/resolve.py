@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provlake.functions import constants as K
-from provlake.functions.text import normalize_author, normalize_title, present, same_author
+from provlake.functions.text import first_present, normalize_author, normalize_title, or_none, present, same_author
 
 
 def score(pairs: DataFrame, nfkc: bool = True) -> DataFrame:
@@ -49,28 +49,50 @@ IDENTITY = ["c_source", "c_title", "c_authors", "c_year", "c_doi", "c_arxiv_id",
 
 
 def best(scored: DataFrame) -> DataFrame:
-    """Adds top (the best candidate, the first of equals), rank and near_tie."""
-    by_rank = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("ord"))
-    whole = Window.partitionBy("query_id")
+    """Adds top_score, rank (1 for the best candidate, the first of equals; 2 for others) and near_tie.
+
+    One aggregate keeps a query's best, summed up before the shuffle, and joins back to the candidates; so a query with
+    very many candidates is no single task, as it would be in a window.
+    """
     same = F.struct(*(c for c in IDENTITY if c in scored.columns))
-    out = scored.withColumn("rank", F.row_number().over(by_rank)).withColumn("_same", same)
-    out = out.withColumns({"top_score": F.max("score").over(whole), "_top": F.first("_same").over(by_rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return out.withColumn("near_tie", (F.col("top_score") - F.col("score") <= K.NEAR_TIE) & ~F.col("_same").eqNullSafe(F.col("_top"))).drop("_same", "_top")
+    top = scored.groupBy("query_id").agg(F.max_by(F.struct(F.col("ord").alias("ord"), same.alias("same")), F.struct("score", -F.col("ord"))).alias("_t"), F.max("score").alias("top_score"))
+    out = scored.join(top, "query_id").withColumn("rank", F.when((F.col("score") == F.col("top_score")) & (F.col("ord") == F.col("_t.ord")), 1).otherwise(2))
+    return out.withColumn("near_tie", (F.col("top_score") - F.col("score") <= K.NEAR_TIE) & ~same.eqNullSafe(F.col("_t.same"))).drop("_t")
+
+
+def close(ranked: DataFrame) -> DataFrame:
+    """The best candidates and their near ties."""
+    return ranked.where((F.col("rank") == 1) | F.col("near_tie"))
+
+
+def conflicts(ranked: DataFrame) -> DataFrame:
+    """query_id, code, evidence: what the best candidate and its near ties disagree on, as sorted distinct values."""
+    official = F.col("c_official") & present(F.col("c_url"))
+    values = F.array(
+        F.struct(F.lit("DOI_CONFLICT").alias("code"), or_none(F.lower("c_doi")).alias("value")),
+        F.struct(F.lit("MULTIPLE_OFFICIAL_RECORDS").alias("code"), F.when(official, F.col("c_url")).alias("value")),
+    )
+    rows = close(ranked).select("query_id", F.explode(values).alias("x")).select("query_id", "x.*").where("value is not null").distinct()
+    return rows.groupBy("query_id", "code").agg(F.array_sort(F.collect_list("value")).alias("evidence")).where(F.size("evidence") > 1)
 
 
 def decide(queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """One decision for each query: decision, status, score, issue (null if selected), candidate ord and conflict counts.
+    """One decision for each query: decision, status, score, issue (null if selected), candidate ord and conflict counts,
+    evidence of the issue, trace, and the authority (source, record_url, record_type, source_priority, bibtex_url) that
+    was selected.
 
-    The window's partition is a query's candidate set; conflicts are distinct counts over the best and its near ties,
-    pre-aggregated before the shuffle.
+    Conflicts are distinct counts over the best and its near ties; all is pre-aggregated before the shuffle.
     """
-    close = (F.col("rank") == 1) | F.col("near_tie")
+    for c in ("c_priority", "c_pending", "c_arxiv_id", "c_bibtex_url", "c_url", "c_doi", "c_source", "c_title", "q_title", "trace"):
+        if c not in ranked.columns:
+            ranked = ranked.withColumn(c, F.lit(None).cast({"c_priority": "int", "c_pending": "boolean", "trace": "array<string>"}.get(c, "string")))
+    near = (F.col("rank") == 1) | F.col("near_tie")
+    top = F.struct("ord", "title_equal", "title_missing", "c_official", "c_bibtex_url", "c_arxiv_id", "c_pending", "q_title", "c_title", "c_url", "c_doi", "c_source", "c_priority", "trace")
     agg = ranked.groupBy("query_id").agg(
         F.max("score").alias("score"),
-        F.min_by("ord", "rank").alias("candidate_ord"),
-        F.min_by(F.struct("title_equal", "title_missing", "c_official", "c_bibtex_url", "c_arxiv_id", "c_pending", "q_title"), "rank").alias("top"),
-        F.count_distinct(F.when(close & present(F.col("c_doi")), F.lower("c_doi"))).alias("n_dois"),
-        F.count_distinct(F.when(close & F.col("c_official") & present(F.col("c_url")), F.col("c_url"))).alias("n_official"),
+        F.first(F.when(F.col("rank") == 1, top), ignorenulls=True).alias("top"),
+        F.count_distinct(F.when(near & present(F.col("c_doi")), F.lower("c_doi"))).alias("n_dois"),
+        F.count_distinct(F.when(near & F.col("c_official") & present(F.col("c_url")), F.col("c_url"))).alias("n_official"),
     )
     d = queries.select("query_id").join(agg, "query_id", "left")
     top, asked = F.col("top"), present(F.col("top.q_title"))
@@ -91,5 +113,42 @@ def decide(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         .when(present(top["c_arxiv_id"]), "arxiv_fallback_verified")
         .otherwise("verified_manual_fallback")
     )
+    kind = F.when(present(top["c_arxiv_id"]) & ~present(top["c_bibtex_url"]), "preprint_record").when(top["c_official"], "conference_proceedings").otherwise("fallback_metadata")
+    authority = F.struct(top["c_source"].alias("source"), F.coalesce(top["c_url"], F.lit("")).alias("record_url"), kind.alias("record_type"), top["c_priority"].alias("source_priority"), top["c_bibtex_url"].alias("bibtex_url"))
+    place = first_present(top["c_url"], top["c_title"])
+    evidence = (
+        F.when(F.col("issue").isin("LOW_CONFIDENCE", "OFFICIAL_RECORD_PENDING"), F.array(place))
+        .when(F.col("issue") == "AUTHORITY_TITLE_MISSING", F.array(first_present(top["c_url"], top["c_doi"], top["c_source"])))
+        .when(F.col("issue") == "AUTHORITY_TITLE_MISMATCH", F.array(top["c_title"], top["q_title"]))
+    )
+    more = F.create_map(*(F.lit(x) for kv in {"AUTHORITY_TITLE_MISSING": "authority title missing", "AUTHORITY_TITLE_MISMATCH": "authority title mismatch", "OFFICIAL_RECORD_PENDING": "official record pending"}.items() for x in kv))
+    trace = F.coalesce(top["trace"], F.array().cast("array<string>"))
     d = d.withColumn("issue", issue).withColumn("status", status)
-    return d.select("query_id", F.when(F.col("issue").isNull(), "selected").otherwise("blocked").alias("decision"), "status", F.coalesce("score", F.lit(0)).alias("score"), "issue", "candidate_ord", F.coalesce("n_dois", F.lit(0)).alias("n_dois"), F.coalesce("n_official", F.lit(0)).alias("n_official"))
+    return d.select(
+        "query_id", F.when(F.col("issue").isNull(), "selected").otherwise("blocked").alias("decision"), "status", F.coalesce("score", F.lit(0)).alias("score"), "issue", top["ord"].alias("candidate_ord"),
+        F.coalesce("n_dois", F.lit(0)).alias("n_dois"), F.coalesce("n_official", F.lit(0)).alias("n_official"), evidence.alias("evidence"),
+        F.filter(F.array_append(trace, F.try_element_at(more, F.col("issue"))), lambda x: x.isNotNull()).alias("trace"), F.when(F.col("issue").isNull(), authority).alias("authority"),
+    )
+
+
+#: What ``decide`` says in few columns.
+DECISION = ["query_id", "decision", "status", "score", "issue", "candidate_ord", "n_dois", "n_official"]
+
+
+def fixture_matrix(queries: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """total, ok, blocking, missing_sets (queries without candidates), placeholders (records that only stand for others)."""
+    d = decisions.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("issue").isNull()).alias("ok"), F.count_if(F.col("issue").isNotNull()).alias("blocking"), F.count_if(F.col("issue") == "NO_CANDIDATES").alias("missing_sets"))
+    fixture = F.try_element_at("raw", F.lit("fixture_status")) == "placeholder" if "raw" in candidates.columns else F.lit(False)
+    n = candidates.join(queries.select("query_id").distinct(), "query_id", "left_semi").where(F.startswith(F.coalesce("c_url", F.lit("")), F.lit("https://example.org/")) | F.coalesce(fixture, F.lit(False)))
+    one = F.lit(1).alias("_one")
+    return d.select("*", one).join(n.agg(F.count(F.lit(1)).alias("placeholders")).select("*", one), "_one").drop("_one")
+
+
+def stacked(*frames: DataFrame) -> DataFrame:
+    """Candidates of several origins (files, saved pages, live lookups) in that order, with one running ord for each query."""
+    out = None
+    for i, f in enumerate(frames):
+        f = f.withColumn("_from", F.lit(i))
+        out = f if out is None else out.unionByName(f, allowMissingColumns=True)
+    w = Window.partitionBy("query_id").orderBy("_from", "ord")
+    return out.withColumn("ord", (F.row_number().over(w) - 1).cast("int")).drop("_from")

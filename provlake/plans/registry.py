@@ -16,7 +16,7 @@ from provlake.functions import constants as K
 from provlake.functions import text as T
 from provlake.operators import audit, evidence, resolve, rollup, titles, upsert
 from provlake.session import table
-from provlake.sources import parsers
+from provlake.sources import parsers, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,31 +39,30 @@ def quoted(words: list[str]) -> str:
 
 # --- resolver: documents of equal text are a query's candidates --------------------------------------
 
-TITLE = "left(text, 80)"
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries are the least document of each text; candidates are all documents of that text."""
+    """Queries are the least document of each text; candidates are all documents of that text, some with other titles,
+    names and numbers than the query's."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("query_id"))
     c = d.withColumn("h", F.sha2("text", 256)).join(first, "h")
-    year = F.col("n_chars").cast("int")
+    year, i, q = F.col("n_chars").cast("int"), F.col("doc_id"), F.col("query_id")
     pairs = c.select(
-        "query_id", F.col("doc_id").alias("ord"),
-        F.substring("text", 1, 80).alias("q_title"), F.array("lang").alias("q_authors"), year.alias("q_year"), F.lit(None).cast("string").alias("q_doi"), F.lit(None).cast("string").alias("q_arxiv_id"),
-        F.col("source").alias("c_source"), F.substring("text", 1, 80).alias("c_title"), F.array("lang").alias("c_authors"), year.alias("c_year"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), "source")).alias("c_doi"), F.lit(None).cast("string").alias("c_arxiv_id"),
-        F.concat(F.lit("https://x.org/"), "source").alias("c_url"), (F.col("doc_id") % 2 == 0).alias("c_official"),
-        F.when(F.col("doc_id") % 4 == 0, F.lit("bib")).alias("c_bibtex_url"), (F.col("doc_id") % 5 + 1).cast("int").alias("c_priority"), F.lit(False).alias("c_pending"),
+        "query_id", i.alias("ord"),
+        F.col("text").alias("q_title"), F.array("lang").alias("q_authors"), year.alias("q_year"), F.when(q % 6 == 0, "10.1/d0").alias("q_doi"), F.when(q % 10 == 1, F.concat(F.lit("2401."), q.cast("string"))).alias("q_arxiv_id"),
+        F.col("source").alias("c_source"), F.when(i % 19 == 0, "").when(i % 17 == 0, F.concat(F.lit("other "), "text")).otherwise(F.concat(F.lit("{"), "text", F.lit("}"))).alias("c_title"), F.array(F.when(i % 29 == 0, "Nobody Else").otherwise(F.col("lang"))).alias("c_authors"), year.alias("c_year"),
+        F.when(i % 3 == 0, F.concat(F.lit("10.1/D"), (i % 2).cast("string"))).alias("c_doi"), F.when(i % 5 == 1, F.concat(F.lit("2401."), q.cast("string"))).alias("c_arxiv_id"),
+        F.concat(F.lit("https://x.org/"), "source").alias("c_url"), (i % 2 == 0).alias("c_official"),
+        F.when(i % 4 == 0, F.lit("bib")).alias("c_bibtex_url"), (i % 5 + 1).cast("int").alias("c_priority"), (i % 23 == 0).alias("c_pending"),
     )
     return first.select("query_id"), resolve.best(resolve.score(pairs, nfkc=False))
 
 
 SCORED_SQL = """
 WITH first AS (SELECT sha256(text) AS h, min(doc_id) AS query_id FROM documents GROUP BY 1),
-s AS (SELECT query_id, doc_id AS ord, source, doc_id % 3 = 0 AS has_doi, doc_id % 2 = 0 AS official, doc_id % 4 = 0 AS has_bib,
-  60 + 10 + 10 + CASE WHEN doc_id % 2 = 0 THEN 15 ELSE 0 END + CASE WHEN doc_id % 4 = 0 THEN 5 ELSE 0 END - doc_id % 5 AS score, doc_id % 5 AS p
-  FROM documents JOIN first ON sha256(text) = h),
+a AS (SELECT query_id, doc_id AS ord, source, CASE WHEN doc_id % 19 = 0 THEN 2 WHEN doc_id % 17 = 0 THEN 1 ELSE 0 END AS title, doc_id % 29 = 0 AS other, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 END AS doi, doc_id % 5 = 1 AS arxiv,
+  query_id % 6 = 0 AS q_doi, query_id % 10 = 1 AS q_arxiv, doc_id % 2 = 0 AS official, doc_id % 4 = 0 AS has_bib, doc_id % 23 = 0 AS pending, doc_id % 5 AS p FROM documents JOIN first ON sha256(text) = h),
+s AS (SELECT *, CASE WHEN q_doi AND doi = 0 THEN 100 WHEN q_arxiv AND arxiv THEN 98 ELSE
+  CASE WHEN title = 0 THEN 60 ELSE 0 END + 10 + CASE WHEN other THEN 0 ELSE 10 END + CASE WHEN official THEN 15 ELSE 0 END + CASE WHEN has_bib THEN 5 ELSE 0 END - p END AS score FROM a),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM s)
 """
 
@@ -78,7 +77,7 @@ def resolver_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)[1].where("rank = 1").select("query_id", F.col("ord").alias("candidate"), "score")
 
 
-TIES_SQL = """, t AS (SELECT r.*, (r.top - r.score <= 3) AND NOT (b.source = r.source AND b.has_doi = r.has_doi AND b.official = r.official AND b.has_bib = r.has_bib AND b.p = r.p) AS near_tie
+TIES_SQL = """, t AS (SELECT r.*, (r.top - r.score <= 3) AND NOT (b.source = r.source AND b.title = r.title AND b.other = r.other AND b.doi IS NOT DISTINCT FROM r.doi AND b.arxiv = r.arxiv AND b.official = r.official AND b.has_bib = r.has_bib AND b.p = r.p) AS near_tie
   FROM r JOIN (SELECT * FROM r WHERE rank = 1) b USING (query_id))"""
 
 
@@ -87,51 +86,74 @@ def resolver_near_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir)[1].where("near_tie").select("query_id", F.col("ord").alias("candidate"))
 
 
+CONFLICTS_SQL = """, v AS (SELECT DISTINCT query_id, 'DOI_CONFLICT' AS code, '10.1/d' || doi AS value FROM t WHERE (rank = 1 OR near_tie) AND doi IS NOT NULL
+  UNION SELECT query_id, 'MULTIPLE_OFFICIAL_RECORDS', 'https://x.org/' || source FROM t WHERE (rank = 1 OR near_tie) AND official)
+SELECT query_id, code, string_agg(value, ' ' ORDER BY value) AS evidence FROM v GROUP BY 1, 2 HAVING count(*) > 1"""
+
+
+@query(SCORED_SQL + TIES_SQL + CONFLICTS_SQL)
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.conflicts(_pairs(spark, sf_dir)[1]).withColumn("evidence", F.array_join("evidence", " "))
+
+
 DECISION_SQL = (
     SCORED_SQL
     + TIES_SQL
     + """, g AS (SELECT query_id, max(score) AS score, min(CASE WHEN rank = 1 THEN ord END) AS candidate,
-  count(DISTINCT CASE WHEN (rank = 1 OR near_tie) AND has_doi THEN source END) AS n_dois,
-  count(DISTINCT CASE WHEN (rank = 1 OR near_tie) AND official THEN source END) AS n_official,
-  max(CASE WHEN rank = 1 AND official AND has_bib THEN 1 ELSE 0 END) AS exported FROM t GROUP BY 1),
-d AS (SELECT query_id, CAST(score AS INTEGER) AS score, candidate, n_dois, n_official,
-  CASE WHEN n_dois > 1 THEN 'DOI_CONFLICT' WHEN n_official > 1 THEN 'MULTIPLE_OFFICIAL_RECORDS' WHEN score < 90 THEN 'LOW_CONFIDENCE' END AS issue, exported FROM g)
+  count(DISTINCT CASE WHEN rank = 1 OR near_tie THEN doi END) AS n_dois, count(DISTINCT CASE WHEN (rank = 1 OR near_tie) AND official THEN source END) AS n_official,
+  max(CASE WHEN rank = 1 THEN title END) AS title, bool_or(rank = 1 AND pending) AS pending, bool_or(rank = 1 AND official AND has_bib) AS exported, bool_or(rank = 1 AND arxiv) AS preprint, bool_or(rank = 1 AND has_bib) AS has_bib, bool_or(rank = 1 AND official) AS official FROM t GROUP BY 1),
+d AS (SELECT *, CASE WHEN n_dois > 1 THEN 'DOI_CONFLICT' WHEN n_official > 1 THEN 'MULTIPLE_OFFICIAL_RECORDS' WHEN score < 90 THEN 'LOW_CONFIDENCE' WHEN title = 2 THEN 'AUTHORITY_TITLE_MISSING' WHEN title = 1 THEN 'AUTHORITY_TITLE_MISMATCH'
+  WHEN pending THEN 'OFFICIAL_RECORD_PENDING' END AS issue FROM g)
 """
 )
 DECISION_COLUMNS = """query_id, CASE WHEN issue IS NULL THEN 'selected' ELSE 'blocked' END AS decision,
-  CASE WHEN issue IN ('DOI_CONFLICT', 'MULTIPLE_OFFICIAL_RECORDS') THEN 'ambiguous' WHEN issue IS NOT NULL THEN 'unresolved' WHEN exported = 1 THEN 'verified_official_bibtex' ELSE 'verified_manual_fallback' END AS status,
-  score, issue, candidate AS candidate_ord, n_dois, n_official"""
+  CASE WHEN issue IN ('DOI_CONFLICT', 'MULTIPLE_OFFICIAL_RECORDS') THEN 'ambiguous' WHEN issue = 'OFFICIAL_RECORD_PENDING' THEN 'official_record_pending' WHEN issue IS NOT NULL THEN 'unresolved' WHEN exported THEN 'verified_official_bibtex'
+  WHEN preprint THEN 'arxiv_fallback_verified' ELSE 'verified_manual_fallback' END AS status,
+  CAST(score AS INTEGER) AS score, issue, candidate AS candidate_ord, n_dois, n_official"""
 
 
 @query(DECISION_SQL + f"SELECT {DECISION_COLUMNS} FROM d")
 def resolver_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.decide(*_pairs(spark, sf_dir))
+    return resolve.decide(*_pairs(spark, sf_dir)).select(*resolve.DECISION)
 
 
-@query(DECISION_SQL + ", e AS (SELECT issue FROM d) SELECT count(*) AS total, count(*) FILTER (WHERE issue IS NULL) AS ok, count(*) FILTER (WHERE issue IS NOT NULL) AS blocking FROM e")
+@query(DECISION_SQL + "SELECT query_id, CASE WHEN issue IS NULL THEN CASE WHEN preprint AND NOT has_bib THEN 'preprint_record' WHEN official THEN 'conference_proceedings' ELSE 'fallback_metadata' END END AS record_type FROM d")
+def resolver_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.decide(*_pairs(spark, sf_dir)).select("query_id", F.col("authority.record_type").alias("record_type"))
+
+
+@query(
+    DECISION_SQL
+    + """SELECT count(*) AS total, count(*) FILTER (WHERE issue IS NULL) AS ok, count(*) FILTER (WHERE issue IS NOT NULL) AS blocking, CAST(0 AS BIGINT) AS missing_sets, (SELECT count(*) FROM documents WHERE doc_id % 31 = 0) AS placeholders FROM d"""
+)
 def fixture_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = resolve.decide(*_pairs(spark, sf_dir))
-    return d.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("issue").isNull()).alias("ok"), F.count_if(F.col("issue").isNotNull()).alias("blocking"))
+    queries, ranked = _pairs(spark, sf_dir)
+    marked = ranked.withColumn("c_url", F.when(F.col("ord") % 31 == 0, F.concat(F.lit("https://example.org/"), "c_source")).otherwise(F.col("c_url")))
+    return resolve.fixture_matrix(queries, marked, resolve.decide(queries, ranked))
 
 
 # --- audits ------------------------------------------------------------------------------------------
 
 
 def _bib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("citation_key"), F.col("lang").alias("b_title"), F.col("n_chars").cast("string").alias("b_year"), F.lit("a").alias("b_author"), F.when(F.col("doc_id") % 7 != 0, "x").alias("b_doi"), F.col("text").alias("b_raw"))
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    return d.select(
+        i.alias("citation_key"), F.concat(F.lit("{"), F.upper("lang"), F.lit("}.")).alias("b_title"), F.col("n_chars").cast("string").alias("b_year"), F.lit("Lee, Ann and B. C.").alias("b_author"),
+        F.when(i % 7 != 0, "x").alias("b_doi"), F.concat(F.lit("\n "), "text", F.lit("\n\n")).alias("b_raw"),
+    )
 
 
 def _lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the document's text hash for those that are toxic, as if they were exports."""
-    lab = table(spark, sf_dir, "labels")
-    none = F.lit(None).cast("string")
+    """Labels as lock entries: toxic ones as if they were exports, with the checksum of the document's text."""
+    lab = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), "doc_id", "left")
+    none, i = F.lit(None).cast("string"), F.col("doc_id")
+    kind = F.when(F.col("toxic") == 1, "official_export").when(F.col("quality") == 1, "arxiv_manual_normalized")
     return lab.select(
-        (F.col("doc_id") + F.when(F.col("doc_id") % 11 == 0, 1_000_000_000).otherwise(0)).alias("citation_key"),
-        F.when(F.col("quality") == 1, "verified_official_bibtex").otherwise("draft").alias("status"),
-        F.when(F.col("toxic") == 1, "official_export").when(F.col("quality") == 1, "arxiv_manual_normalized").alias("source_kind"),
-        F.when(F.col("doc_id") % 5 == 0, "url").alias("bibtex_url"), F.when(F.col("doc_id") % 2 == 0, "placeholder").otherwise("0").alias("stored_sha"),
-        F.lit("en").alias("l_title"), none.alias("l_year"), F.lit("a").alias("l_author"), F.lit("x").alias("l_doi"), none.alias("l_accessed"), none.alias("fallback_reason"), F.when(F.col("doc_id") % 3 == 0, "missing").alias("doi_check"),
+        (i + F.when(i % 11 == 0, 1_000_000_000).otherwise(0)).alias("citation_key"),
+        F.when(F.col("quality") == 1, F.when(i % 2 == 0, "arxiv_fallback_verified").otherwise("verified_official_bibtex")).otherwise("draft").alias("status"), kind.alias("source_kind"),
+        F.when(i % 5 == 0, "url").alias("bibtex_url"), F.when(i % 4 == 0, "placeholder").when(i % 4 == 1, "0").otherwise(T.sha256(T.canonical(F.col("text")))).alias("stored_sha"),
+        F.lit("en").alias("l_title"), F.when(i % 13 == 0, "0").when(i % 13 != 1, F.col("n_chars").cast("string")).alias("l_year"), F.when(i % 10 == 3, "Bob").otherwise("Ann  LEE").alias("l_author"),
+        F.when(i % 6 != 0, "x").alias("l_doi"), F.when(i % 3 == 0, "2024-01-01").alias("l_accessed"), F.when(i % 3 == 1, "why").alias("fallback_reason"), F.when(i % 3 == 0, " Missing ").alias("doi_check"), none.alias("authority_source"), none.alias("record_url"),
     )
 
 
@@ -139,23 +161,27 @@ BIB_SQL = """
 WITH b AS (SELECT doc_id AS k, lang, doc_id % 7 <> 0 AS has_doi FROM documents),
 l AS (SELECT doc_id + CASE WHEN doc_id % 11 = 0 THEN 1000000000 ELSE 0 END AS k, doc_id AS i, quality = 1 AS good, toxic = 1 AS tox FROM labels),
 j AS (SELECT coalesce(b.k, l.k) AS citation_key, b.k IS NOT NULL AS in_b, l.k IS NOT NULL AS in_l, lang, has_doi, i, good, tox FROM b FULL JOIN l ON b.k = l.k),
-issues AS (
-  SELECT 'MISSING_LOCK_ENTRY' AS code, 'blocking' AS severity, citation_key, 0 AS ord FROM j WHERE NOT in_l
-  UNION ALL SELECT 'NON_PASSING_STATUS', 'blocking', citation_key, 1 FROM j WHERE in_b AND in_l AND NOT good
-  UNION ALL SELECT 'UNVERIFIED_BIBTEX_SOURCE', 'blocking', citation_key, 2 FROM j WHERE in_b AND in_l AND NOT tox AND NOT good
-  UNION ALL SELECT 'OFFICIAL_EXPORT_NOT_USED', 'blocking', citation_key, 3 FROM j WHERE in_b AND in_l AND i % 5 = 0 AND NOT tox
-  UNION ALL SELECT 'OFFICIAL_EXPORT_CONTENT_CHANGED', 'warning', citation_key, 4 FROM j WHERE in_b AND in_l AND tox AND i % 2 <> 0
-  UNION ALL SELECT 'OFFICIAL_EXPORT_CHECKSUM_MISSING', 'warning', citation_key, 5 FROM j WHERE in_b AND in_l AND tox AND i % 2 = 0
-  UNION ALL SELECT 'TITLE_MISMATCH', 'blocking', citation_key, 6 FROM j WHERE in_b AND in_l AND lang <> 'en'
-  UNION ALL SELECT 'FALLBACK_REASON_MISSING', 'warning', citation_key, 9 FROM j WHERE in_b AND in_l AND NOT tox AND good
-  UNION ALL SELECT 'ARXIV_ACCESSED_DATE_MISSING', 'warning', citation_key, 10 FROM j WHERE in_b AND in_l AND NOT tox AND good
-  UNION ALL SELECT 'DOI_MISSING', 'warning', citation_key, 11 FROM j WHERE in_b AND in_l AND NOT (good AND i % 3 = 0) AND NOT has_doi
-  UNION ALL SELECT 'LOCK_ENTRY_NOT_IN_BIB', 'warning', citation_key, 12 FROM j WHERE NOT in_b)
+result AS (
+  SELECT 'MISSING_LOCK_ENTRY' AS code, 'blocking' AS severity, citation_key, 0 AS ord, false AS accepted FROM j WHERE NOT in_l
+  UNION ALL SELECT 'NON_PASSING_STATUS', 'blocking', citation_key, 1, false FROM j WHERE in_b AND in_l AND NOT good
+  UNION ALL SELECT 'UNVERIFIED_BIBTEX_SOURCE', 'blocking', citation_key, 2, false FROM j WHERE in_b AND in_l AND NOT tox AND NOT good
+  UNION ALL SELECT 'OFFICIAL_EXPORT_NOT_USED', 'blocking', citation_key, 3, false FROM j WHERE in_b AND in_l AND i % 5 = 0 AND NOT tox
+  UNION ALL SELECT 'OFFICIAL_EXPORT_CONTENT_CHANGED', 'warning', citation_key, 4, false FROM j WHERE in_b AND in_l AND tox AND i % 4 = 1
+  UNION ALL SELECT 'OFFICIAL_EXPORT_CHECKSUM_MISSING', 'warning', citation_key, 5, false FROM j WHERE in_b AND in_l AND tox AND i % 4 = 0
+  UNION ALL SELECT 'TITLE_MISMATCH', 'blocking', citation_key, 6, false FROM j WHERE in_b AND in_l AND lang <> 'en'
+  UNION ALL SELECT 'YEAR_MISMATCH', 'blocking', citation_key, 7, false FROM j WHERE in_b AND in_l AND i % 13 = 0
+  UNION ALL SELECT 'AUTHOR_MISMATCH', 'blocking', citation_key, 8, false FROM j WHERE in_b AND in_l AND i % 10 = 3
+  UNION ALL SELECT 'FALLBACK_REASON_MISSING', 'warning', citation_key, 9, false FROM j WHERE in_b AND in_l AND NOT tox AND good AND i % 3 <> 1
+  UNION ALL SELECT 'ARXIV_ACCESSED_DATE_MISSING', 'warning', citation_key, 10, false FROM j WHERE in_b AND in_l AND NOT tox AND good AND i % 3 <> 0
+  UNION ALL SELECT 'ARXIV_FALLBACK', 'warning', citation_key, 11, i % 2 = 0 FROM j WHERE in_b AND in_l AND NOT tox AND good
+  UNION ALL SELECT 'DOI_MISSING', 'warning', citation_key, 12, i % 6 = 0 AND good FROM j WHERE in_b AND in_l AND (i % 6 = 0 OR NOT has_doi)
+  UNION ALL SELECT 'LOCK_ENTRY_NOT_IN_BIB', 'warning', citation_key, 13, false FROM j WHERE NOT in_b),
+issues AS (SELECT code, severity, citation_key, ord FROM result WHERE NOT accepted)
 """
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.bib_lock(_bib(spark, sf_dir), _lock(spark, sf_dir))
+    return audit.bib_lock(_bib(spark, sf_dir), _lock(spark, sf_dir), normal=False)
 
 
 @query(BIB_SQL + "SELECT * FROM issues")
@@ -163,15 +189,19 @@ def bib_lock_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(spark, sf_dir)
 
 
-@query("SELECT doc_id AS citation_key FROM documents ANTI JOIN labels USING (doc_id)")
+@query(BIB_SQL + "SELECT code, severity, citation_key, ord FROM result WHERE accepted")
+def accepted_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.accepted_notes(_bib(spark, sf_dir), _lock(spark, sf_dir), normal=False)
+
+
+@query("SELECT doc_id AS citation_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 11 <> 0)")
 def missing_lock_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").withColumnRenamed("doc_id", "citation_key")
+    return _issues(spark, sf_dir).where("code = 'MISSING_LOCK_ENTRY'").select("citation_key")
 
 
-@query("SELECT doc_id AS citation_key FROM (SELECT doc_id FROM labels WHERE quality = 1) l ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d USING (doc_id)")
+@query("SELECT doc_id + 1000000000 AS citation_key FROM labels WHERE doc_id % 11 = 0")
 def lock_not_in_bib(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").join(d, "doc_id", "left_anti").withColumnRenamed("doc_id", "citation_key")
+    return _issues(spark, sf_dir).where("code = 'LOCK_ENTRY_NOT_IN_BIB'").select("citation_key")
 
 
 @query(
@@ -190,25 +220,26 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = c.select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("r2"), F.lead("text").over(w).alias("t2"))
     rows = rows.where("role = 'user' and r2 = 'assistant'")
+    status = F.when(F.col("conv_id") % 8 == 2, " checked ").when(F.col("conv_id") % 8 == 4, "checked-arxiv").when(F.col("conv_id") % 2 == 0, "checked").when(F.col("conv_id") % 8 == 1, "").when(F.col("conv_id") % 8 == 3, "too_strong").otherwise("draft")
     return rows.select(
         F.concat_ws("-", "conv_id", "turn").alias("claim_id"), F.col("text").alias("claim_text"), F.when(F.col("turn") % 4 == 3, F.lit("")).otherwise(F.lit("a, b")).alias("citation_key"),
-        F.when(F.col("conv_id") % 5 != 0, "p1").alias("source_location"), F.when(F.col("conv_id") % 7 != 0, F.col("t2")).alias("quote_or_evidence"),
-        F.when(F.col("conv_id") % 3 == 0, "Abstract").otherwise("source text").alias("evidence_kind"), F.when(F.col("conv_id") % 2 == 0, "checked").otherwise("draft").alias("status"),
+        F.when(F.col("conv_id") % 5 != 0, "p1").otherwise(F.lit(" \t")).alias("source_location"), F.when(F.col("conv_id") % 7 != 0, F.col("t2")).alias("quote_or_evidence"),
+        F.when(F.col("conv_id") % 3 == 0, "Abstract").otherwise("source text").alias("evidence_kind"), status.alias("status"),
     )
 
 
 CLAIMS_SQL = """
 WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS r2, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS t2 FROM conversations),
-c AS (SELECT conv_id, turn, conv_id || '-' || turn AS claim_id, text, CASE WHEN conv_id % 7 <> 0 THEN t2 END AS quote, conv_id % 2 = 0 AS done FROM t WHERE role = 'user' AND r2 = 'assistant')
+c AS (SELECT conv_id, turn, conv_id || '-' || turn AS claim_id, text, CASE WHEN conv_id % 7 <> 0 THEN t2 END AS quote, conv_id % 2 = 0 AS done, conv_id % 8 IN (1, 3) AS hard FROM t WHERE role = 'user' AND r2 = 'assistant')
 """
 
 
 @query(
     CLAIMS_SQL
     + """, k AS (SELECT c.*, CASE WHEN turn % 4 = 3 THEN NULL ELSE x END AS citation_key FROM c JOIN (SELECT 'a' AS x UNION ALL SELECT 'b') v ON NOT (turn % 4 = 3 AND x = 'b')),
-i AS (SELECT citation_key, CASE WHEN NOT done THEN 1 WHEN conv_id % 5 = 0 THEN 2 WHEN coalesce(trim(quote), '') = '' THEN 3 WHEN conv_id % 3 = 0 THEN 4 END AS ord FROM k)
-SELECT CASE ord WHEN 1 THEN 'CLAIM_NOT_CHECKED' WHEN 2 THEN 'CLAIM_SOURCE_LOCATION_MISSING' WHEN 3 THEN 'CLAIM_EVIDENCE_MISSING' ELSE 'CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE' END AS code,
-  CASE WHEN ord = 4 THEN 'blocking' ELSE 'warning' END AS severity, citation_key, ord FROM i WHERE ord IS NOT NULL"""
+i AS (SELECT citation_key, hard, CASE WHEN NOT done THEN 0 WHEN conv_id % 5 = 0 THEN 1 WHEN coalesce(trim(quote), '') = '' THEN 2 WHEN conv_id % 3 = 0 THEN 3 END AS ord FROM k)
+SELECT CASE ord WHEN 0 THEN 'CLAIM_NOT_CHECKED' WHEN 1 THEN 'CLAIM_SOURCE_LOCATION_MISSING' WHEN 2 THEN 'CLAIM_EVIDENCE_MISSING' ELSE 'CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE' END AS code,
+  CASE WHEN ord = 3 OR ord = 0 AND hard THEN 'blocking' ELSE 'warning' END AS severity, citation_key, ord FROM i WHERE ord IS NOT NULL"""
 )
 def claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.claims(_claims(spark, sf_dir))
@@ -217,103 +248,122 @@ def claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 TERMS_SQL = f"list_distinct(list_filter(regexp_extract_all(lower(%s), '[a-z][a-z0-9_-]{{{{3,}}}}'), lambda x: x NOT IN ({quoted(K.STOP_TERMS)})))".replace("{{", "{").replace("}}", "}")
 
 
-@query(
+CONSISTENCY_SQL = (
     CLAIMS_SQL
-    + f""", o AS (SELECT claim_id, text, quote, CAST(len(list_intersect({TERMS_SQL % 'text'}, {TERMS_SQL % "coalesce(quote, '')"})) AS BIGINT) AS overlap FROM c)
-SELECT claim_id, overlap, CASE WHEN coalesce(trim(quote), '') = '' THEN 'CLAIM_EVIDENCE_MISSING' WHEN overlap < 2 THEN 'CLAIM_EVIDENCE_LOW_OVERLAP'
-  WHEN regexp_matches(lower(text), '\\b({"|".join(K.STRONG_TERMS)})\\b') AND (overlap < 3 OR regexp_matches(lower(quote), '\\b({"|".join(K.HEDGE_TERMS)})\\b')) THEN 'CLAIM_MAY_BE_TOO_STRONG' END AS issue FROM o"""
+    + f""", x AS (SELECT claim_id, conv_id, turn, done, coalesce(trim(quote), '') <> '' AS has, {TERMS_SQL % 'text'} AS c, {TERMS_SQL % "coalesce(quote, '')"} AS e FROM c),
+o AS (SELECT *, CAST(len(list_intersect(c, e)) AS BIGINT) AS overlap, len(list_intersect(c, [{quoted(K.STRONG_TERMS)}])) > 0 AS strong, len(list_intersect(e, [{quoted(K.HEDGE_TERMS)}])) > 0 AS hedged FROM x)
+"""
+)
+
+
+@query(
+    CONSISTENCY_SQL
+    + "SELECT claim_id, overlap, CASE WHEN NOT has THEN 'CLAIM_EVIDENCE_MISSING' WHEN overlap < 2 THEN 'CLAIM_EVIDENCE_LOW_OVERLAP' WHEN strong AND (overlap < 3 OR hedged) THEN 'CLAIM_MAY_BE_TOO_STRONG' END AS issue FROM o"
 )
 def claim_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.consistency(_claims(spark, sf_dir)).select("claim_id", F.coalesce("overlap", F.lit(0)).alias("overlap"), "issue")
+    return audit.consistency(_claims(spark, sf_dir)).select("claim_id", "overlap", "issue")
+
+
+@query(
+    CONSISTENCY_SQL
+    + """SELECT claim_id, 'CLAIM_EVIDENCE_MISSING' AS code, 'blocking' AS severity FROM o WHERE NOT has UNION ALL SELECT claim_id, 'CLAIM_EVIDENCE_LOW_OVERLAP', 'blocking' FROM o WHERE has AND overlap < 2
+  UNION ALL SELECT claim_id, 'CLAIM_MAY_BE_TOO_STRONG', 'blocking' FROM o WHERE has AND strong AND (overlap < 3 OR hedged) UNION ALL SELECT claim_id, 'CLAIM_STATUS_NOT_FINAL', 'blocking' FROM o WHERE has AND overlap >= 2 AND NOT done
+  UNION ALL SELECT claim_id, 'CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE', 'blocking' FROM o WHERE has AND overlap >= 2 AND done AND conv_id % 3 = 0"""
+)
+def consistency_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.consistency_issues(_claims(spark, sf_dir), submission=True, keep=("claim_id",)).select("claim_id", "code", "severity")
+
+
+@query(
+    CONSISTENCY_SQL
+    + """SELECT count(*) AS result_count, count(*) FILTER (WHERE has AND overlap >= 2) AS ok_count, CAST(0 AS BIGINT) AS blocking_issue_count,
+  count(*) FILTER (WHERE NOT has) + count(*) FILTER (WHERE has AND overlap < 2) + count(*) FILTER (WHERE has AND strong AND (overlap < 3 OR hedged)) AS warning_count FROM o"""
+)
+def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.consistency_summary(_claims(spark, sf_dir))
 
 
 # --- evidence ----------------------------------------------------------------------------------------
 
 
-def _evidence(spark: SparkSession, sf_dir: str, scoped: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Claims and blocks; those of unlike scope don't meet, and there is one scope only if not scoped."""
-    scope = lambda key: (F.col(key) % 20 if scoped else F.lit(0).cast("long")).alias("scope")
-    b = table(spark, sf_dir, "benchmark").select(scope("item_id"), F.col("item_id").alias("claim_id"), "text")
-    d = table(spark, sf_dir, "documents").select(scope("doc_id"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return b, d.select("scope", (F.col("doc_id") * 100_000 + F.col("line")).alias("block_id"), "text")
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Claims and blocks, each claim against each document: a block is known by its document and line."""
+    one = F.lit(0).alias("scope")
+    b = table(spark, sf_dir, "benchmark").select(one, F.col("item_id").alias("claim_id"), "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return b, d.select(one, F.struct("doc_id", "line").alias("block_id"), "text")
 
 
 OVERLAP_SQL = f"""
-WITH b AS (SELECT item_id % 20 AS scope, item_id AS claim_id, {TERMS_SQL % 'text'} AS terms FROM benchmark),
+WITH b AS (SELECT item_id AS claim_id, {TERMS_SQL % 'text'} AS terms FROM benchmark),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
-d AS (SELECT doc_id % 20 AS scope, doc_id * 100000 + line AS block_id, text, {TERMS_SQL % 'text'} AS terms FROM lines),
-x AS (SELECT scope, claim_id, len(terms) AS n, unnest(terms) AS term FROM b),
-y AS (SELECT scope, block_id, unnest(terms) AS term FROM d),
-p AS (SELECT x.scope, claim_id, block_id, count(*) AS overlap, any_value(n) AS claim_terms FROM x JOIN y USING (scope, term) GROUP BY 1, 2, 3)
+d AS (SELECT doc_id, CAST(line AS INTEGER) AS line, text, {TERMS_SQL % 'text'} AS terms FROM lines),
+x AS (SELECT claim_id, len(terms) AS n, unnest(terms) AS term FROM b),
+y AS (SELECT doc_id, line, unnest(terms) AS term FROM d),
+p AS (SELECT claim_id, doc_id, line, count(*) AS overlap, any_value(n) AS claim_terms FROM x JOIN y USING (term) GROUP BY 1, 2, 3)
 """
 
 
-@query(OVERLAP_SQL + "SELECT scope, claim_id, block_id, overlap, round_even(overlap / claim_terms, 4) AS coverage, claim_terms FROM p")
+@query(OVERLAP_SQL + "SELECT claim_id, doc_id, line, overlap, round_even(overlap / claim_terms, 4) AS coverage, claim_terms FROM p")
 def evidence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.overlap(*_evidence(spark, sf_dir)).drop("semantic")
+    return evidence.overlap(*_evidence(spark, sf_dir), semantic=False).select("claim_id", "block_id.*", "overlap", "coverage", "claim_terms")
 
 
-QUALITY_SQL = (
-    OVERLAP_SQL
-    + """, q AS (SELECT block_id, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*')) AS words, regexp_matches(text, '[.!?]') AS stops FROM d),
-e AS (SELECT p.*, words, round_even(overlap / claim_terms, 4) AS coverage, round_even((CASE WHEN words >= 35 AND stops THEN 1.0 ELSE 0 END) + (CASE WHEN words >= 20 THEN 0.35 ELSE 0 END) - (CASE WHEN words <= 18 AND NOT stops THEN 1.0 ELSE 0 END), 4) AS quality,
-  words <= 18 AND NOT stops AS title_like FROM p JOIN q USING (block_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, coverage DESC, quality DESC, words DESC, block_id) AS rank FROM e)
+BIGRAM_SQL = """, gb AS (SELECT claim_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM (SELECT claim_id, list_sort(terms) AS t FROM b) z),
+gd AS (SELECT doc_id, line, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS g FROM (SELECT doc_id, line, list_sort(terms) AS t FROM d) z),
+w AS (SELECT claim_id, doc_id, line, count(*) AS n FROM gb JOIN gd USING (g) GROUP BY 1, 2, 3),
+m AS (SELECT p.claim_id, p.doc_id, p.line, round_even(overlap + round_even(overlap / claim_terms, 4) + 0.25 * coalesce(w.n, 0), 4) AS semantic FROM p LEFT JOIN w ON p.claim_id = w.claim_id AND p.doc_id = w.doc_id AND p.line = w.line)
 """
-)
 
 
-def _ranked(spark: SparkSession, sf_dir: str, top: int, scoped: bool = True) -> DataFrame:
-    claims, blocks = _evidence(spark, sf_dir, scoped)
-    good = evidence.quality(blocks).select("block_id", "words", "title_like", "abstract_like", "quality")
-    return evidence.ranked(evidence.overlap(claims, blocks, semantic=False).join(good, "block_id"), top=top)
+@query(OVERLAP_SQL + BIGRAM_SQL + "SELECT * FROM m")
+def semantic_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.overlap(*_evidence(spark, sf_dir)).select("claim_id", "block_id.*", "semantic")
 
 
-@query(QUALITY_SQL + "SELECT claim_id, block_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank = 1")
-def best_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, 1).select("claim_id", "block_id", "overlap", "rank")
-
-
-@query(
-    QUALITY_SQL
-    + """SELECT claim_id, block_id, CAST(rank AS INTEGER) AS rank, CASE WHEN overlap < 2 OR coverage < 0.25 OR title_like OR quality < 0 THEN 'low' WHEN overlap >= 3 AND coverage >= 0.5 AND quality >= 0.5 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE rank <= 5"""
+QUALITY_SQL = (
+    OVERLAP_SQL
+    + BIGRAM_SQL
+    + """, q AS (SELECT doc_id, line, len(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]*')) AS words, CASE WHEN length(text) > 500 THEN length(regexp_replace(left(text, 497), '\\s+$', '')) + 3 ELSE length(text) END AS size, regexp_matches(text, '[.!?]') AS stops FROM d),
+e AS (SELECT p.*, m.semantic, words, size, round_even(overlap / claim_terms, 4) AS coverage, round_even((CASE WHEN words >= 35 AND stops THEN 1.0 ELSE 0 END) + (CASE WHEN words >= 20 THEN 0.35 ELSE 0 END) - (CASE WHEN words <= 18 AND NOT stops THEN 1.0 ELSE 0 END), 4) AS quality,
+  words <= 18 AND NOT stops AS title_like FROM p JOIN q ON p.doc_id = q.doc_id AND p.line = q.line JOIN m ON p.claim_id = m.claim_id AND p.doc_id = m.doc_id AND p.line = m.line),
+f AS (SELECT *, CASE WHEN overlap < 2 OR coverage < 0.25 OR title_like OR quality < 0 THEN 'low' WHEN overlap >= 3 AND coverage >= 0.5 AND quality >= 0.5 THEN 'high' ELSE 'medium' END AS confidence FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY overlap DESC, coverage DESC, quality DESC, words DESC, doc_id, line) AS lexical,
+  row_number() OVER (PARTITION BY claim_id ORDER BY CAST(semantic AS DOUBLE) + CAST(quality AS DOUBLE) DESC, overlap DESC, coverage DESC, words DESC, doc_id, line) AS likely,
+  row_number() OVER (PARTITION BY claim_id ORDER BY CASE confidence WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END DESC, overlap DESC, coverage DESC, quality DESC, words DESC, size DESC, doc_id, line) AS rank FROM f)
+"""
 )
-def topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.confidence(_ranked(spark, sf_dir, 5)).select("claim_id", "block_id", "rank", "confidence")
 
 
-# the same of every claim with every document
+def _judged(spark: SparkSession, sf_dir: str, semantic: bool = False) -> DataFrame:
+    """Pairs with the passages' quality, whose texts are left behind but for what the rankings go by."""
+    claims, blocks = _evidence(spark, sf_dir)
+    good = evidence.quality(blocks).select("block_id", "words", "title_like", "abstract_like", "quality", F.substring("text", 1, 501).alias("text"))
+    return evidence.confidence(evidence.overlap(claims, blocks, semantic=semantic).join(good, "block_id"))
 
-ALL_OVERLAP_SQL = OVERLAP_SQL.replace("item_id % 20", "CAST(0 AS BIGINT)").replace("doc_id % 20", "CAST(0 AS BIGINT)")
-ALL_QUALITY_SQL = QUALITY_SQL.replace(OVERLAP_SQL, ALL_OVERLAP_SQL)
 
-
-@query(ALL_OVERLAP_SQL + "SELECT claim_id, block_id, overlap, round_even(overlap / claim_terms, 4) AS coverage, claim_terms FROM p")
-def evidence_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.overlap(*_evidence(spark, sf_dir, scoped=False), semantic=False).drop("scope")
+@query(QUALITY_SQL + "SELECT claim_id, doc_id, line, overlap FROM r WHERE lexical = 1")
+def best_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.ranked(_judged(spark, sf_dir)).select("claim_id", "block_id.*", "overlap")
 
 
-@query(ALL_QUALITY_SQL + "SELECT claim_id, block_id, overlap, CAST(rank AS INTEGER) AS rank FROM r WHERE rank = 1")
-def best_block_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(spark, sf_dir, 1, scoped=False).select("claim_id", "block_id", "overlap", "rank")
+@query(QUALITY_SQL + "SELECT claim_id, doc_id, line, semantic FROM r WHERE likely = 1")
+def best_block_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.ranked(evidence.likeness(_judged(spark, sf_dir, semantic=True)), evidence.SEMANTIC).select("claim_id", "block_id.*", "semantic")
 
 
-@query(
-    ALL_QUALITY_SQL
-    + """SELECT claim_id, block_id, CAST(rank AS INTEGER) AS rank, CASE WHEN overlap < 2 OR coverage < 0.25 OR title_like OR quality < 0 THEN 'low' WHEN overlap >= 3 AND coverage >= 0.5 AND quality >= 0.5 THEN 'high' ELSE 'medium' END AS confidence FROM r WHERE rank <= 5"""
-)
-def topk_blocks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.confidence(_ranked(spark, sf_dir, 5, scoped=False)).select("claim_id", "block_id", "rank", "confidence")
+@query(QUALITY_SQL + "SELECT claim_id, doc_id, line, CAST(rank AS INTEGER) AS rank, confidence FROM r WHERE rank <= 5")
+def topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.ranked(evidence.certainty(_judged(spark, sf_dir)), evidence.REVIEW, top=5).select("claim_id", "block_id.*", "rank", "confidence")
 
 
-@query(f"SELECT doc_id, CAST(len({TERMS_SQL % 'text'}) AS BIGINT) AS n_terms, array_to_string(list_sort({TERMS_SQL % 'text'}), ' ') AS terms FROM documents WHERE lang = 'en'")
-def claim_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", T.terms(F.col("text")).alias("t"))
-    return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
+@query(QUALITY_SQL + "SELECT claim_id, confidence, count(*) AS n FROM f GROUP BY 1, 2")
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).groupBy("claim_id", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT doc_id, CAST(len({TERMS_SQL % 'text'}) AS BIGINT) AS n_terms, array_to_string(list_sort({TERMS_SQL % 'text'}), ' ') AS terms FROM documents")
-def claim_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claim_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", T.terms(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.array_join("t", " ").alias("terms"))
 
@@ -336,7 +386,7 @@ def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, p AS (SELECT 'bibliography' AS phase UNION ALL SELECT 'source-title' UNION ALL SELECT 'claim review' UNION ALL SELECT 'manuscript'),
 g AS (SELECT count(*) FILTER (WHERE severity = 'blocking') AS blocking, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(DISTINCT code) AS codes FROM issues)
 SELECT phase, CASE WHEN phase = 'bibliography' THEN blocking ELSE 0 END AS blocking, CASE WHEN phase = 'bibliography' THEN warnings ELSE 0 END AS warnings, CASE WHEN phase = 'bibliography' THEN codes ELSE 0 END AS codes,
-  CASE WHEN phase = 'bibliography' AND blocking > 0 THEN 'blocked' WHEN phase = 'bibliography' AND warnings > 0 THEN 'warnings' ELSE 'pass' END AS status FROM p, g"""
+  CASE WHEN phase = 'bibliography' AND blocking > 0 THEN 'blocked' ELSE 'passed' END AS status FROM p, g"""
 )
 def phase_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.phases(spark, _issues(spark, sf_dir))
@@ -363,23 +413,36 @@ def max_actions_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def first_actionable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return rollup.first_of_group(rows, "user_id", "event_id", F.col("event_type") == "purchase").select("user_id", "event_id")
 
 
 # --- pages, text, manifests, updates -----------------------------------------------------------------
 
 
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose title is said in meta tags, as publishers do."""
+    head = """<meta content="$1" name=citation_title><META property='og:title' content="other"><meta name="citation_author" content="Ann  &amp; Bo"><meta name='citation_author' content='Lee, C.'><meta name="empty">"""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("html", r"(?is)<title[^>]*>(.*?)</title>", head).alias("html"))
+
+
+SQUEEZED = r"trim(regexp_replace(%s, '\s+', ' ', 'g'))"
+PAGE_TITLE = SQUEEZED % "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
 @query(
-    r"""SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>')) AS BIGINT) AS n_anchors FROM pages"""
+    f"""SELECT page_id, 'citation_title' AS name, {PAGE_TITLE} AS content FROM pages UNION ALL SELECT page_id, unnest(['og:title', 'citation_author', 'citation_author']), unnest(['other', 'Ann &amp; Bo', 'Lee, C.']) FROM pages"""
 )
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.size(parsers.anchors(h)).cast("long").alias("n_anchors"))
+    return tagged(spark, sf_dir).select("page_id", F.explode(records.metas(F.col("html"))).alias("m")).select("page_id", "m.name", "m.content")
+
+
+ANCHOR_SQL = r"""'(?is)<a\s+[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a>'"""
 
 
-@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1)) AS href FROM pages""")
+@query(f"""SELECT page_id, href, {SQUEEZED % "regexp_replace(label, '<[^>]+>', '', 'g')"} AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, {ANCHOR_SQL}, 1)) AS href, unnest(regexp_extract_all(html, {ANCHOR_SQL}, 2)) AS label FROM pages) z""")
 def html_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(parsers.anchors(F.col("html"))).alias("a")).select("page_id", "a.href")
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(records.anchors(F.col("html"))).alias("a")).select("page_id", "a.href", "a.label")
 
 
 @query("SELECT page_id, h = 'example.com' OR h LIKE '%.example.com' AS matches FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) AS h FROM pages) z")
@@ -387,9 +450,19 @@ def host_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.host_matches(F.col("url"), F.lit("example.com")).alias("matches"))
 
 
-@query("SELECT doc_id, length(trim(text)) < 80 AS too_short, text LIKE '%token = %' AS sensitive FROM documents")
+STRIPPED = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT doc_id AS path, length({STRIPPED % 'text'}) AS char_count, length({STRIPPED % 'text'}) >= 80 AS ok, CASE WHEN length({STRIPPED % 'text'}) < 80 THEN 'SOURCE_TEXT_TOO_SHORT' END AS code FROM documents")
 def text_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length(F.trim("text")) < 80).alias("too_short"), F.contains("text", F.lit("token = ")).alias("sensitive"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return titles.validated(d.withColumn("path", F.col("path").cast("string"))).select(F.col("path").cast("long").alias("path"), "char_count", "ok", "code")
+
+
+@query(f"SELECT doc_id, match FROM (SELECT doc_id, text, unnest([{quoted(K.SENSITIVE_TERMS)}]) AS match FROM documents) z WHERE contains(text, match)")
+def hygiene_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return titles.hygiene(d).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "match")
 
 
 @query("SELECT doc_id, sha256(text) AS sha FROM documents")
@@ -397,7 +470,7 @@ def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.sha256(F.col("text")).alias("sha"))
 
 
-@query("SELECT page_id, left(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), 120) || '_' || left(sha256(url), 12) || '.json' AS file FROM pages")
+@query("SELECT page_id, left(trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), 120) || '_' || left(sha256(url), 12) || '.json' AS file FROM pages")
 def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.cache_key(F.col("url")).alias("file"))
 
@@ -415,15 +488,34 @@ def lock_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert(old, table(spark, sf_dir, "labels").select("doc_id", F.lit("new").alias("state")), "doc_id")
 
 
-@query(
-    """SELECT doc_id AS citation_key, CASE WHEN l.doc_id IS NULL THEN 'keep' WHEN quality <> 1 THEN 'blocked' WHEN d.doc_id % 2 = 0 THEN 'unchanged' ELSE 'replace' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)"""
-)
+def _sync(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents in one source are not in the bibliography; labels are the lock."""
+    docs, i = table(spark, sf_dir, "documents").select("doc_id", "lang"), F.col("doc_id")
+    bib = docs.where("doc_id % 12 <> 0").select(i.alias("citation_key"), F.concat(F.lit(" \n"), "lang", F.lit("\n\n")).alias("text"))
+    text = F.when(i % 9 == 0, " \t").when(i % 2 == 0, F.col("lang")).otherwise(F.concat("lang", F.lit("!")))
+    lock = table(spark, sf_dir, "labels").join(docs, "doc_id")
+    return bib, lock.select(
+        i.alias("citation_key"), F.when(F.col("quality") == 1, "verified_manual_fallback").otherwise("draft").alias("status"), F.when(i % 5 != 0, "official_export").alias("source_kind"), text.alias("canonical"),
+        F.when(i % 7 == 0, "0").when(i % 7 == 1, "placeholder").otherwise(T.sha256(T.canonical(text))).alias("stored_sha"),
+    )
+
+
+SYNC_SQL = """
+WITH j AS (SELECT d.doc_id AS k, d.doc_id % 12 <> 0 AS there, l.doc_id IS NOT NULL AS known, quality FROM documents d LEFT JOIN labels l USING (doc_id)),
+r AS (SELECT k AS citation_key, CASE WHEN NOT known THEN 'missing_lock_entry' WHEN quality <> 1 THEN 'non_passing_status' WHEN k % 5 = 0 THEN 'unsyncable_source_kind' WHEN k % 9 = 0 THEN 'canonical_bibtex_text_missing'
+  WHEN k % 7 = 0 THEN 'canonical_checksum_mismatch' WHEN NOT there THEN 'missing_from_bib' WHEN k % 2 = 0 THEN 'already_synced' ELSE 'current_bibtex_differs_from_lock_canonical' END AS reason FROM j WHERE there OR known),
+a AS (SELECT *, CASE reason WHEN 'missing_lock_entry' THEN 'skipped' WHEN 'missing_from_bib' THEN 'add' WHEN 'already_synced' THEN 'unchanged' WHEN 'current_bibtex_differs_from_lock_canonical' THEN 'replace' ELSE 'blocked' END AS action FROM r)
+"""
+
+
+@query(SYNC_SQL + "SELECT citation_key, action, reason FROM a")
 def sync_action(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("citation_key"), F.col("lang").alias("text"))
-    canonical = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise(F.concat("lang", F.lit("!")))
-    lock = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    lock = lock.select(F.col("doc_id").alias("citation_key"), canonical.alias("canonical"), T.sha256(F.concat(canonical, F.lit("\n"))).alias("stored_sha"), (F.col("quality") == 1).alias("ok"))
-    return upsert.sync_action(d, lock)
+    return upsert.sync_action(*_sync(spark, sf_dir)).select("citation_key", "action", "reason")
+
+
+@query(SYNC_SQL + "SELECT citation_key, CASE WHEN action = 'blocked' THEN upper(reason) ELSE 'BIB_ENTRY_NOT_IN_LOCK' END AS code, CASE WHEN action = 'blocked' THEN 'blocking' ELSE 'warning' END AS severity FROM a WHERE action = 'blocked' OR reason = 'missing_lock_entry'")
+def sync_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return upsert.sync_issues(upsert.sync_action(*_sync(spark, sf_dir)))
 
 
 @query("SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'draft' WHEN l.quality = 1 THEN CASE WHEN lang = 'de' THEN 'needs_review_weak_evidence' ELSE 'checked' END ELSE 'too_strong' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -438,11 +530,22 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 320 THEN rtrim(left(text, 317), ' ') || '...' ELSE text END AS quote FROM documents")
+@query(r"SELECT doc_id, CASE WHEN length(text) > 320 THEN regexp_replace(left(text, 317), '\s+$', '') || '...' ELSE text END AS quote FROM documents")
 def quote_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clip(F.col("text"), 320).alias("quote"))
 
 
+TITLE_SQL = r"""WITH t AS (SELECT doc_id, regexp_replace(translate(regexp_replace(lower(%s), '[{}]', '', 'g'), '‐‑–—', '----'), '\s+', ' ', 'g') AS x FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace('r&d a - ' || x, '["''“”‘’]+$', ''), '[.。]+$', '') AS title FROM t"""
+
+
+@query(TITLE_SQL % (STRIPPED % "text"))
+def title_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    title = F.concat(F.lit(" “R\\\\&D {a} –  "), T.strip(F.col("text")), F.lit("”"))
+    return d.select("doc_id", T.normalize_title(title).alias("title"))
+
+
 @query("SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM customer")
 def author_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.normalize_author(F.col("c_name"), nfkd=False).alias("name"))
@@ -481,9 +584,12 @@ def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", titles.matches(F.col("title"), F.array("head"), nfkc=False).alias("matches"))
 
 
-@query("SELECT doc_id, regexp_replace(trim(string_split(text, chr(10))[1]), '\\s+', ' ', 'g') AS first FROM documents WHERE length(trim(string_split(text, chr(10))[1])) >= 8 AND NOT starts_with(lower(trim(text)), 'abstract') AND length(string_split(text, chr(10))[1]) < 4000")
+@query(
+    f"""SELECT doc_id, list_filter(list_transform(string_split(left(text, 4000), chr(10)), lambda x: {SQUEEZED % 'x'}),
+  lambda x: length(x) >= 8 AND NOT regexp_matches(lower(x), '^(\\[page |abstract|arxiv:|doi:|preprint|proceedings of|published as a conference paper|under review as a conference paper)'))[1] AS first FROM documents"""
+)
 def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("length(trim(split(text, '\n')[0])) >= 8 and not startswith(lower(trim(text)), 'abstract') and length(split(text, '\n')[0]) < 4000")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", titles.lines(F.col("text")).alias("ls")).select("doc_id", F.get(titles.candidates(F.col("ls")), F.lit(0)).alias("first"))
 
 
@@ -495,22 +601,37 @@ def monitor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://arxiv.org/pdf/' || page_id WHEN page_id % 3 = 1 THEN 'https://openreview.net/pdf?id=' || page_id ELSE 'https://proceedings.mlr.press/v1/p' || page_id || '/p' || page_id || '.pdf' END AS pdf FROM pages"""
+    """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'https://arxiv.org/pdf/' || page_id || 'v2.pdf' WHEN 1 THEN 'https://openreview.net/pdf?id=' || page_id WHEN 2 THEN 'https://proceedings.mlr.press/v1/p' || page_id || '.pdf' WHEN 3 THEN 'https://dl.acm.org/doi/pdf/10.1/' || page_id
+  WHEN 4 THEN 'https://aclanthology.org/' || page_id || '.pdf' WHEN 5 THEN 'https://proceedings.neurips.cc/paper_files/paper/2020/file/' || page_id || '-Paper.pdf' WHEN 6 THEN 'https://x.org/' || page_id || '.PDF' END AS pdf,
+  ['arxiv', 'openreview', 'pmlr', 'acm', 'acl', 'neurips', 'direct_pdf', NULL][page_id % 8 + 1] AS source FROM pages"""
 )
 def url_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("page_id").cast("string")
-    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/"), n)).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://openreview.net/forum?id="), n))
-    u = u.otherwise(F.concat(F.lit("https://proceedings.mlr.press/v1/p"), n, F.lit(".html")))
-    return table(spark, sf_dir, "pages").select("page_id", titles.pdf_url(F.col("url"), u).alias("pdf"))
+    n, i = F.col("page_id").cast("string"), F.col("page_id") % 8
+    at = lambda a, b="": F.concat(F.lit(a), n, F.lit(b))
+    u = F.when(i == 0, at("http://arxiv.org/abs/", "v2?x=1")).when(i == 1, at("https://openreview.net/forum?a=b&id=", "#top")).when(i == 2, at("https://proceedings.mlr.press/v1/p", ".html#abs")).when(i == 3, at("https://dl.acm.org/doi/abs/10.1/", "?x"))
+    u = u.when(i == 4, at("https://aclanthology.org/", "/")).when(i == 5, at("https://proceedings.neurips.cc/paper/2020/hash/", "-Abstract.html")).when(i == 6, at("https://x.org/", ".PDF"))
+    d = table(spark, sf_dir, "pages").select("page_id", F.coalesce(titles.pdf_of(F.regexp_replace("url", r"(?i)\.pdf$", "")), titles.pdf_of(u)).alias("x"))
+    return d.select("page_id", F.col("x.url").alias("pdf"), "x.source")
+
+
+FAILURES = ["", "HTTPError: HTTP Error 429: Too Many Requests", "URLError: <urlopen error timed out>", "HTTPError: HTTP Error 500: Server Error", "ValueError: bad payload"]
+FAILURE_SQL = "CASE event_id % 5 WHEN 0 THEN 'NO_CANDIDATES' WHEN 1 THEN 'LIVE_SMOKE_RATE_LIMITED' WHEN 2 THEN 'LIVE_SMOKE_NETWORK_UNAVAILABLE' WHEN 3 THEN 'LIVE_SMOKE_HTTP_ERROR' ELSE 'LIVE_SMOKE_DISCOVERY_ERROR' END"
+
+
+def lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lookups by source: ord, source, ok, error, citation_key."""
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    error = F.get(F.array(*map(F.lit, FAILURES)), (i % 5).cast("int"))
+    return e.select(i.alias("ord"), F.col("event_type").alias("source"), (i % 7 == 0).alias("ok"), error.alias("error"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("citation_key"))
 
 
 @query(
-    """SELECT code, event_type AS source, count(*) AS n, min(event_id) AS first FROM (SELECT *, CASE event_id % 5 WHEN 0 THEN 'NO_CANDIDATES' WHEN 1 THEN 'LIVE_SMOKE_RATE_LIMITED' WHEN 2 THEN 'LIVE_SMOKE_NETWORK_UNAVAILABLE' WHEN 3 THEN 'LIVE_SMOKE_HTTP_ERROR' ELSE 'LIVE_SMOKE_DISCOVERY_ERROR' END AS code FROM events) z GROUP BY 1, 2"""
+    f"""WITH f AS (SELECT event_id, event_type AS source, 'u' || user_id AS k, {FAILURE_SQL} AS code FROM events WHERE event_id % 7 <> 0), g AS (SELECT code, source, k, min(event_id) AS m FROM f GROUP BY 1, 2, 3),
+h AS (SELECT *, row_number() OVER (PARTITION BY code, source ORDER BY m, k) AS r FROM g), s AS (SELECT code, source, string_agg(CASE WHEN r <= 10 THEN k END, ',' ORDER BY r) AS sample, greatest(count(*) - 10, 0) AS omitted FROM h GROUP BY 1, 2)
+SELECT f.code, f.source, count(*) AS n, min(event_id) AS first, any_value(s.sample) AS sample, any_value(s.omitted) AS omitted FROM f JOIN s ON f.code = s.code AND f.source = s.source GROUP BY 1, 2"""
 )
 def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = F.array(*map(F.lit, ["", "HTTP Error 429: Too Many Requests", "<urlopen error timed out>", "HTTP Error 500", "bad payload"]))
-    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"), titles.failure_code(F.get(errors, (F.col("event_id") % 5).cast("int"))).alias("code"))
-    return e.groupBy("code", "source").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+    return rollup.failure_summary(lookups(spark, sf_dir)).drop("message")
 
 
 @query(BIB_SQL + "SELECT citation_key, count(*) FILTER (WHERE severity = 'blocking') = 0 AS ok FROM issues GROUP BY 1")
@@ -518,6 +639,9 @@ def gate_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.ok(_issues(spark, sf_dir), "citation_key")
 
 
+from provlake.plans import follow_up, publishing  # noqa: E402, F401  (they add their queries)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
