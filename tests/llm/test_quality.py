@@ -152,3 +152,38 @@ def test_redaction(spark):
     got = sorted((tuple(r) for r in pii.redact(df).collect()), key=str)
     assert got == sorted([(1, "é [EMAIL] and [PHONE]!", "x", 22, 1), (2, "clean", "y", 5, 2), (3, None, "z", 0, 3), (1, "clean", "y", 5, 2)], key=str)
     assert pii.redact(df.limit(0)).collect() == []
+
+
+def test_secrets_and_dotted_addresses(spark):
+    rng = np.random.RandomState(5)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(900)]
+    ips = [".".join(map(str, rng.randint(1, 255, 4))) for _ in range(900)]
+    texts, want = [], []
+    for i, (h, ip) in enumerate(zip(hexes, ips, strict=True)):
+        texts.append([f'set token = "{h}" here', f"see {h} here", f"at {ip} today", f"at {ip.replace('.', '[.]')} today", "the averylongwordwithoutanydigits stays, and so does 2024-05-01", "word " * 5][i % 6])
+        want.append([f"secret:13:{13 + 32}", "secret:4:36", f"ip:3:{3 + len(ip)}", f"ip:3:{3 + len(ip) + 6}", "", ""][i % 6])
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    right = [got[i]["spans"] == w for i, w in enumerate(want)]
+    for j in range(6):
+        assert np.mean(right[j::6]) > 0.95, texts[j]
+    assert all(got[i]["n_spans"] == (want[i] != "") for i in range(len(want)) if right[i]) and sum(r["n_secret"] for r in got.values()) > 280
+
+
+def test_long_text_of_addresses(spark):
+    import time
+
+    texts = [" ".join(f"a{i}@b{i}.org" for i in range(8000)), " ".join(f"call +1 (811) 555-{i:04d} or 4111 1111 1111 1111;" for i in range(2500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pii.report(df.limit(0)).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    assert got[0]["n_email"] == 8000 and got[1]["n_phone"] == 2500 and got[1]["n_card"] == 2500
+    assert time.time() - began < 40
+
+
+def test_trees_on_rows_left_out(spark):
+    """Fitted on labels of two thirds of the rows, judged on the rest."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    own = labels.where("crc32(cast(doc_id as string)) % 3 <> 1")
+    out = quality_trees.judge(docs, own).join(labels.where("crc32(cast(doc_id as string)) % 3 = 1"), "doc_id").where("not base_failed").select("kept", "quality").collect()
+    assert len(out) > 60 and np.mean([r["kept"] == (r["quality"] == 1) for r in out]) > 0.93
