@@ -48,7 +48,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: computed once, lineage cut."""
     at = scratch(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._provlake_at = at
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Tables that ``stored`` has written, and that nothing reads any longer, go from the shared folder."""
+    for df in tables:
+        at = getattr(df, "_provlake_at", None)
+        if at:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Compression classifier: zstandard dictionaries of good and of bad text, and a calibrated score.
 
-Two dictionaries are trained on a bounded sample of labelled texts (``SAMPLE`` of each label, ``TRAIN_BYTES`` of
-each text). A text is compressed whole, in blocks of ``BLOCK`` bytes so that long texts don't outgrow the
+Two dictionaries are trained on a bounded sample of labelled rows (``SAMPLE`` of each label): their whole texts are cut
+into blocks of ``BLOCK`` bytes, of which at most ``TRAINING`` of each label, the least by hash, serve. A text is compressed whole, in blocks of ``BLOCK`` bytes so that long texts don't outgrow the
 dictionaries, with either. Its normalised size difference (bad - good) / (bad + good), with the compressed share
 of its bytes for repetition that neither dictionary knows, is calibrated by a logistic curve fitted on *other*
-labelled rows, so dictionaries never judge the texts they were made of. Labels and doc_id are no inputs.
+labelled rows, so dictionaries never judge the texts they were made of. Labels and doc_id are no inputs. One
+penalty holds for all of the curve's inputs at every size.
 
 Folds: crc32(doc_id as text) mod 3; 0 trains dictionaries, 2 calibrates, 1 is held out.
 
@@ -28,12 +29,12 @@ from pyspark.sql.types import StructType
 from provlake.llm.common import lean, small_batches, text_batches
 
 SAMPLE = 3000
-TRAIN_BYTES = 4096
+TRAINING = 4000
 DICTIONARY_BYTES = 110_000
 BLOCK = 4096
 LEVEL = 3
-#: With fewer calibration rows of the rarer label the curve has two inputs only.
-FEW = 25
+#: Penalty on the curve's weights.
+RIDGE = 1.0
 
 
 def train(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -89,7 +90,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def calibrate(sizes: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def calibrate(sizes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, scale and weights of the logistic curve, by Newton steps."""
     x = inputs(sizes)
     mean, scale = x.mean(0), x.std(0)
@@ -97,9 +98,7 @@ def calibrate(sizes: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.
     scale[scale < 1e-9] = 1
     x = (x - mean) / scale
     w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    if min(y.sum(), len(y) - y.sum()) < FEW:  # too few to fit more than the difference and the share
-        penalty[3:] = 1e9
+    penalty = np.full(x.shape[1], RIDGE)
     penalty[0] = 1e-6
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -129,9 +128,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ids = ids.groupBy("doc_id", "fold").agg(F.max("quality").alias("quality"))
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     some = some.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text")))).where("_n = 1")
-    short = some.where("fold = 0").select("quality", F.substring(F.encode("text", "utf-8"), 1, TRAIN_BYTES).alias("raw")).collect()
-    good = train([bytes(r["raw"]) for r in short if r["quality"]])
-    bad = train([bytes(r["raw"]) for r in short if not r["quality"]])
+    raw = F.encode("text", "utf-8")
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / BLOCK).cast("int"))
+    blocks = some.where("fold = 0").select("quality", raw.alias("raw"), F.explode(places).alias("k")).select("quality", F.substring(F.col("raw"), F.col("k") * BLOCK + 1, F.lit(BLOCK)).alias("raw"))
+    train_on = [[bytes(r["raw"]) for r in blocks.where(f"quality = {q}").orderBy(F.xxhash64("raw"), "raw").limit(TRAINING).select("raw").collect()] for q in (1, 0)]
+    good, bad = map(train, train_on)
     got = sized(some.where("fold = 2").select("doc_id", "text", "quality"), good, bad).select("quality", "n", "good", "bad").collect()
     y = np.array([r["quality"] for r in got], float)
     sizes = np.array([[r["n"], r["good"], r["bad"]] for r in got], float).reshape(-1, 3)

@@ -136,6 +136,23 @@ def store(docs: DataFrame, folder: str) -> list[tuple[str, int]]:
     return sorted((r["path"], r["size"]) for r in rows)
 
 
+def manifest(spark: SparkSession, archives: list[tuple[str, int]]) -> str:
+    """A file of the archives' sizes and paths, so that a plan names one file however many archives there are."""
+    at = scratch(spark, "manifest") + ".txt"
+    where, path = open_fs(at)
+    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with where.open_output_stream(path) as out:
+        out.write("".join(f"{n}\t{p}\n" for p, n in archives).encode())
+    return at
+
+
+def listed(at: str) -> list[tuple[str, int]]:
+    where, path = open_fs(at)
+    with where.open_input_stream(path) as f:
+        rows = [line.split("\t", 1) for line in f.read().decode().splitlines()]
+    return [(p, int(n)) for n, p in rows]
+
+
 class ByteRange(InputPartition):
     def __init__(self, path: str, size: int, first: int, last: int):
         self.path, self.size, self.first, self.last = path, size, first, last
@@ -143,9 +160,7 @@ class ByteRange(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
-        import json
-
-        self.archives = json.loads(options["archives"])
+        self.archives = listed(options["manifest"])
         self.step = int(options.get("rangeBytes", RANGE_BYTES))
         self.retries = int(options.get("retries", RETRIES))
 
@@ -227,10 +242,8 @@ class ArchiveSource(DataSource):
 
 def read(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The archives' members: doc_id, n_bytes, media."""
-    import json
-
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("greyarchive").option("archives", json.dumps(archives)).option("rangeBytes", str(range_bytes)).load()
+    return spark.read.format("greyarchive").option("manifest", manifest(spark, archives)).option("rangeBytes", str(range_bytes)).load()
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"

@@ -7,7 +7,8 @@ hash of its words.
 1. signatures of all texts; each batch puts out one entry for each (band, item)
 2. a band's entries meet in one partition. Items of a batch that share a band are linked to the batch's least item
    on the spot, so a band that a third of all texts share has one entry a batch, not one a text
-3. candidate pairs join each item to its band's least item. Pairs are measured exactly on the texts
+3. candidate pairs join each item to its band's least item. A hub's members are dealt in salted blocks, so its text goes
+   to each block once and not to each pair; members are measured exactly on the texts, as they stream by
 4. where a band's items are still in several components, components that have items of like signatures (``SLACK``,
    about five standard deviations, below the threshold) are one family. A family's items meet in blocks of
    ``BLOCK``, each block with each, and a block pair measures exactly whatever is in different components. It puts
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from provlake.llm import blobs, shingles
 from provlake.llm.bagminhash import SLOTS, band_keys, signatures
-from provlake.llm.common import lean, mix, small_batches, stored
+from provlake.llm.common import forget, lean, mix, small_batches, stored
 from provlake.llm.components import components
 from provlake.llm.suffix_dedup import by_target, gathered, rows_of
 
@@ -141,16 +142,39 @@ def elements(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def similar_rows(threshold: float):
+HUB, LEAF = 0, 1
+
+
+def star_rows(threshold: float, at_once: int = 64):
+    """(a, b) of the members of a block that are similar to its hub, whose row comes first."""
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b) of those pairs with both texts that are similar."""
+        hub, name = None, 0
         for b in batches:
-            ok = [shingles.overlap(x, y) >= threshold for x, y in zip(elements(b.column(2)), elements(b.column(3)), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            side, ids, texts = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4)
+            out: list[tuple[int, int]] = []
+            for i in range(0, b.num_rows, at_once):
+                part = slice(i, min(i + at_once, b.num_rows))
+                for s, x, e in zip(side[part].tolist(), ids[part].tolist(), elements(texts.slice(i, at_once)), strict=True):
+                    if s == HUB:
+                        hub, name = e, x
+                    elif hub is not None and shingles.overlap(hub, e) >= threshold:
+                        out.append((name, x))
+            p, q = np.array(out, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["a", "b"])
 
     return similar
 
 
+def starred(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a: hub, b: member) that are similar by their texts (id, text)."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    own = salts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("salt"), F.lit(HUB).alias("side"), F.col("a").alias("id"))
+    salted = pairs.join(salts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("salt"), F.lit(LEAF).alias("side"), F.col("b").alias("id"))
+    rows = own.unionByName(salted).join(texts.select("id", "text").hint("merge"), "id").select("hub", "salt", "side", "id", "text")
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side").mapInArrow(lean(star_rows(threshold)), "a long, b long")
+
+
 class Union:
     """Joins roots and tells whether two were apart."""
 
@@ -270,17 +294,17 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
     least = threshold - SLACK
     ids = members.select("id").distinct()
     # one text and one signature for each item: of its least doc_id
-    first = sketches.join(ids, "id").groupBy("id").agg(F.min_by(F.struct("row", "sig"), F.struct("doc_id", "row")).alias("x"))
-    first = stored(first.select("id", "x.row", "x.sig"), "items")
+    first = sketches.groupBy("id").agg(F.min_by(F.struct("row", "sig"), F.struct("doc_id", "row")).alias("x"))
+    first = stored(first.join(ids, "id", "left_semi").select("id", "x.row", "x.sig"), "items")
     sigs = first.select("id", "sig")
     # texts are joined by sorting at every size: what they are joined with has no bound
     texts = stored(docs.join(first.select("id", "row").hint("merge"), "row").select("id", "text").dropDuplicates(["id"]), "texts")
     blobs.free_shuffles(spark)
 
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = agreeing(pairs, sigs, least).join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
-    good = stored(pairs.mapInArrow(lean(similar_rows(threshold)), "a long, b long"), "similar")
+    close = stored(agreeing(pairs, sigs, least), "candidates")
+    good = stored(starred(close, texts, threshold), "similar")
+    forget(close)
     blobs.free_shuffles(spark)
     labels = None if good.isEmpty() else components(good)
 
@@ -292,12 +316,16 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
     near = stored(blocks(root.join(mixed, "key").join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
     blobs.free_shuffles(spark)
     if near.isEmpty():
+        forget(members, first, texts, good, near)
         return labels
     families = components(near).select(F.col("id").alias("root"), F.col("root").alias("key"))
     items = rooted(ids).join(families, "root").join(texts, "id").select("key", "id", "root", "text")
     more = stored(blocks(items, "text").mapInArrow(lean(block_rows(by_overlap, threshold, True)), "a long, b long").distinct(), "similar")
     blobs.free_shuffles(spark)
-    return labels if more.isEmpty() else components(good.unionByName(more))
+    if not more.isEmpty():
+        labels = components(good.unionByName(more))
+    forget(members, first, texts, good, near, more)
+    return labels
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -327,6 +355,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     own = sketches.select("doc_id", "row", "id")
     own = own.join(labels, "id", "left").select("doc_id", "row", F.coalesce("root", "id").alias("root")) if labels is not None else own.withColumnRenamed("id", "root")
     own = stored(own, "roots")
+    forget(sketches)
     least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return own.join(least, "root").select("doc_id", "row", "root", "class_id", "class_size")
 
@@ -334,10 +363,11 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 def first_of_each(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs that have their class's least doc_id; of equal doc_ids the one with the least hash."""
     found = classes(docs, threshold)
-    kept = found.where("doc_id <=> class_id").groupBy("class_id", "doc_id", "root").agg(F.min("row").alias("_row"), F.count(F.lit(1)).alias("_n"))
-    kept = stored(kept.select("_row", "_n"), "kept")
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    out = marked.join(kept.select("_row").distinct().hint("merge"), "_row", "left_semi")
-    if not kept.where("_n > 1").isEmpty():  # rows alike in doc_id and text
-        out = out.dropDuplicates(["_row"])
-    return out.select(*docs.columns)
+    kept = found.where("doc_id <=> class_id").groupBy("class_id", "doc_id", "root").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    kept = stored(kept.select("row", "n"), "kept")
+    # the row is held in one column, so that its names cannot clash with those made here
+    marked = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row"))
+    out = marked.join(kept.select("row").distinct().hint("merge"), "row", "left_semi")
+    if not kept.where("n > 1").isEmpty():  # rows alike in doc_id and text
+        out = out.dropDuplicates(["row"])
+    return out.select("doc.*")

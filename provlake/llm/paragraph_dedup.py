@@ -10,7 +10,7 @@ phrases stay, passages go.
 1. each batch hashes its paragraphs. Copies within the batch are settled on the spot; of each content the first
    (least doc_id, then place) sends one entry a band (``BANDS`` of ``ROWS`` MinHash rows, for a recall above 0.99 at
    the threshold)
-2. a band's entries meet in one partition; copies of a content are settled, but for the first. Bands of several
+2. a band's entries meet in one partition; copies of a content, known by 64 bits of hash, are settled, but for the first. Bands of several
    contents ask for their paragraphs
 3. the texts' partitions send the paragraphs asked for, as shingle sets
 4. each band verifies the exact Jaccard similarity: it grows groups from a paragraph by all that are similar to it,
@@ -138,7 +138,7 @@ def entry_rows(n: int):
                 key = keys[:, band]
                 for t, s in by_target(((key >> np.uint64(20)) % np.uint64(n)).astype(np.int64), n):
                     i = k[s]
-                    found.append((t, band, blobs.pack(doc, row, blobs.deltas(text[i].astype(np.uint32)), number[i].astype(np.uint32), key[s], content[i].astype(np.uint32))))
+                    found.append((t, band, blobs.pack(doc, row, blobs.deltas(text[i].astype(np.uint32)), number[i].astype(np.uint32), key[s], content[i] if band == 0 else content[i].astype(np.uint32))))
             yield rows_of(found)
 
     return paragraph_entries

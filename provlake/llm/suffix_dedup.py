@@ -564,9 +564,7 @@ def text_batch(payload: bytes, found: list[tuple]) -> pa.RecordBatch:
     rows = pa.ipc.open_stream(more.tobytes()).read_next_batch()
     null = rows.column(rows.schema.names.index("_null"))
     changed = pa.array([len(f[2]) > 0 for f in found])
-    out = [c for c, name in zip(rows.columns, rows.schema.names, strict=True) if name != "_null"]
-    names = [name for name in rows.schema.names if name != "_null"]
-    return pa.RecordBatch.from_arrays([*out, pa.array(texts, mask=null.to_numpy(zero_copy_only=False)), changed], names=[*names, "text", "_changed"])
+    return pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string(), mask=null.to_numpy(zero_copy_only=False)), changed], names=["_more", "text", "_changed"])
 
 
 def _run(rows: DataFrame, make, schema) -> DataFrame:
@@ -601,9 +599,14 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
-    rows = docs.select(id_.alias("_id"), F.xxhash64(id_, text).alias("_row"), text.alias("_text"), *others, F.col("text").isNull().alias("_null"))
-    schema = StructType([docs.schema[c] for c in others]).add("text", "string").add("_changed", "boolean")
+    # the other columns are held in one, so that their names cannot clash with those made here
+    rows = docs.select(id_.alias("_id"), F.xxhash64(id_, text).alias("_row"), text.alias("_text"), F.struct(*others).alias("_more"), F.col("text").isNull().alias("_null"))
+    schema = StructType().add("_more", StructType([docs.schema[c] for c in others])).add("text", "string").add("_changed", "boolean")
     out = _run(rows, text_batch, schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    columns = []
+    for c in docs.columns:
+        own = F.col("text") if c == "text" else F.col("_more").getField(c)
+        if c == "n_chars":
+            own = F.when(F.col("_changed"), F.length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        columns.append(own.alias(c))
+    return out.select(*columns)
