@@ -46,8 +46,10 @@ def joined_url(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else urljoin(b or "", r) for b, r in zip(base, ref, strict=True)], dtype=object)
 
 
-#: White space as trimming counts it, and a line's end.
-BLANK = r"[\s\x1c-\x1f]"
+#: White space as trimming counts it, one of it, what a single blank stands for, and a line's end.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = rf"{BLANK}{{2,}}|[{BLANK}&&[^ ]]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: A citation; its keys are group 1.
 CITE = r"\\cite[a-zA-Z*]*\s*(?:\[[^\]]*\]\s*){0,2}\{([^}]+)\}"
@@ -69,12 +71,12 @@ def first_present(*columns: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeezed(c: Column) -> Column:
     """Stripped, and single blanks for any white space."""
-    return F.trim(F.regexp_replace(c, rf"(?U){BLANK}+", " "))
+    return F.trim(F.regexp_replace(c, BLANKS, " "))
 
 
 def lines_of(c: Column) -> Column:
@@ -86,11 +88,9 @@ def normalize_title(c: Column, nfkc: bool = True) -> Column:
     t = unicode_form("NFKC")(c) if nfkc else c
     t = strip(F.lower(t))
     t = F.regexp_replace(t, r"\\+([&%_$#{}])", "$1")
-    t = F.regexp_replace(t, "[{}]", "")
-    t = F.regexp_replace(t, "[\u2010\u2011\u2013\u2014]", "-")
-    t = F.regexp_replace(t, rf"(?U){BLANK}+", " ")
-    t = F.regexp_replace(t, "^[\"'\u201c\u201d\u2018\u2019]+|[\"'\u201c\u201d\u2018\u2019]+$", "")
-    return F.regexp_replace(t, "[.\u3002]+$", "")
+    t = F.translate(t, "\u2010\u2011\u2013\u2014{}", "----")
+    t = F.regexp_replace(t, BLANKS, " ")
+    return F.rtrim(F.btrim(t, F.lit("\"'\u201c\u201d\u2018\u2019")), F.lit(".\u3002"))
 
 
 def normalize_author(c: Column, nfkd: bool = True) -> Column:
@@ -134,7 +134,7 @@ def citation_keys(c: Column) -> Column:
 
 
 def clip(c: Column, most: int) -> Column:
-    return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, 1, most - 3), rf"(?U){BLANK}+\z", ""), F.lit("..."))).otherwise(c)
+    return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, 1, most - 3), rf"{BLANK}+\z", ""), F.lit("..."))).otherwise(c)
 
 
 def sha256(c: Column) -> Column:
@@ -189,7 +189,7 @@ def shell_quoted(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, rf"(?<=[.!?]){BLANK}+"), strip), lambda x: x != "")
 
 
 def host_matches(url: Column, domain: Column) -> Column:
