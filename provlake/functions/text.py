@@ -46,10 +46,10 @@ def joined_url(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else urljoin(b or "", r) for b, r in zip(base, ref, strict=True)], dtype=object)
 
 
-#: White space as trimming counts it, one of it, what a single blank stands for, and a line's end.
+#: White space as trimming counts it, one of it, one that is no plain blank, and a line's end.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 BLANK = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-BLANKS = rf"{BLANK}{{2,}}|[{BLANK}&&[^ ]]"
+ODD_BLANK = BLANK.replace(" ", "")
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 #: A citation; its keys are group 1.
 CITE = r"\\cite[a-zA-Z*]*\s*(?:\[[^\]]*\]\s*){0,2}\{([^}]+)\}"
@@ -74,9 +74,14 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
+def single_blanks(c: Column) -> Column:
+    """A blank for any white space."""
+    return F.regexp_replace(F.regexp_replace(c, ODD_BLANK, " "), " {2,}", " ")
+
+
 def squeezed(c: Column) -> Column:
     """Stripped, and single blanks for any white space."""
-    return F.trim(F.regexp_replace(c, BLANKS, " "))
+    return F.trim(single_blanks(c))
 
 
 def lines_of(c: Column) -> Column:
@@ -89,7 +94,7 @@ def normalize_title(c: Column, nfkc: bool = True) -> Column:
     t = strip(F.lower(t))
     t = F.regexp_replace(t, r"\\+([&%_$#{}])", "$1")
     t = F.translate(t, "\u2010\u2011\u2013\u2014{}", "----")
-    t = F.regexp_replace(t, BLANKS, " ")
+    t = single_blanks(t)
     return F.rtrim(F.btrim(t, F.lit("\"'\u201c\u201d\u2018\u2019")), F.lit(".\u3002"))
 
 

@@ -52,12 +52,16 @@ def best(scored: DataFrame) -> DataFrame:
     """Adds top_score, rank (1 for the best candidate, the first of equals; 2 for others) and near_tie.
 
     One aggregate keeps a query's best, summed up before the shuffle, and joins back to the candidates; so a query with
-    very many candidates is no single task, as it would be in a window.
+    very many candidates is no single task, as it would be in a window. Candidates are told apart by 128 bits of hashes of
+    all their fields, so that no title travels along.
     """
-    same = F.struct(*(c for c in IDENTITY if c in scored.columns))
+    own = [c for c in IDENTITY if c in scored.columns]
+    nulls = F.concat(*(F.when(F.col(c).isNull(), "1").otherwise("0") for c in own))  # hashes pass nulls over
+    scored = scored.withColumn("_same", F.struct(F.xxhash64(nulls, *own).alias("a"), F.xxhash64(F.lit(1), nulls, *own).alias("b")))
+    same = F.col("_same")
     top = scored.groupBy("query_id").agg(F.max_by(F.struct(F.col("ord").alias("ord"), same.alias("same")), F.struct("score", -F.col("ord"))).alias("_t"), F.max("score").alias("top_score"))
     out = scored.join(top, "query_id").withColumn("rank", F.when((F.col("score") == F.col("top_score")) & (F.col("ord") == F.col("_t.ord")), 1).otherwise(2))
-    return out.withColumn("near_tie", (F.col("top_score") - F.col("score") <= K.NEAR_TIE) & ~same.eqNullSafe(F.col("_t.same"))).drop("_t")
+    return out.withColumn("near_tie", (F.col("top_score") - F.col("score") <= K.NEAR_TIE) & ~same.eqNullSafe(F.col("_t.same"))).drop("_t", "_same")
 
 
 def close(ranked: DataFrame) -> DataFrame:
@@ -87,7 +91,12 @@ def decide(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         if c not in ranked.columns:
             ranked = ranked.withColumn(c, F.lit(None).cast({"c_priority": "int", "c_pending": "boolean", "trace": "array<string>"}.get(c, "string")))
     near = (F.col("rank") == 1) | F.col("near_tie")
-    top = F.struct("ord", "title_equal", "title_missing", "c_official", "c_bibtex_url", "c_arxiv_id", "c_pending", "q_title", "c_title", "c_url", "c_doi", "c_source", "c_priority", "trace")
+    # titles go along only where they are evidence
+    wrong = present(F.col("q_title")) & ~F.col("title_equal") & ~F.col("title_missing")
+    titles = F.when(wrong, F.array("c_title", "q_title"))
+    place = F.coalesce(or_none(F.col("c_url")), F.when(F.col("rank") == 1, or_none(F.col("c_title"))))
+    own = ["ord", "title_equal", "title_missing", "c_official", "c_bibtex_url", "c_arxiv_id", "c_pending", "c_url", "c_doi", "c_source", "c_priority", "trace"]
+    top = F.struct(*own, present(F.col("q_title")).alias("asked"), titles.alias("titles"), place.alias("place"))
     agg = ranked.groupBy("query_id").agg(
         F.max("score").alias("score"),
         F.first(F.when(F.col("rank") == 1, top), ignorenulls=True).alias("top"),
@@ -95,7 +104,7 @@ def decide(queries: DataFrame, ranked: DataFrame) -> DataFrame:
         F.count_distinct(F.when(near & F.col("c_official") & present(F.col("c_url")), F.col("c_url"))).alias("n_official"),
     )
     d = queries.select("query_id").join(agg, "query_id", "left")
-    top, asked = F.col("top"), present(F.col("top.q_title"))
+    top, asked = F.col("top"), F.col("top.asked")
     issue = (
         F.when(F.col("score").isNull(), "NO_CANDIDATES")
         .when(F.col("n_dois") > 1, "DOI_CONFLICT")
@@ -115,11 +124,10 @@ def decide(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     )
     kind = F.when(present(top["c_arxiv_id"]) & ~present(top["c_bibtex_url"]), "preprint_record").when(top["c_official"], "conference_proceedings").otherwise("fallback_metadata")
     authority = F.struct(top["c_source"].alias("source"), F.coalesce(top["c_url"], F.lit("")).alias("record_url"), kind.alias("record_type"), top["c_priority"].alias("source_priority"), top["c_bibtex_url"].alias("bibtex_url"))
-    place = first_present(top["c_url"], top["c_title"])
     evidence = (
-        F.when(F.col("issue").isin("LOW_CONFIDENCE", "OFFICIAL_RECORD_PENDING"), F.array(place))
+        F.when(F.col("issue").isin("LOW_CONFIDENCE", "OFFICIAL_RECORD_PENDING"), F.array(top["place"]))
         .when(F.col("issue") == "AUTHORITY_TITLE_MISSING", F.array(first_present(top["c_url"], top["c_doi"], top["c_source"])))
-        .when(F.col("issue") == "AUTHORITY_TITLE_MISMATCH", F.array(top["c_title"], top["q_title"]))
+        .when(F.col("issue") == "AUTHORITY_TITLE_MISMATCH", top["titles"])
     )
     more = F.create_map(*(F.lit(x) for kv in {"AUTHORITY_TITLE_MISSING": "authority title missing", "AUTHORITY_TITLE_MISMATCH": "authority title mismatch", "OFFICIAL_RECORD_PENDING": "official record pending"}.items() for x in kv))
     trace = F.coalesce(top["trace"], F.array().cast("array<string>"))
