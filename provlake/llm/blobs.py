@@ -49,7 +49,7 @@ def joined(parts: list[list[np.ndarray]], k: int) -> list[np.ndarray]:
 
 
 #: Bytes of text for each partition, at most about: a task holds what some such bytes give.
-PART_BYTES = 8_000_000
+PART_BYTES = 24_000_000
 
 
 def partitions(docs: DataFrame, text: str = "text") -> int:

@@ -121,17 +121,21 @@ def give_back() -> None:
         pass
 
 
+def drop_kept(keeps: str = "") -> None:
+    """What the worker keeps goes, but for one kind. The table is the module's own, which a pickled closure wouldn't see."""
+    for kind in [k for k in KEPT if k != keeps]:
+        KEPT.pop(kind)()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow: what a worker keeps, but for the kind ``keeps``, goes before it, and what it has freed after it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind in [k for k in KEPT if k != keeps]:
-            KEPT.pop(kind)()
+        drop_kept(keeps)
         try:
             yield from run(batches)
         finally:
-            for kind in [k for k in KEPT if k != keeps]:
-                KEPT.pop(kind)()
+            drop_kept(keeps)
             give_back()
 
     return task

@@ -45,6 +45,8 @@ WINDOW = 50
 GRAM = 20
 REACH = WINDOW - GRAM
 BATCH_BYTES = 4_000_000
+#: Bytes that a task gathers before it puts them out.
+SENT_BYTES = 4_000_000
 PIECE = 1_000_000
 STEP = 3
 LANE = 2000
@@ -306,13 +308,25 @@ def context_rows(n: int):
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held: Held | None = None
+        # what is cut goes out in large rows, however small the packs of texts are
+        cut: list[list[np.ndarray]] = []
+        kept = 0
+
+        def sent() -> pa.RecordBatch:
+            doc, row, at, l, size, group, raw = blobs.joined(cut, 7)
+            starts = np.cumsum(size) - size
+            found = []
+            for t, s in by_target(group >> np.int64(36), n):
+                found.append((t, PARTS, blobs.pack(doc[s], row[s], at[s].astype(np.uint32), l[s].astype(np.uint8), size[s].astype(np.uint8), group[s], raw[ragged(starts[s], size[s])])))
+            cut.clear()
+            return rows_of(found)
+
         for b in batches:
             for _, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == ASKED:
                     parts.append(blobs.unpack(payload))
                 elif kind == TEXTS:
                     held = held or Held(parts, 5)
-                    cut: list[list[np.ndarray]] = []
                     for doc, row, raw in texts_of(payload):
                         at, reach, group = held.of(doc, row)
                         if not len(at):
@@ -321,14 +335,12 @@ def context_rows(n: int):
                         l, r = sides(reach)
                         size = l + r
                         cut.append([np.full(len(at), doc), np.full(len(at), row), at, l, size, group, raw[ragged(at - l, size)]])
-                    if not cut:
-                        continue
-                    doc, row, at, l, size, group, raw = blobs.joined(cut, 7)
-                    starts = np.cumsum(size) - size
-                    found = []
-                    for t, s in by_target(group >> np.int64(36), n):
-                        found.append((t, PARTS, blobs.pack(doc[s], row[s], at[s].astype(np.uint32), l[s].astype(np.uint8), size[s].astype(np.uint8), group[s], raw[ragged(starts[s], size[s])])))
-                    yield rows_of(found)
+                        kept += int(size.sum()) + 32 * len(at)
+                    if kept > SENT_BYTES:
+                        yield sent()
+                        kept = 0
+        if cut:
+            yield sent()
 
     return contexts
 
