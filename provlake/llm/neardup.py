@@ -13,7 +13,9 @@ hash of its words.
    about five standard deviations, below the threshold) are one family. A family's items meet in blocks of
    ``BLOCK``, each block with each, and a block pair measures exactly whatever is in different components. It puts
    out no more links than join its components, so no link is lost to the star shape of step 3, and no group puts
-   out all its pairs
+   out all its pairs. Items of a band with more than ``LARGE`` of them meet only where they share another band as well,
+   which two texts at the threshold do but for one pair in ten million: so a band of very many items that are not alike
+   isn't run through block by block
 
 Edge cases: null and empty texts and those of blanks only have no words, and are one class; texts of one to four
 words have one shingle; repeated rows are in their class each; a null doc_id is kept, and the least of a class only
@@ -39,6 +41,7 @@ from provlake.llm.suffix_dedup import by_target, gathered, rows_of
 SIMILARITY = 0.8
 ROWS = 4
 BLOCK = 512
+LARGE = 32 * BLOCK
 COLUMNS = 4096
 SLACK = 0.18
 BAND, MEMBER = 0, 1
@@ -283,7 +286,33 @@ def blocks(rows: DataFrame, payload: str) -> DataFrame:
     return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -> DataFrame | None:
+def finer(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(key, id, root): items of large bands again, once for each other band that they have, under a key of both."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, ids, root = (b.column(i).to_numpy() for i in range(3))
+            own = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+            n = np.array([len(x) for x in own], np.int64)
+            other = np.concatenate(own) if own else np.zeros(0, np.int64)
+            of = np.repeat(np.arange(len(key)), n)
+            keep = other != key[of]
+            of, other = of[keep], other[keep]
+            # the same key from either band
+            low, high = np.minimum(key[of], other), np.maximum(key[of], other)
+            both = mix(mix(low.view(np.uint64)) ^ (high.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(ids[of]), pa.array(root[of])], names=["key", "id", "root"])
+
+    bands = sketches.groupBy("id").agg(F.first("bands").alias("bands"))
+    return rows.select("key", "id", "root").join(bands, "id").select("key", "id", "root", "bands").mapInArrow(lean(split), "key long, id long, root long").distinct()
+
+
+def mixed(rows: DataFrame, least: int) -> DataFrame:
+    """key, n of those whose items, ``least`` or more, are of several components."""
+    return rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("n")).where(f"_a <> _b and n >= {least}").select("key", "n")
+
+
+def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY, large: int = LARGE) -> DataFrame | None:
     """(id, root) of the items that have a near duplicate; None if there are none."""
     spark = docs.sparkSession
     n = blobs.partitions(docs)
@@ -312,8 +341,13 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -
         return rows.withColumn("root", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
     root = rooted(members.select("key", "id").distinct())
-    mixed = root.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a <> _b and _n > 2").select("key")
-    near = stored(blocks(root.join(mixed, "key").join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
+    keys = stored(mixed(root, 3), "mixed")
+    meeting = root.join(keys.where(F.col("n") <= large).select("key"), "key").select("key", "id", "root")
+    many = keys.where(F.col("n") > large).select("key")
+    if not many.isEmpty():
+        parts = stored(finer(root.join(many, "key"), sketches), "finer")
+        meeting = meeting.unionByName(parts.join(mixed(parts, 2).select("key"), "key").select("key", "id", "root"))
+    near = stored(blocks(meeting.join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
     blobs.free_shuffles(spark)
     if near.isEmpty():
         forget(members, first, texts, good, near)
@@ -333,7 +367,7 @@ def plain(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = SIMILARITY, large: int = LARGE) -> DataFrame:
     """doc_id, row, root, class_id (the class's least doc_id), class_size, for every row of docs.
 
     ``row`` is xxhash64(doc_id, text); ``root`` names the class.
@@ -351,7 +385,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                 at += m.num_rows
 
     sketches = stored(rows.mapInArrow(lean(sketch), "doc_id long, row long, id long, sig binary, bands binary"), "sketches")
-    labels = links(rows.select("row", "text"), sketches, threshold)
+    labels = links(rows.select("row", "text"), sketches, threshold, large)
     own = sketches.select("doc_id", "row", "id")
     own = own.join(labels, "id", "left").select("doc_id", "row", F.coalesce("root", "id").alias("root")) if labels is not None else own.withColumnRenamed("id", "root")
     own = stored(own, "roots")

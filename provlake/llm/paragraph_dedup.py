@@ -37,7 +37,7 @@ from provlake.llm import blobs, shingles
 from provlake.llm.common import lean, mix, ragged, small_batches, stored
 from provlake.llm.components import components
 from provlake.llm.neardup import plain
-from provlake.llm.suffix_dedup import NULL_ID, TEXTS, Held, by_target, gathered, home, rows_of, sliding, text_rows, texts_of
+from provlake.llm.suffix_dedup import NULL_ID, SENT_BYTES, TEXTS, Held, by_target, gathered, home, rows_of, sliding, text_rows, texts_of
 
 SIMILARITY = 0.8
 SIDE = 5
@@ -187,13 +187,24 @@ def set_rows(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held: Held | None = None
+        # what is cut goes out in large rows, however small the packs of texts are
+        cut: list[list[np.ndarray]] = []
+        kept = 0
+
+        def sent() -> pa.RecordBatch:
+            doc, row, number, content, group, size, shingle = blobs.joined(cut, 7)
+            starts = np.cumsum(size) - size
+            cut.clear()
+            return rows_of(
+                [(t, SETS, blobs.pack(doc[s], row[s], number[s], content[s], group[s], size[s].astype(np.uint32), shingle[ragged(starts[s], size[s])])) for t, s in by_target(group >> np.int64(36), n)]
+            )
+
         for b in batches:
             for _, kind, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if kind == ASKED:
                     parts.append(blobs.unpack(payload))
                     continue
                 held = held or Held(parts, 4)
-                cut: list[list[np.ndarray]] = []
                 for doc, row, raw in texts_of(payload):
                     number, group = held.of(doc, row)
                     if not len(number):
@@ -206,13 +217,12 @@ def set_rows(n: int):
                     size = (begin[1:] - begin[:-1])[number]
                     k = len(number)
                     cut.append([np.full(k, doc), np.full(k, row), number, content[number], group, size, shingle[ragged(begin[number], size)]])
-                if not cut:
-                    continue
-                doc, row, number, content, group, size, shingle = blobs.joined(cut, 7)
-                starts = np.cumsum(size) - size
-                yield rows_of(
-                    [(t, SETS, blobs.pack(doc[s], row[s], number[s], content[s], group[s], size[s].astype(np.uint32), shingle[ragged(starts[s], size[s])])) for t, s in by_target(group >> np.int64(36), n)]
-                )
+                    kept += 8 * int(size.sum()) + 48 * k
+                if kept > SENT_BYTES:
+                    yield sent()
+                    kept = 0
+        if cut:
+            yield sent()
 
     return sets
 
@@ -277,16 +287,16 @@ def link_rows(threshold: float):
 RESULT = "doc_id long, row long, n_bytes long, n_paragraphs long, n_gone long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def runs_of(gone: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Those of the repeated paragraphs that stand in a run of LEAST_RUN words; short paragraphs don't end a run."""
+def runs_of(gone: np.ndarray, size: np.ndarray, least_run: int = LEAST_RUN) -> np.ndarray:
+    """Those of the repeated paragraphs that stand in a run of so many words; short paragraphs don't end a run."""
     if not len(gone):
         return gone
     long = np.cumsum(size >= LEAST_WORDS)
     run = np.cumsum(np.r_[True, np.diff(long[gone]) > 1]) - 1
-    return gone[np.bincount(run, size[gone])[run] >= LEAST_RUN]
+    return gone[np.bincount(run, size[gone])[run] >= least_run]
 
 
-def cut_rows(with_kept: bool):
+def cut_rows(with_kept: bool, least_run: int = LEAST_RUN):
     def cut_paragraphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         held: Held | None = None
@@ -300,7 +310,7 @@ def cut_rows(with_kept: bool):
                 for doc, row, raw in texts_of(payload):
                     (gone,) = held.of(doc, row)
                     _, _, begin, end, _, size, _, _ = paragraphs(raw, np.array([0, len(raw)]))
-                    kept, spans, removed, gone = raw, 0, 0, runs_of(np.unique(gone), size)
+                    kept, spans, removed, gone = raw, 0, 0, runs_of(np.unique(gone), size, least_run)
                     if len(gone):
                         a, z = begin[gone], end[gone]
                         keep = np.ones(len(raw), bool)
@@ -328,10 +338,11 @@ def gone_rows(n: int):
     return gone_packs
 
 
-def dedup(docs: DataFrame, threshold: float = SIMILARITY, with_kept: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, threshold: float = SIMILARITY, with_kept: bool = False, least_run: int = LEAST_RUN) -> DataFrame:
     """doc_id, row, n_bytes, n_paragraphs, n_gone (paragraphs removed), n_removed (bytes), n_spans, kept_sha256, kept.
 
-    ``row`` is xxhash64(doc_id, text); kept is null unless with_kept.
+    ``row`` is xxhash64(doc_id, text); kept is null unless with_kept. Repeats of fewer than least_run words in a row stay; 0
+    cuts all of them.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -353,4 +364,4 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY, with_kept: bool = Fals
         late = nodes.join(first, "root").where("struct(doc, row, number) <> first").select("doc", "row", "number")
         gone = gone.unionByName(late.mapInArrow(lean(gone_rows(n)), blobs.ROW))
     both = gone.selectExpr("target", "kind", "payload", "0 first").unionByName(texts.selectExpr("target", "kind", "payload", "1 first"))
-    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(lean(cut_rows(with_kept)), RESULT)
+    return blobs.exchange(both, n).sortWithinPartitions("first").select("target", "kind", "payload").mapInArrow(lean(cut_rows(with_kept, least_run)), RESULT)

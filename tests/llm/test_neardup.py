@@ -193,3 +193,19 @@ def test_passages_in_short_lines_and_short_pieces_go(spark):
     assert [len(got[i].split()) for i in (1, 3, 5)] == [0, 0, 0]
     # but for the new lines around it, the passage goes
     assert got[6].startswith(texts[6].split("\n")[0]) and got[6].endswith(texts[6].split("\n")[-1]) and len(got[6].split()) == 80
+
+
+def test_bands_of_very_many_items(spark, monkeypatch):
+    """Bands of more than a few items meet through a second band only; the classes stay the same."""
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    got = [(r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(df, large=5).collect()]
+    assert sorted(got, key=str) == brute(docs)
+
+
+def test_all_repeated_paragraphs_go(spark):
+    line = "one two three four five six seven"
+    df = spark.createDataFrame([(1, line + "\nsome words of its own here"), (2, "other words of another text\n" + line)], "doc_id long, text string")
+    few = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.dedup(df, least_run=0).collect()}
+    assert few[1] == 0 and few[2] == len(line) and {r["n_removed"] for r in paragraph_dedup.dedup(df).collect()} == {0}
