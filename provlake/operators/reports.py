@@ -172,3 +172,19 @@ def lockfile(lock: DataFrame, project: str | None = None, generated_at: str | No
     """One project's lockfile as JSON, entries by key."""
     entries = [json.loads(r["e"]) for r in lock.orderBy("citation_key").select(F.to_json(F.struct(*lock.drop("ord", "project").columns)).alias("e")).toLocalIterator()]
     return json.dumps({"schema_version": "lock.v1", "project": project, "generated_at": generated_at, "entries": entries, "audit_policy": {}}, ensure_ascii=False, indent=2, sort_keys=True)
+
+
+def shown_path(path: str, base: str) -> str:
+    """A path as it stands in a folder, if it lies there; else as it is."""
+    from posixpath import relpath
+
+    rel = relpath(path, base)
+    return path if rel.startswith("..") else rel
+
+
+def beside_claims(claims: str, name: str) -> str:
+    """Where what belongs to a claims table goes by default: source_map.tsv, review.md."""
+    from posixpath import basename, dirname, join, splitext
+
+    stem = splitext(basename(claims))[0]
+    return join(dirname(claims), f"{stem.removesuffix('_claims') if stem.endswith('_claims') else stem}_{name}")

@@ -355,3 +355,10 @@ def masked(value: str | None) -> str:
     return "" if not value else "*" * len(value) if len(value) < 8 else f"{value[:2]}...{value[-2:]}"
 
 
+def auth_status(names: list[str], config: dict[str, str]) -> list[dict[str, str | None]]:
+    """What is known of keys, without their values: name, origin, masked, and a warning for one that is missing."""
+    out = []
+    for name in names:
+        value, origin = auth_value(name, config)
+        out.append({"name": name, "origin": origin, "masked": masked(value), "issue": None if value else "AUTH_VALUE_MISSING"})
+    return out

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from provlake.functions import text as T
-from provlake.operators import locks
+from provlake.operators import locks, reports
 from provlake.sources import loaders, parsers, records
 
 BIB = """@string{nips = {Neural Info}}
@@ -116,6 +116,9 @@ def test_loaders(spark, tmp_path):
     q = loaders.one_query(spark, "T", authors=["A, B", "C"], citation_key="k").first()
     assert q["query_id"] == "k" and q["authors"] == ["A", "B", "C"]
     assert loaders.masked("secretvalue") == "se...ue" and loaders.masked("") == ""
+    status = loaders.auth_status(["x", "y"], {"x": "secretvalue"})
+    assert status[0]["masked"] == "se...ue" and status[0]["origin"] == "config" and status[1]["issue"] == "AUTH_VALUE_MISSING"
+    assert reports.shown_path("/a/b/c", "/a") == "b/c" and reports.shown_path("/z", "/a") == "/z" and reports.beside_claims("/a/my_claims.tsv", "review.md") == "/a/my_review.md"
     if not loaders.pdf_readable():
         assert loaders.pdf_issue(["a.pdf"] * 7)["evidence"] == ["a.pdf"] * 5
         (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4")
