@@ -390,7 +390,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY, large: int = LARGE)
     own = own.join(labels, "id", "left").select("doc_id", "row", F.coalesce("root", "id").alias("root")) if labels is not None else own.withColumnRenamed("id", "root")
     own = stored(own, "roots")
     forget(sketches)
-    least = own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # a table of its own, so that the join below is one of two plain shuffles, of which a large class can be split
+    least = stored(own.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     return own.join(least, "root").select("doc_id", "row", "root", "class_id", "class_size")
 
 
