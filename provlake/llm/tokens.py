@@ -27,7 +27,7 @@ JOINED = r"(?:^|[^A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{17
 #: Characters whose case is not folded here.
 UNFOLDED = r"[^\x00-\x{12f}\x{131}-\x{17f}]"
 #: Bytes of memory that the words a worker keeps may take, about.
-MOST_BYTES = 60_000_000
+MOST_BYTES = 120_000_000
 #: What a word costs besides its characters: a string's and a dictionary's entry.
 WORD_BYTES = 170
 #: Words of one text, and texts of one call.
