@@ -15,17 +15,21 @@ def score(pairs: DataFrame, nfkc: bool = True) -> DataFrame:
     q_title, q_authors, q_year, q_doi, q_arxiv_id; c_title, c_authors, c_year, c_doi, c_arxiv_id, c_official,
     c_bibtex_url, c_priority.
     """
+    q, c = F.coalesce("q_title", F.lit("")), F.coalesce("c_title", F.lit(""))
+    equal = normalize_title(q, nfkc) == normalize_title(c, nfkc)
+    empty = normalize_title(c, nfkc) == ""
     p = pairs.withColumns(
         {
-            "_qt": normalize_title(F.coalesce("q_title", F.lit("")), nfkc),
-            "_ct": normalize_title(F.coalesce("c_title", F.lit("")), nfkc),
+            # titles that are equal as they are need no normal form, nor is one with a letter or digit ever empty in it
+            "title_equal": equal if nfkc else F.when(q == c, True).otherwise(equal),
+            "title_missing": empty if nfkc else F.when(F.regexp_like(c, F.lit("[A-Za-z0-9]")), False).otherwise(empty),
             "_qa": normalize_author(F.coalesce(F.get("q_authors", F.lit(0)), F.lit("")), nfkc),
             "_ca": normalize_author(F.coalesce(F.get("c_authors", F.lit(0)), F.lit("")), nfkc),
         }
     )
     same = lambda a, b: present(F.col(a)) & present(F.col(b)) & (F.lower(a) == F.lower(b))
     marks: list[tuple[str, Column, int]] = [
-        ("title normalized exact match", F.col("_qt") == F.col("_ct"), K.TITLE_SCORE),
+        ("title normalized exact match", F.col("title_equal"), K.TITLE_SCORE),
         ("year match", F.coalesce(F.col("q_year") == F.col("c_year"), F.lit(False)), K.YEAR_SCORE),
         ("first author match", same_author(F.col("_qa"), F.col("_ca")), K.AUTHOR_SCORE),
         ("official record", F.coalesce("c_official", F.lit(False)), K.OFFICIAL_SCORE),
@@ -38,10 +42,8 @@ def score(pairs: DataFrame, nfkc: bool = True) -> DataFrame:
         {
             "score": F.when(exact_doi, K.DOI_SCORE).when(exact_arxiv, K.ARXIV_SCORE).otherwise(total).cast("int"),
             "trace": F.when(exact_doi, F.array(F.lit("doi exact match"))).when(exact_arxiv, F.array(F.lit("arxiv id exact match"))).otherwise(trace),
-            "title_equal": F.col("_qt") == F.col("_ct"),
-            "title_missing": ~present(F.col("_ct")),
         }
-    ).drop("_qt", "_ct", "_qa", "_ca")
+    ).drop("_qa", "_ca")
 
 
 #: What makes two candidates of a query equal, so that a copy of the best one is no near tie.
