@@ -66,6 +66,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes that df's plan is said to read, without running it; None where the plan can't tell."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of fewer rows, because texts can be long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provlake.llm import byte_bpe, compression_quality, media, neardup, packing, paragraph_dedup, pii, quality_trees, suffix_dedup, token_files
+from provlake.llm import byte_bpe, compression_quality, fill_in_middle, filter_audit, media, neardup, packing, paragraph_dedup, pii, quality_trees, simhash, suffix_dedup, token_files
 from provlake.llm.common import documents
 
 
@@ -54,6 +54,18 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.dedup(documents(spark, sf_dir)).drop("row", "kept")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -73,8 +85,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": op9_personal_data,
         "pipeline": pipeline,
         "op10_paragraph_dedup": op10_paragraph_dedup,
+        "op11_simhash_near_dedup": op11_simhash_near_dedup,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_fill_in_middle": fill_in_middle.SQL, "op13_filter_audit": filter_audit.SQL}
