@@ -208,6 +208,14 @@ MESSAGES = {
     "SOURCE_DOWNLOAD_LOCK_ENTRY_MISSING": "Requested citation key is not present in the lockfile.",
     "SOURCE_DOWNLOAD_FAILED": "Source PDF download failed.",
 }
+# What issues of these codes say where there is more to say, or more than one reason.
+MESSAGES_TOLD = {
+    "CLAIM_NOT_CHECKED": "Claim {} is marked {}.",
+    "CLAIM_EVIDENCE_MISSING": "Claim {} is checked but has no evidence text.",
+    "CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE": "Claim {} is marked checked using weak evidence kind {}.",
+    "DOI_MISSING in the record": "Lockfile record has no DOI.",
+    "DOI_MISSING in the entry": "BibTeX entry is missing DOI present in the lockfile record.",
+}
 # What is said of all claims with an issue, where issues are counted by code.
 CLAIMS_SAY = {
     "CLAIM_NOT_CHECKED": "Claims are not marked checked.",

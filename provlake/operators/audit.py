@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +21,49 @@ def message(code: Column, detail: Column | None = None) -> Column:
     return text if detail is None else F.replace(text, F.lit("{}"), F.coalesce(or_none(detail), F.lit("(missing id)")))
 
 
-def issues(rows: DataFrame, checks: list[tuple], key: Column, first_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def filled(text: str, *details: Column) -> Column:
+    """A message with its places filled in turn."""
+    parts = text.split("{}")
+    return F.concat(*(x for i, part in enumerate(parts) for x in ([F.coalesce(details[i - 1], F.lit(""))] if i else []) + [F.lit(part)]))
+
+
+class Check(NamedTuple):
+    """What makes an issue: when it holds, when it is accepted as it stands, what it shows for it, and what it says."""
+
+    code: str
+    severity: str | Column
+    holds: Column
+    accepted: Column | None = None
+    evidence: Column | None = None
+    message: Column | None = None
+
+
+def issues(rows: DataFrame, checks: list[Check], key: Column, first_only: bool = False, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """One issue row for each check that holds, in the checks' order; one pass over rows, no self-unions.
 
-    A check is (code, severity, condition) and, if it may be accepted, a condition for that: then there is a column
-    ``accepted``. ``keep`` names columns of rows to carry along.
+    Where a check may be accepted there is a column ``accepted``; ``whole`` adds message and evidence (an array, in whose
+    values issues of one key differ). ``keep`` names columns of rows to carry along.
     """
-    notes = any(len(c) > 3 for c in checks)
+    notes = any(c.accepted is not None for c in checks)
+    more = (["accepted"] if notes else []) + (["message", "evidence"] if whole else [])
     made = []
-    for i, (code, severity, holds, *accepted) in enumerate(checks):
-        severity = severity if isinstance(severity, Column) else F.lit(severity)
-        parts = [F.lit(code).alias("code"), severity.alias("severity"), F.lit(i).alias("ord")]
+    for i, c in enumerate(checks):
+        severity = c.severity if isinstance(c.severity, Column) else F.lit(c.severity)
+        parts = [F.lit(c.code).alias("code"), severity.alias("severity"), F.lit(i).alias("ord")]
         if notes:
-            parts.append((F.coalesce(accepted[0], F.lit(False)) if accepted else F.lit(False)).alias("accepted"))
-        made.append(F.when(F.coalesce(holds, F.lit(False)), F.struct(*parts)))
+            parts.append((F.lit(False) if c.accepted is None else F.coalesce(c.accepted, F.lit(False))).alias("accepted"))
+        if whole:
+            parts.append((F.lit(K.MESSAGES[c.code]) if c.message is None else c.message).alias("message"))
+            parts.append((F.array().cast("array<string>") if c.evidence is None else c.evidence).alias("evidence"))
+        made.append(F.when(F.coalesce(c.holds, F.lit(False)), F.struct(*parts)))
     if first_only:
         out = rows.select(*keep, key.alias("citation_key"), F.coalesce(*made).alias("x")).where("x is not null")
     else:
         out = rows.select(*keep, key.alias("citation_key"), F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("x"))
-    return out.select("x.code", "x.severity", "citation_key", "x.ord", *(["x.accepted"] if notes else []), *keep)
+    return out.select("x.code", "x.severity", "citation_key", "x.ord", *(f"x.{c}" for c in more), *keep)
 
 
-def bib_lock_result(bib: DataFrame, lock: DataFrame, submission: bool = False, normal: bool = True) -> DataFrame:
+def bib_lock_result(bib: DataFrame, lock: DataFrame, submission: bool = False, normal: bool = True, whole: bool = False) -> DataFrame:
     """Field by field agreement of bibliography entries with their lock entries; accepted issues are notes.
 
     bib: citation_key, b_title, b_year, b_author (names that " and " joins), b_doi, b_raw; lock: citation_key, status,
@@ -67,23 +90,26 @@ def bib_lock_result(bib: DataFrame, lock: DataFrame, submission: bool = False, n
     low = lambda c: F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
     absent = verified & known & low("doi_check").isin(K.DOI_ABSENCE_CHECKS)
     fallback = (F.col("status") == "arxiv_fallback_verified") & (arxiv | (low("authority_source") == "arxiv") | F.contains(low("record_url"), F.lit("arxiv.org")))
+    shown = lambda *cs: F.array(*(c.cast("string") for c in cs))
+    no_doi = ~present(F.col("l_doi"))
+    without_doi = F.when(no_doi, K.MESSAGES_TOLD["DOI_MISSING in the record"]).otherwise(K.MESSAGES_TOLD["DOI_MISSING in the entry"])
     checks = [
-        ("MISSING_LOCK_ENTRY", BLOCKING, F.col("_l").isNull()),
-        ("NON_PASSING_STATUS", BLOCKING, both & ~F.coalesce(verified, F.lit(False))),
-        ("UNVERIFIED_BIBTEX_SOURCE", BLOCKING, both & kind.isin(K.BLOCKED_SOURCE_KINDS)),
-        ("OFFICIAL_EXPORT_NOT_USED", BLOCKING, both & present(F.col("bibtex_url")) & ~official),
-        ("OFFICIAL_EXPORT_CONTENT_CHANGED", soft, both & official & ~no_sha & present(F.col("b_raw")) & (F.col("stored_sha") != sha256(canonical(F.col("b_raw"))))),
-        ("OFFICIAL_EXPORT_CHECKSUM_MISSING", WARNING, both & official & no_sha),
-        ("TITLE_MISMATCH", BLOCKING, there("b_title", "l_title") & (title("b_title") != title("l_title"))),
-        ("YEAR_MISMATCH", BLOCKING, there("b_year", "l_year") & (F.col("b_year").cast("string") != F.col("l_year").cast("string"))),
-        ("AUTHOR_MISMATCH", BLOCKING, there("b_author", "l_author") & ~same_author(name("l_author"), name(first))),
-        ("FALLBACK_REASON_MISSING", soft, both & kind.isin(K.FALLBACK_SOURCE_KINDS) & ~present(F.col("fallback_reason"))),
-        ("ARXIV_ACCESSED_DATE_MISSING", soft, both & arxiv & ~present(F.col("l_accessed"))),
-        ("ARXIV_FALLBACK", WARNING, both & arxiv, fallback),
-        ("DOI_MISSING", WARNING, both & (~present(F.col("l_doi")) | ~present(F.col("b_doi"))), ~present(F.col("l_doi")) & absent),
-        ("LOCK_ENTRY_NOT_IN_BIB", soft, F.col("_b").isNull()),
+        Check("MISSING_LOCK_ENTRY", BLOCKING, F.col("_l").isNull()),
+        Check("NON_PASSING_STATUS", BLOCKING, both & ~F.coalesce(verified, F.lit(False)), message=filled(K.MESSAGES["NON_PASSING_STATUS"], F.col("status"))),
+        Check("UNVERIFIED_BIBTEX_SOURCE", BLOCKING, both & kind.isin(K.BLOCKED_SOURCE_KINDS), message=filled(K.MESSAGES["UNVERIFIED_BIBTEX_SOURCE"], kind)),
+        Check("OFFICIAL_EXPORT_NOT_USED", BLOCKING, both & present(F.col("bibtex_url")) & ~official, evidence=shown(F.col("bibtex_url"))),
+        Check("OFFICIAL_EXPORT_CONTENT_CHANGED", soft, both & official & ~no_sha & present(F.col("b_raw")) & (F.col("stored_sha") != sha256(canonical(F.col("b_raw"))))),
+        Check("OFFICIAL_EXPORT_CHECKSUM_MISSING", WARNING, both & official & no_sha),
+        Check("TITLE_MISMATCH", BLOCKING, there("b_title", "l_title") & (title("b_title") != title("l_title")), evidence=shown(F.col("b_title"), F.col("l_title"))),
+        Check("YEAR_MISMATCH", BLOCKING, there("b_year", "l_year") & (F.col("b_year").cast("string") != F.col("l_year").cast("string")), evidence=shown(F.col("b_year"), F.col("l_year"))),
+        Check("AUTHOR_MISMATCH", BLOCKING, there("b_author", "l_author") & ~same_author(name("l_author"), name(first)), evidence=shown(first, F.col("l_author"))),
+        Check("FALLBACK_REASON_MISSING", soft, both & kind.isin(K.FALLBACK_SOURCE_KINDS) & ~present(F.col("fallback_reason"))),
+        Check("ARXIV_ACCESSED_DATE_MISSING", soft, both & arxiv & ~present(F.col("l_accessed"))),
+        Check("ARXIV_FALLBACK", WARNING, both & arxiv, fallback),
+        Check("DOI_MISSING", WARNING, both & (no_doi | ~present(F.col("b_doi"))), no_doi & absent, F.when(no_doi, F.array().cast("array<string>")).otherwise(shown(F.col("l_doi"))), without_doi),
+        Check("LOCK_ENTRY_NOT_IN_BIB", soft, F.col("_b").isNull()),
     ]
-    return issues(j, checks, F.col("citation_key"))
+    return issues(j, checks, F.col("citation_key"), whole=whole)
 
 
 def bib_lock(bib: DataFrame, lock: DataFrame, submission: bool = False, normal: bool = True) -> DataFrame:
@@ -104,7 +130,11 @@ def cited_and_listed(cited: DataFrame, bib: DataFrame, submission: bool = False)
     return missing.unionByName(idle)
 
 
-def claims(table: DataFrame, submission: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def claim_name() -> Column:
+    return F.coalesce(or_none(strip(F.col("claim_id"))), F.lit("(missing id)"))
+
+
+def claims(table: DataFrame, submission: bool = False, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """The claims table's issues, one for each citation key of a claim (or one without key), first failed check only.
 
     claim_id, citation_key (list), source_location, quote_or_evidence, evidence_kind, status. An empty status counts as
@@ -115,14 +145,16 @@ def claims(table: DataFrame, submission: bool = False, keep: tuple[str, ...] = (
     done = F.replace(status, F.lit("-"), F.lit("_")).isin(K.PASSING_CLAIM_STATUSES)
     hard = F.lit(submission) | status.isin(K.BLOCKING_CLAIM_STATUSES)
     none = lambda c: ~present(strip(F.col(c)))
+    kind = strip(F.coalesce("evidence_kind", F.lit("")))
+    told = lambda code, *more: filled(K.MESSAGES_TOLD[code], claim_name(), *more) if whole else None
     checks = [
-        ("CLAIM_NOT_CHECKED", F.when(hard, BLOCKING).otherwise(WARNING), ~done),
-        ("CLAIM_SOURCE_LOCATION_MISSING", soft, none("source_location")),
-        ("CLAIM_EVIDENCE_MISSING", soft, none("quote_or_evidence")),
-        ("CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE", BLOCKING, is_weak_kind(F.col("evidence_kind"))),
+        Check("CLAIM_NOT_CHECKED", F.when(hard, BLOCKING).otherwise(WARNING), ~done, message=told("CLAIM_NOT_CHECKED", status)),
+        Check("CLAIM_SOURCE_LOCATION_MISSING", soft, none("source_location"), message=filled(K.MESSAGES["CLAIM_SOURCE_LOCATION_MISSING"], claim_name())),
+        Check("CLAIM_EVIDENCE_MISSING", soft, none("quote_or_evidence"), message=told("CLAIM_EVIDENCE_MISSING")),
+        Check("CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE", BLOCKING, is_weak_kind(F.col("evidence_kind")), evidence=F.array(kind), message=told("CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE", kind)),
     ]
     rows = table.withColumn("_key", F.explode_outer(citation_keys(F.col("citation_key"))))
-    return issues(rows, checks, F.col("_key"), first_only=True, keep=keep)
+    return issues(rows, checks, F.col("_key"), first_only=True, keep=keep, whole=whole)
 
 
 def claims_schema(columns: list[str]) -> list[str]:
@@ -141,7 +173,7 @@ def reviewed(table: DataFrame, min_overlap: int = 2, submission: bool = False) -
             "overlap": F.size("shared").cast("long"),
             "_done": status.isin(*K.PASSING_CLAIM_STATUSES, "checked-arxiv"),
             "_quote": present(strip(F.col("quote_or_evidence"))),
-            "_strong": F.arrays_overlap("_c", words(K.STRONG_TERMS)),
+            "_strong": F.array_sort(F.array_intersect("_c", words(K.STRONG_TERMS))),
             "_hedged": F.arrays_overlap("_e", words(K.HEDGE_TERMS)),
         }
     )
@@ -149,27 +181,29 @@ def reviewed(table: DataFrame, min_overlap: int = 2, submission: bool = False) -
     return t.withColumns({"_enough": enough, "ok": F.col("_quote") & enough & (F.col("_done") | F.lit(not submission))})
 
 
-def _consistency_checks(min_overlap: int, submission: bool) -> list[tuple]:
+def _consistency_checks(min_overlap: int, submission: bool) -> list[Check]:
     soft = BLOCKING if submission else WARNING
     quote, enough, done = F.col("_quote"), F.col("_enough"), F.col("_done")
     final = F.lit(submission) & quote & enough
+    kind = strip(F.coalesce("evidence_kind", F.lit("")))
+    told = lambda code: filled(K.MESSAGES[code], claim_name())
     return [
-        ("CLAIM_EVIDENCE_MISSING", soft, ~quote),
-        ("CLAIM_EVIDENCE_LOW_OVERLAP", soft, quote & ~enough),
-        ("CLAIM_MAY_BE_TOO_STRONG", soft, F.col("_strong") & quote & ((F.col("overlap") < min_overlap + 1) | F.col("_hedged"))),
-        ("CLAIM_STATUS_NOT_FINAL", BLOCKING, final & ~done),
-        ("CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE", BLOCKING, final & done & is_weak_kind(F.col("evidence_kind"))),
+        Check("CLAIM_EVIDENCE_MISSING", soft, ~quote, message=told("CLAIM_EVIDENCE_MISSING")),
+        Check("CLAIM_EVIDENCE_LOW_OVERLAP", soft, quote & ~enough, evidence=F.col("shared"), message=told("CLAIM_EVIDENCE_LOW_OVERLAP")),
+        Check("CLAIM_MAY_BE_TOO_STRONG", soft, (F.size("_strong") > 0) & quote & ((F.col("overlap") < min_overlap + 1) | F.col("_hedged")), evidence=F.col("_strong"), message=told("CLAIM_MAY_BE_TOO_STRONG")),
+        Check("CLAIM_STATUS_NOT_FINAL", BLOCKING, final & ~done, message=told("CLAIM_STATUS_NOT_FINAL")),
+        Check("CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE", BLOCKING, final & done & is_weak_kind(F.col("evidence_kind")), evidence=F.array(kind), message=filled(K.MESSAGES_TOLD["CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE"], claim_name(), kind)),
     ]
 
 
-def consistency_issues(table: DataFrame, min_overlap: int = 2, submission: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def consistency_issues(table: DataFrame, min_overlap: int = 2, submission: bool = False, keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
     """All issues of claims against their quotes, in order; a claim may have several. citation_key is the whole list."""
-    return issues(reviewed(table, min_overlap, submission), _consistency_checks(min_overlap, submission), or_none(strip(F.col("citation_key"))), keep=keep)
+    return issues(reviewed(table, min_overlap, submission), _consistency_checks(min_overlap, submission), or_none(strip(F.col("citation_key"))), keep=keep, whole=whole)
 
 
 def consistency_summary(table: DataFrame, min_overlap: int = 2, submission: bool = False) -> DataFrame:
     """result_count, ok_count, blocking_issue_count, warning_count of a claims table, in one pass."""
-    of = lambda severity: F.coalesce(F.sum(sum((F.when(c, 1).otherwise(0) for _, s, c in _consistency_checks(min_overlap, submission) if s == severity), F.lit(0))), F.lit(0)).cast("long")
+    of = lambda severity: F.coalesce(F.sum(sum((F.when(c, 1).otherwise(0) for _, s, c, *_ in _consistency_checks(min_overlap, submission) if s == severity), F.lit(0))), F.lit(0)).cast("long")
     t = reviewed(table, min_overlap, submission)
     return t.agg(F.count(F.lit(1)).alias("result_count"), F.count_if("ok").alias("ok_count"), of(BLOCKING).alias("blocking_issue_count"), of(WARNING).alias("warning_count"))
 

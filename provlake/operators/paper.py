@@ -27,14 +27,18 @@ def own_list(keys: str = "citation_key") -> Column:
     return F.array_join(F.transform(citation_keys(F.col(keys)), lambda k: own(k)), ",")
 
 
-def told(rows: DataFrame, stage: int, place: Column, detail: Column | None = None) -> DataFrame:
-    """Issue rows in their common form; what has project apart keeps it, else it is taken from the key."""
+def told(rows: DataFrame, stage: int, place: Column) -> DataFrame:
+    """Issue rows in their common form, with message and evidence as they are; what has no message says its code's.
+
+    What has project apart keeps it, else it is taken from the key.
+    """
     if "project" not in rows.columns:
         rows = rows.withColumn("project", F.split_part("citation_key", F.lit(BETWEEN), F.lit(1)))
     key = F.when(F.contains("citation_key", F.lit(BETWEEN)), F.array_join(F.transform(F.split("citation_key", ","), lambda k: F.element_at(F.split(k, BETWEEN), -1)), ",")).otherwise(F.col("citation_key"))
+    said = F.col("message") if "message" in rows.columns else audit.message(F.col("code"))
     evidence = F.col("evidence") if "evidence" in rows.columns else F.array().cast("array<string>")
     ord_ = F.struct(F.lit(stage).alias("stage"), place.cast("string").alias("place"), (F.col("ord").cast("long") if "ord" in rows.columns else F.lit(0).cast("long")).alias("check"))
-    return rows.select("project", ord_.alias("ord"), "code", "severity", audit.message(F.col("code"), detail).alias("message"), key.alias("citation_key"), evidence.alias("evidence"))
+    return rows.select("project", ord_.alias("ord"), "code", "severity", said.alias("message"), key.alias("citation_key"), evidence.alias("evidence"))
 
 
 def bib_rows(bibs: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def paper_audit(bibs: DataFrame, lock: DataFrame, tex: DataFrame, roots: DataFra
     of issues alike the first is kept.
     """
     bib = bib_rows(bibs)
-    found = audit.bib_lock_result(bib.drop("project"), lock_rows(lock), submission)
+    found = audit.bib_lock_result(bib.drop("project"), lock_rows(lock), submission, whole=True)
     parts = [told(found.where("not accepted"), 0, F.col("citation_key"))]
     notes = told(found.where("accepted"), 0, F.col("citation_key"))
 
@@ -83,11 +87,11 @@ def paper_audit(bibs: DataFrame, lock: DataFrame, tex: DataFrame, roots: DataFra
         missing = claim_sources.source_issues(claims.withColumn("citation_key", own_list()), sm, best)
         missing = missing.withColumn("project", F.split_part(F.split_part("citation_key", F.lit(","), F.lit(1)), F.lit(BETWEEN), F.lit(1)))
         parts.append(told(missing.withColumn("evidence", F.when(F.col("claim_id").isNotNull(), F.array("claim_id")).otherwise(F.array().cast("array<string>"))), 4, F.col("citation_key")))
-        parts.append(told(audit.consistency_issues(keyed, submission=submission, keep=("project", "claim_id")), 5, F.col("claim_id"), F.col("claim_id")))
+        parts.append(told(audit.consistency_issues(keyed, submission=submission, keep=("project", "claim_id"), whole=True), 5, F.col("claim_id")))
         checked = titles.check(sm, lock.select(own("citation_key").alias("citation_key"), F.col("record.title").alias("title")), texts, None if title_reviews is None else title_reviews.withColumn("citation_key", own("citation_key")))
         parts.append(told(titles.title_issues(checked), 6, F.col("citation_key")))
         claims = new
-    parts.append(told(audit.claims(keyed, submission, keep=("project", "claim_id")), 3, F.col("claim_id"), F.col("claim_id")))
+    parts.append(told(audit.claims(keyed, submission, keep=("project", "claim_id"), whole=True), 3, F.col("claim_id")))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -59,6 +59,39 @@ def test_audit_of_projects(audited):
     assert {r["project"]: r["ok"] for r in paper.gate(out["issues"]).collect()} == {"p": False, "q": False}
 
 
+def test_issues_of_one_key_differ_by_their_evidence(spark):
+    bibs = spark.createDataFrame([("p", ENTRY.replace("doi = {10.1/x}", "doi = {}"))], "project string, text string")
+    lock = lock_of(spark, entry(status="draft", bibtex={"source_kind": "unknown", "normalized_sha256": ""}))
+    tex = spark.createDataFrame([("p", "m.tex", "\\cite{lee2024}")], "project string, path string, text string")
+    said = {"project": "p", "citation_key": KEY, "status": "checked", "source_location": "p", "evidence_kind": "source text"}
+    claims = claims_of(
+        spark, said | {"ord": 0, "claim_id": "claim-1", "claim_text": "models always win prizes", "quote_or_evidence": "models exist"},
+        said | {"ord": 1, "claim_id": "claim-2", "claim_text": "networks never lose weight", "quote_or_evidence": "weight matters"},
+        said | {"ord": 2, "claim_id": "", "claim_text": "", "quote_or_evidence": "x", "status": "too-strong"},
+        said | {"ord": 3, "claim_id": "claim-4", "claim_text": "weighty words stand here", "quote_or_evidence": "words stand here", "evidence_kind": " Abstract "},
+    )
+    none = spark.createDataFrame([], "project string, ord int, citation_key string, source_text string, source_text_raw string, source_label string, evidence_kind string")
+    out = paper.paper_audit(bibs, lock, tex, tex.select("project", "path"), claims, none, spark.createDataFrame([], "path string, text string"))
+    got = [(r["code"], r["message"], list(r["evidence"])) for r in out["issues"].collect()]
+    assert not any("{}" in m for _, m, _ in got)
+    low = "has low lexical overlap with its evidence."
+    for expected in [
+        ("NON_PASSING_STATUS", "Lockfile status is draft.", []),
+        ("UNVERIFIED_BIBTEX_SOURCE", "BibTeX source kind is unknown.", []),
+        ("OFFICIAL_EXPORT_NOT_USED", "Official BibTeX endpoint exists, but entry is not marked as official export.", ["u"]),
+        ("DOI_MISSING", "BibTeX entry is missing DOI present in the lockfile record.", ["10.1/x"]),
+        ("CLAIM_EVIDENCE_LOW_OVERLAP", f"Claim claim-1 {low}", ["models"]),
+        ("CLAIM_EVIDENCE_LOW_OVERLAP", f"Claim claim-2 {low}", ["weight"]),
+        ("CLAIM_EVIDENCE_LOW_OVERLAP", f"Claim (missing id) {low}", []),
+        ("CLAIM_MAY_BE_TOO_STRONG", "Claim claim-1 uses strong wording that needs careful source support.", ["always"]),
+        ("CLAIM_MAY_BE_TOO_STRONG", "Claim claim-2 uses strong wording that needs careful source support.", ["never"]),
+        ("CLAIM_NOT_CHECKED", "Claim (missing id) is marked too-strong.", []),
+        ("CLAIM_WEAK_EVIDENCE_NOT_CHECKABLE", "Claim claim-4 is marked checked using weak evidence kind Abstract.", ["Abstract"]),
+    ]:
+        assert expected in got
+    assert sum(c in ("CLAIM_EVIDENCE_LOW_OVERLAP", "CLAIM_MAY_BE_TOO_STRONG") for c, _, _ in got) == 5
+
+
 def test_follow_up_and_reports(audited):
     out, lock = audited
     acts = {(r["project"], r["code"]) for r in paper.follow_up(out, {"tex": "m.tex", "bib": "b", "lock": "l", "claims": "c"}).collect()}
