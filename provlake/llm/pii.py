@@ -76,30 +76,42 @@ TREES, DEPTH, RATE = 30, 3, 0.3
 PRECISION = 0.95
 DOUBT = 2.0
 LEAST_MARKED = 0.2
-#: Matches that are joined to an array at a time.
-BLOCK = 512
+#: Blocks that a fold goes through at each level, and its levels above the elements.
+WIDTH, LEVELS = 64, 2
+#: Characters of a piece of text, where places in it are looked up.
+PIECE = 256
 
 
 def fold(xs: Column, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], kind: str, finish: Callable[[Column, Column], Column] | None = None) -> Column:
-    """What step makes of each element, in order, with a state that runs along; in time proportional to the array.
+    """What step makes of each element, in order, with a state that runs along. finish gets the last state and all that was made.
 
-    Made elements gather in blocks, as an array that grows by one at a time is copied each time. finish gets the last
-    state and all that was made.
+    ``aggregate`` copies all that its accumulator holds at each element, so what is made gathers in blocks of blocks:
+    each level goes through ``WIDTH`` blocks of the level below and holds what they have made only. An element is copied
+    about WIDTH / 2 times a level, instead of once for each that follows it.
     """
     none, names = F.array().cast(f"array<{kind}>"), list(state)
-    start = F.struct(*(state[n].alias(n) for n in names), F.array().cast(f"array<array<{kind}>>").alias("_done"), none.alias("_now"))
 
-    def one(acc: Column, x: Column) -> Column:
-        new, made = step(acc, x)
-        full = F.size(acc["_now"]) >= BLOCK
-        done = F.when(full, F.concat(acc["_done"], F.array(acc["_now"]))).otherwise(acc["_done"])
-        return F.struct(*(new[n].alias(n) for n in names), done.alias("_done"), F.concat(F.when(full, none).otherwise(acc["_now"]), F.array(made)).alias("_now"))
+    def held(state: dict[str, Column], made: Column) -> Column:
+        return F.struct(*(state[n].alias(n) for n in names), made.alias("_made"))
 
-    def end(acc: Column) -> Column:
-        made = F.flatten(F.concat(acc["_done"], F.array(acc["_now"])))
-        return made if finish is None else finish(acc, made)
+    def level(k: int, xs: Column, state: dict[str, Column], end: Callable[[Column], Column]) -> Column:
+        if k == 0:
 
-    return F.aggregate(xs, start, one, end)
+            def one(acc: Column, x: Column) -> Column:
+                new, made = step(acc, x)
+                return held(new, F.concat(acc["_made"], F.array(made)))
+
+            return F.aggregate(xs, held(state, none), one, end)
+        size = WIDTH**k
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / size).cast("int")), lambda i: F.slice(xs, i * size + 1, F.lit(size)))
+
+        def below(acc: Column, block: Column) -> Column:
+            return level(k - 1, block, {n: acc[n] for n in names}, lambda a: held({n: a[n] for n in names}, F.concat(acc["_made"], a["_made"])))
+
+        return F.aggregate(blocks, held(state, none), below, end)
+
+    # an array of one element holds xs, so that it is made once and not for each block
+    return F.get(F.transform(F.array(xs), lambda bound: level(LEVELS, bound, state, lambda a: a["_made"] if finish is None else finish(a, a["_made"]))), F.lit(0))
 
 
 SPAN = "struct<s:int,e:int,m:string>"
@@ -144,22 +156,35 @@ def spotted(text: Column, kind: str, pattern: str) -> Column:
     return F.when(F.regexp_like(text, F.lit(NEEDS[kind])), places(text, pattern)).otherwise(none)
 
 
-def around(text: Column, s: Column, e: Column) -> tuple[Column, Column, Column]:
+def cut_up(text: Column) -> Column:
+    """A text in pieces of PIECE characters, so that a place in it is reached without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}+"), F.lit(0))
+
+
+def part(pieces: Column, at: Column, length: Column) -> Column:
+    """``length`` characters from place ``at`` on, of a text in pieces; in time proportional to length and PIECE."""
+    first = F.floor(at / PIECE).cast("int")
+    last = F.floor((at + length - 1) / PIECE).cast("int")
+    some = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(some, at - first * PIECE + 1, length)
+
+
+def around(pieces: Column, s: Column, e: Column) -> tuple[Column, Column, Column]:
     """24 characters before a span, the one before it, the one after it."""
-    left = F.substring(text, F.greatest(s - 23, F.lit(1)), F.least(s, F.lit(24)))
-    return left, F.right(left, F.lit(1)), F.substring(text, e + 1, F.lit(1))
+    left = part(pieces, F.greatest(s - 24, F.lit(0)), F.least(s, F.lit(24)))
+    return left, F.right(left, F.lit(1)), part(pieces, e, F.lit(1))
 
 
 def char_class(c: Column) -> Column:
     return F.when(c == "", 0).when(c.isin(" ", "\n", "\t"), 1).when(F.regexp_like(c, F.lit("[A-Za-z0-9]")), 2).otherwise(3)
 
 
-def featured(text: Column, kind: str, x: Column) -> Column:
+def featured(pieces: Column, kind: str, x: Column) -> Column:
     """struct(kind number, s, e, FEATURES...) of one proposal."""
     m = F.regexp_replace(x["m"], CODE, "") if kind == "phone" else x["m"]
     d = digits_of(m)
     n = F.length(d)
-    left, before, after = around(text, x["s"], x["e"])
+    left, before, after = around(pieces, x["s"], x["e"])
     context = F.lit(0)
     for code, pattern in CONTEXT.items():
         context = F.when(F.regexp_like(left, F.lit(pattern)), code).otherwise(context)
@@ -184,8 +209,8 @@ def numbered(i: int) -> Callable[[Column], Column]:
     return lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("k"), x["e"].alias("e"))
 
 
-def proposal(text: Column, kind: str) -> Callable[[Column], Column]:
-    return lambda x: featured(text, kind, x)
+def proposal(pieces: Column, kind: str) -> Callable[[Column], Column]:
+    return lambda x: featured(pieces, kind, x)
 
 
 def of_kind(i: int) -> Callable[[Column], Column]:
@@ -193,7 +218,8 @@ def of_kind(i: int) -> Callable[[Column], Column]:
 
 
 def with_spans(rows: DataFrame, text: Column) -> DataFrame:
-    """rows with base (array of s, kind number, e) and proposals (array of featured structs)."""
+    """rows with base (array of s, kind number, e), proposals (array of featured structs) and _pieces (the text's)."""
+    rows = rows.withColumn("_pieces", cut_up(text))
     base = []
     for i, kind in enumerate(KINDS):
         good = F.filter(spotted(text, kind, BASE[kind]), only(kind))
@@ -204,7 +230,7 @@ def with_spans(rows: DataFrame, text: Column) -> DataFrame:
         # a check digit, a number of digits, and numbers up to 255 are no marks that good ones may lack
         rule = {"card": "card", "phone": "phone", "ip": "dotted"}.get(kind)
         some = F.filter(some, only(rule)) if rule else some
-        more.append(F.transform(some, proposal(text, kind)))
+        more.append(F.transform(some, proposal(F.col("_pieces"), kind)))
     rows = rows.withColumns({"base": F.array_sort(F.concat(*base)), "_more": F.concat(*more)})
     return rows.withColumn("proposals", F.when(F.size("_more") == 0, F.array().cast(f"array<{PROPOSAL}>")).otherwise(met(F.col("base"), F.col("_more")))).drop("_more")
 
@@ -251,7 +277,7 @@ def met(base: Column, proposals: Column) -> Column:
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base, proposals."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return with_spans(rows, F.col("text")).drop("text")
+    return with_spans(rows, F.col("text")).drop("text", "_pieces")
 
 
 def counted(found: DataFrame) -> list[tuple]:
@@ -359,17 +385,21 @@ def redact(docs: DataFrame) -> DataFrame:
     model = fit(counted(spans(docs)))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in ALL_KINDS))
     t = F.col("_doc.text")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    pieces = F.col("_pieces")
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[dict[str, Column], Column]:
         inside = x["s"] < acc["at"]
-        put = F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.get(names, x["k"]))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out"))
+        put = F.concat(part(pieces, acc["at"], x["s"] - acc["at"]), F.get(names, x["k"]))
+        return {"at": F.greatest(acc["at"], x["e"])}, F.when(inside, "").otherwise(put)
+
+    def whole(acc: Column, made: Column) -> Column:
+        rest = F.slice(pieces, F.floor(acc["at"] / PIECE).cast("int") + 1, F.size(pieces) + 1)
+        return F.concat(made, F.array(F.substring(F.array_join(rest, ""), acc["at"] % PIECE + 1, F.lit(2**31 - 1))))
 
     # the row is held in one column, so that its names cannot clash with those made here
     rows = docs.select(F.struct(*docs.columns).alias("_doc"))
     found = chosen(with_spans(rows, F.coalesce(t.cast("string"), F.lit(""))), *model)
-    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    done = F.array_join(fold(F.col("spans"), {"at": F.lit(0)}, step, "string", whole), "")
     none = F.size("spans") == 0
     out = found.select("_doc", F.when(none, t).otherwise(done).alias("text"), none.alias("none"))
     columns = []
