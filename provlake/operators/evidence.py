@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions.constants import HEADINGS
 from provlake.functions.text import bigrams, clip, lines_of, squeezed, strip, terms
+from provlake.session import checkpointed
 
 
 def overlap(claims: DataFrame, blocks: DataFrame, scope: str = "scope", semantic: bool = True) -> DataFrame:
@@ -30,6 +31,53 @@ def overlap(claims: DataFrame, blocks: DataFrame, scope: str = "scope", semantic
     return out.drop("_pairs")
 
 
+#: Blocks that a claim's rarest terms are to bring in the first round, for each block wanted.
+SEEDS = 64
+
+
+def contenders(claims: DataFrame, blocks: DataFrame, top: int = 1, review: bool = False, scope: str = "scope") -> DataFrame:
+    """scope, claim_id, block_id, overlap, coverage, claim_terms of pairs among which each claim's ``top`` best are.
+
+    claims: scope, claim_id, text; blocks: scope, block_id, text, and for ``review`` title_like, abstract_like, quality. The
+    ranking's first key is the overlap, or for ``review`` the confidence and then the overlap. Two rounds: a claim's rarest
+    terms bring blocks whose ``top``-th best sets a bound, the least overlap with which a block unseen so far could still
+    come so far up. Who shares that many of a claim's terms has one of its rarest, all but so many less one; so only
+    these terms' blocks are met in the second round, and blocks with fewer terms than the bound never. Pairs of a claim's
+    frequent terms, nearly all there are, aren't made. What falls short of the bound is dropped, ties with it stay.
+    """
+    c = checkpointed(claims.select(scope, "claim_id", terms(F.col("text")).alias("_c")))
+    judged = ["title_like", "abstract_like", "quality"] if review else []
+    b = checkpointed(blocks.select(scope, "block_id", terms(F.col("text")).alias("_b"), *judged).where(F.size("_b") > 0))
+    places = b.select(scope, "block_id", F.size("_b").alias("_size"), F.explode("_b").alias("term"))
+    often = places.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("_often"))
+    # a claim's terms at most stand in one task
+    rarest = Window.partitionBy(scope, "claim_id").orderBy("_often", "term")
+    own = c.select(scope, "claim_id", F.explode("_c").alias("term")).join(often, [scope, "term"])
+    own = own.withColumns({"_rank": F.row_number().over(rarest), "_before": F.sum("_often").over(rarest.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_often"), "_known": F.count(F.lit(1)).over(Window.partitionBy(scope, "claim_id"))})
+    own = checkpointed(own)
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        j = pairs.join(c, [scope, "claim_id"]).join(b, [scope, "block_id"])
+        shared, n = F.size(F.array_intersect("_c", "_b")).cast("long"), F.size("_c").cast("long")
+        return j.select(scope, "claim_id", "block_id", shared.alias("overlap"), F.bround(shared / n, 4).alias("coverage"), n.alias("claim_terms"), *judged)
+
+    first = measured(own.where(F.col("_before") < SEEDS * top).join(places, [scope, "term"]).select(scope, "claim_id", "block_id").distinct())
+    if review:
+        first = certainty_of(confidence(first))
+        n = F.col("claim_terms")
+        # the least overlaps with which a block can be of high, and of medium confidence
+        high, medium = F.greatest(F.ceil(n * 0.49995), F.lit(3)), F.greatest(F.ceil(n * 0.24995), F.lit(2))
+        bound = F.least("overlap", F.when(F.col("certainty") < 2, high), F.when(F.col("certainty") < 1, medium))
+    else:
+        bound = F.col("overlap")
+    best = Window.partitionBy(scope, "claim_id").orderBy(*([F.desc("certainty")] if review else []), F.desc("overlap"))
+    bounds = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == top).select(scope, "claim_id", bound.cast("long").alias("_least"))
+    met = own.join(bounds, [scope, "claim_id"], "left").withColumn("_least", F.coalesce("_least", F.lit(1)))
+    met = met.where(F.col("_rank") <= F.col("_known") - F.col("_least") + 1).select(scope, "claim_id", "term", "_least")
+    pairs = met.join(places, [scope, "term"]).where(F.col("_size") >= F.col("_least")).select(scope, "claim_id", "block_id").distinct()
+    return measured(pairs).drop(*judged).join(bounds, [scope, "claim_id"], "left").where(F.col("overlap") >= F.coalesce("_least", F.lit(1))).drop("_least")
+
+
 def section_heading(text: Column) -> Column:
     """The first line, if it is a known heading or a short line in title case without full stop."""
     first = squeezed(F.get(lines_of(strip(text)), F.lit(0)))
@@ -70,10 +118,14 @@ def likeness(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("likeness", F.col("semantic") + F.col("quality"))
 
 
+def certainty_of(pairs: DataFrame) -> DataFrame:
+    """Adds confidence as a number."""
+    return pairs.withColumn("certainty", F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0))
+
+
 def certainty(pairs: DataFrame, most_quote: int = 500) -> DataFrame:
     """Adds what the review's ranking goes by: confidence as a number, and the clipped quote's length."""
-    level = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
-    return pairs.withColumns({"certainty": level, "quote_length": F.length(clip(F.col("text"), most_quote))})
+    return certainty_of(pairs).withColumn("quote_length", F.length(clip(F.col("text"), most_quote)))
 
 
 #: Ranking keys, best first; ties keep the first block.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from provlake.functions.text import citation_keys
 from provlake.operators import actions, audit, claim_sources, rollup, titles
 from provlake.operators.locks import work_items
+from provlake.session import checkpointed
 from provlake.sources import parsers
 
 #: Between a project and a key; in neither.
@@ -80,7 +81,7 @@ def paper_audit(bibs: DataFrame, lock: DataFrame, tex: DataFrame, roots: DataFra
     keyed = claims.withColumn("citation_key", own_list())
     if source_map is not None and texts is not None:
         sm = source_map.withColumn("citation_key", own("citation_key"))
-        best = parsers.checkpointed(claim_sources.best_sources(keyed, sm, texts))
+        best = checkpointed(claim_sources.best_sources(keyed, sm, texts))
         sug = best
         new = claim_sources.suggested(claims, best, "Source-map")
         keyed = new.withColumn("citation_key", own_list())
@@ -100,7 +101,7 @@ def paper_audit(bibs: DataFrame, lock: DataFrame, tex: DataFrame, roots: DataFra
     stands = whole.where(F.col("code").isin(rollup.CLAIM_REPRESENTATIVES)).select(claim.alias("_claim")).where("_claim is not null").distinct()
     kept = whole.withColumn("_claim", F.when(F.col("code") == "CLAIM_NOT_CHECKED", claim)).join(stands, "_claim", "left_anti").drop("_claim")
     # read several times by what follows
-    issues = parsers.checkpointed(rollup.first_seen(kept, ["project", "code", "severity", "citation_key", "evidence"], "ord").select(*ISSUE))
+    issues = checkpointed(rollup.first_seen(kept, ["project", "code", "severity", "citation_key", "evidence"], "ord").select(*ISSUE))
     return {"issues": issues, "notes": notes.select(*ISSUE), "claims": claims, "suggestions": sug, "work_items": work_items(lock), "state": state(issues, lock, roots, sug)}
 
 

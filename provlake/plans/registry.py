@@ -342,9 +342,18 @@ def _judged(spark: SparkSession, sf_dir: str, semantic: bool = False) -> DataFra
     return evidence.confidence(evidence.overlap(claims, blocks, semantic=semantic).join(good, "block_id"))
 
 
+def _contending(spark: SparkSession, sf_dir: str, top: int, review: bool = False) -> DataFrame:
+    """As ``_judged``, of the pairs only that can be among a claim's best."""
+    claims, blocks = _evidence(spark, sf_dir)
+    good = evidence.quality(blocks)
+    pairs = evidence.contenders(claims, good, top, review)
+    good = good.select("block_id", "words", "title_like", "abstract_like", "quality", F.substring("text", 1, 501).alias("text"))
+    return evidence.confidence(pairs.join(good, "block_id"))
+
+
 @query(QUALITY_SQL + "SELECT claim_id, doc_id, line, overlap FROM r WHERE lexical = 1")
 def best_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.ranked(_judged(spark, sf_dir)).select("claim_id", "block_id.*", "overlap")
+    return evidence.ranked(_contending(spark, sf_dir, 1)).select("claim_id", "block_id.*", "overlap")
 
 
 @query(QUALITY_SQL + "SELECT claim_id, doc_id, line, semantic FROM r WHERE likely = 1")
@@ -354,7 +363,7 @@ def best_block_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(QUALITY_SQL + "SELECT claim_id, doc_id, line, CAST(rank AS INTEGER) AS rank, confidence FROM r WHERE rank <= 5")
 def topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.ranked(evidence.certainty(_judged(spark, sf_dir)), evidence.REVIEW, top=5).select("claim_id", "block_id.*", "rank", "confidence")
+    return evidence.ranked(evidence.certainty(_contending(spark, sf_dir, 5, review=True)), evidence.REVIEW, top=5).select("claim_id", "block_id.*", "rank", "confidence")
 
 
 @query(QUALITY_SQL + "SELECT claim_id, confidence, count(*) AS n FROM f GROUP BY 1, 2")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from provlake.functions import constants as K
 from provlake.functions.text import CITE, citation_keys, lines_of, or_none, sha256, squeezed, strip
+from provlake.session import checkpointed
 
 # --- BibTeX ----------------------------------------------------------------------------------------
 
@@ -177,16 +178,6 @@ def included(files: DataFrame) -> DataFrame:
     return t.withColumn("target", F.when(F.regexp_like("target", F.lit(r"[^/]\.[^./]+$")), F.col("target")).otherwise(F.concat("target", F.lit(".tex"))))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed, its lineage cut, in the folder of spark.checkpoint.dir; where that is unset, in a local one."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="provlake-"))
-    return df.checkpoint()
-
-
 def closure(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
     """root, path, depth: what is reached from the roots, each path at its least depth. edges: source, target.
 
