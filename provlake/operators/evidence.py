@@ -43,12 +43,15 @@ def contenders(claims: DataFrame, blocks: DataFrame, top: int = 1, review: bool
     terms bring blocks whose ``top``-th best sets a bound, the least overlap with which a block unseen so far could still
     come so far up. Who shares that many of a claim's terms has one of its rarest, all but so many less one; so only
     these terms' blocks are met in the second round, and blocks with fewer terms than the bound never. Pairs of a claim's
-    frequent terms, nearly all there are, aren't made. What falls short of the bound is dropped, ties with it stay.
+    most frequent terms aren't made. For ``review`` the bound is one for each confidence that a block can have at best: blocks
+    like titles can't come above low. What falls short of the bound is dropped, ties with it stay.
     """
     c = checkpointed(claims.select(scope, "claim_id", terms(F.col("text")).alias("_c")))
     judged = ["title_like", "abstract_like", "quality"] if review else []
-    b = checkpointed(blocks.select(scope, "block_id", terms(F.col("text")).alias("_b"), *judged).where(F.size("_b") > 0))
-    places = b.select(scope, "block_id", F.size("_b").alias("_size"), F.explode("_b").alias("term"))
+    # the highest confidence that a block can have, whatever it shares
+    ceiling = F.when(F.col("title_like") | F.col("abstract_like") | (F.col("quality") < 0), 0).when(F.col("quality") >= 0.5, 2).otherwise(1) if review else F.lit(0)
+    b = checkpointed(blocks.select(scope, "block_id", terms(F.col("text")).alias("_b"), ceiling.alias("_ceiling"), *judged).where(F.size("_b") > 0))
+    places = b.select(scope, "block_id", F.size("_b").alias("_size"), "_ceiling", F.explode("_b").alias("term"))
     often = places.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("_often"))
     # a claim's terms at most stand in one task
     rarest = Window.partitionBy(scope, "claim_id").orderBy("_often", "term")
@@ -59,23 +62,24 @@ def contenders(claims: DataFrame, blocks: DataFrame, top: int = 1, review: bool
     def measured(pairs: DataFrame) -> DataFrame:
         j = pairs.join(c, [scope, "claim_id"]).join(b, [scope, "block_id"])
         shared, n = F.size(F.array_intersect("_c", "_b")).cast("long"), F.size("_c").cast("long")
-        return j.select(scope, "claim_id", "block_id", shared.alias("overlap"), F.bround(shared / n, 4).alias("coverage"), n.alias("claim_terms"), *judged)
+        return j.select(scope, "claim_id", "block_id", shared.alias("overlap"), F.bround(shared / n, 4).alias("coverage"), n.alias("claim_terms"), "_ceiling", *judged)
 
     first = measured(own.where(F.col("_before") < SEEDS * top).join(places, [scope, "term"]).select(scope, "claim_id", "block_id").distinct())
-    if review:
-        first = certainty_of(confidence(first))
-        n = F.col("claim_terms")
-        # the least overlaps with which a block can be of high, and of medium confidence
-        high, medium = F.greatest(F.ceil(n * 0.49995), F.lit(3)), F.greatest(F.ceil(n * 0.24995), F.lit(2))
-        bound = F.least("overlap", F.when(F.col("certainty") < 2, high), F.when(F.col("certainty") < 1, medium))
-    else:
-        bound = F.col("overlap")
-    best = Window.partitionBy(scope, "claim_id").orderBy(*([F.desc("certainty")] if review else []), F.desc("overlap"))
-    bounds = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == top).select(scope, "claim_id", bound.cast("long").alias("_least"))
-    met = own.join(bounds, [scope, "claim_id"], "left").withColumn("_least", F.coalesce("_least", F.lit(1)))
-    met = met.where(F.col("_rank") <= F.col("_known") - F.col("_least") + 1).select(scope, "claim_id", "term", "_least")
-    pairs = met.join(places, [scope, "term"]).where(F.col("_size") >= F.col("_least")).select(scope, "claim_id", "block_id").distinct()
-    return measured(pairs).drop(*judged).join(bounds, [scope, "claim_id"], "left").where(F.col("overlap") >= F.coalesce("_least", F.lit(1))).drop("_least")
+    first = certainty_of(confidence(first)) if review else first.withColumn("certainty", F.lit(0))
+    best = Window.partitionBy(scope, "claim_id").orderBy(F.desc("certainty"), F.desc("overlap"))
+    n = F.col("claim_terms")
+    bounds = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == top).select(
+        scope, "claim_id", F.col("overlap").alias("_most"), F.col("certainty").alias("_sure"),
+        # the least overlap with which a block comes above that confidence
+        F.when(F.col("certainty") == 0, F.greatest(F.ceil(n * 0.24995), F.lit(2))).otherwise(F.greatest(F.ceil(n * 0.49995), F.lit(3))).alias("_above"),
+    )
+    # by what confidence a block can have: beyond reach, on a par, or above; 1 where too few blocks were found for a bound
+    least = F.when(F.col("_most").isNull(), 1).when(F.col("_ceiling") == F.col("_sure"), F.col("_most")).when(F.col("_ceiling") > F.col("_sure"), F.least("_most", "_above"))
+    met = own.join(bounds, [scope, "claim_id"], "left").withColumn("_ceiling", F.explode(F.array(*map(F.lit, (0, 1, 2) if review else (0,))))).withColumn("_least", least)
+    met = met.where(F.col("_rank") <= F.col("_known") - F.col("_least") + 1).select(scope, "claim_id", "term", "_ceiling", "_least")
+    pairs = met.join(places, [scope, "term", "_ceiling"]).where(F.col("_size") >= F.col("_least")).select(scope, "claim_id", "block_id").distinct()
+    out = measured(pairs).join(bounds, [scope, "claim_id"], "left").where(F.col("overlap") >= least)
+    return out.select(scope, "claim_id", "block_id", "overlap", "coverage", "claim_terms")
 
 
 def section_heading(text: Column) -> Column:
