@@ -648,7 +648,7 @@ def gate_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.ok(_issues(spark, sf_dir), "citation_key")
 
 
-from provlake.plans import follow_up, papers, publishing  # noqa: E402, F401  (they add their queries)
+from provlake.plans import follow_up, papers, publishing, written  # noqa: E402, F401  (they add their queries)
 
 
 def queries() -> dict[str, Query]:
