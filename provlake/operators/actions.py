@@ -44,6 +44,10 @@ ACTIONS = {
     "RETRY_LIVE_SMOKE_AFTER_NETWORK_AVAILABLE": ("live_smoke_retry", False, True, True, "Network resolution failed. Do not mark the reference externally verified; rerun when network access is available."),
     "REVIEW_LIVE_SMOKE_NO_CANDIDATES": ("live_smoke_review", False, False, False, "No live candidate matched. Check the title, DOI, arXiv ID, or official URL before trying another source or adding a reviewed fixture."),
     "RETRY_LIVE_SMOKE_DISCOVERY": ("live_smoke_retry", False, True, True, "Live discovery failed. Inspect the endpoint error before treating this reference as externally verified."),
+    "WRITE_SYNCED_BIBTEX": ("bibtex_sync_write", False, True, False, "Write the planned BibTeX synchronization to an output file."),
+    "REFRESH_LOCK_CANONICAL_BIBTEX": ("lockfile_reference_refresh", False, True, True, "Refresh official-export lock entries so sync-bibtex has canonical BibTeX text."),
+    "BACKFILL_MANUAL_CANONICAL_BIBTEX": ("lockfile_reference_refresh", True, True, False, "Add reviewed fallback BibTeX files and refresh lock entries so sync-bibtex has canonical text."),
+    "DOWNLOAD_SOURCES_LIVE": ("source_download", False, True, True, "Run the same command with --live to download planned source PDFs."),
     "CHECK_OFFICIAL_RECORD": ("live_reference_check", False, False, True, ""),
 }
 # Which issues of a reference check set off which actions, in order.
@@ -186,6 +190,43 @@ def audit_actions(state: DataFrame, paths: dict[str, str]) -> DataFrame:
     return rows.select("project", "x.ord", "x.code", F.lit("").alias("citation_key"), *acted(F.col("x.code")), "x.command", "x.keys")
 
 
+def each_key(keys: Column) -> Column:
+    """A --citation-key option for each of the keys; null if there is none."""
+    return or_none(F.array_join(F.transform(keys, lambda k: F.concat(F.lit("--citation-key "), shell_quoted(k))), " "))
+
+
+def sync_actions(synced: DataFrame, lock: str | Column, output: str | None = None, add_missing: bool = False, asked: list[str] | None = None, wrote: bool = False) -> DataFrame:
+    """What a synchronization's plan sets off, for each bibliography: path, code, an action's columns, command.
+
+    synced: path, ord, citation_key, action, reason, source_kind (see ``upsert.sync_action``). A plan without blocked
+    entries that changes something may be written; entries without canonical text are refreshed from their official
+    export, or filled in from reviewed files where their source is another. Keys stand in the order of ord.
+    """
+    lacking = (F.col("action") == "blocked") & (F.col("reason") == "canonical_bibtex_text_missing")
+    official = F.coalesce(F.col("source_kind") == "official_export", F.lit(False))
+    keys = lambda held: F.transform(F.array_sort(F.collect_list(F.when(held, F.struct("ord", "citation_key")))), lambda e: e["citation_key"])
+    state = synced.groupBy("path").agg(
+        F.bool_or(F.col("action") == "blocked").alias("blocked"), F.count_if(F.col("action").isin("add", "replace")).alias("changes"), keys(lacking & official).alias("official"), keys(lacking & ~official).alias("manual")
+    )
+    at = lock if isinstance(lock, Column) else F.lit(lock)
+    own = F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")
+    rules = [
+        ("WRITE_SYNCED_BIBTEX", ~F.col("blocked") & (F.col("changes") > 0) & F.lit(not wrote), F.concat_ws(" ", command("sync-bibtex", "--bib", F.col("path"), "--lock", at, "--output", output or "references.provlake.bib", *flags(add_missing=add_missing, json=True)), each_key(own))),
+        ("REFRESH_LOCK_CANONICAL_BIBTEX", F.size("official") > 0, F.concat_ws(" ", command("reference-check", "--lock", at, "--write-lock", at, "--fetch-official-bibtex", "--live", "--json"), each_key(F.col("official")))),
+        ("BACKFILL_MANUAL_CANONICAL_BIBTEX", F.size("manual") > 0, F.concat_ws(" ", command("reference-check", "--lock", at, "--bibtex-dir", "REVIEWED_FALLBACK_BIBTEX_DIR", "--write-lock", at, "--json"), each_key(F.col("manual")))),
+    ]
+    made = F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(i).alias("ord"), F.lit(code).alias("code"), told.alias("command"))) for i, (code, holds, told) in enumerate(rules))))
+    rows = state.select("path", F.explode(made).alias("x"))
+    return rows.select("path", "x.ord", "x.code", F.lit("").alias("citation_key"), *acted(F.col("x.code")), "x.command")
+
+
+def download_actions(items: DataFrame, source_dir: str, asked: list[str] | None = None, live: bool = False) -> DataFrame:
+    """One action for each lockfile of which a download plan has an address, until it was run. items: lock, url."""
+    held = items.groupBy("lock").agg(F.bool_or(present(F.col("url"))).alias("_any")).where(F.col("_any") & F.lit(not live))
+    code = F.lit("DOWNLOAD_SOURCES_LIVE")
+    return held.select("lock", code.alias("code"), F.lit("").alias("citation_key"), *acted(code), command("download-sources", "--lock", F.col("lock"), "--source-dir", source_dir, *flags(citation_key=asked or [], live=True, json=True)).alias("command"))
+
+
 def query_flags() -> list[Column]:
     """Options that say a query: title, query_id, citation_key, year, doi, arxiv_id; authors and preferred venues follow."""
     out = []

@@ -28,7 +28,7 @@ SYNCABLE = ["official_export", *K.FALLBACK_SOURCE_KINDS]
 
 
 def sync_action(bib: DataFrame, lock: DataFrame, wanted: DataFrame | None = None, add_missing: bool = True) -> DataFrame:
-    """bib: citation_key, text; lock: citation_key, status, source_kind, canonical, stored_sha -> citation_key, action, reason, text.
+    """bib: citation_key, text; lock: citation_key, status, source_kind, canonical, stored_sha -> citation_key, action, reason, text, source_kind.
 
     action is blocked, add, unchanged, replace or skipped; text is what is put in place (null: what is there stays).
     ``wanted`` (citation_key) names the entries that were asked for, those that neither table has too; without it, lock
@@ -59,7 +59,7 @@ def sync_action(bib: DataFrame, lock: DataFrame, wanted: DataFrame | None = None
     elif not add_missing:
         out = out.where(there)
     new = F.when(F.col("action").isin("add", "replace"), canonical(F.col("canonical")))
-    return out.select("citation_key", "action", "reason", new.alias("text"))
+    return out.select("citation_key", "action", "reason", new.alias("text"), "source_kind")
 
 
 def sync_issues(actions: DataFrame) -> DataFrame:

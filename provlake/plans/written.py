@@ -1,4 +1,4 @@
-"""Queries of what executors write: files of responses, bibliographies and lockfiles, read back."""
+"""Queries of what executors write: files of responses, bibliographies and lockfiles, read back; and what such plans set off."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provlake.operators import upsert
+from provlake.operators import actions, upsert
 from provlake.plans.registry import query
 from provlake.session import shared_folder, table
 from provlake.sources import loaders, sinks
@@ -51,9 +51,9 @@ SELECT name, CASE WHEN blocked THEN 'blocked' ELSE 'written' END AS status, CASE
 def written_bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synced bibliographies of all customers as files; nothing for one with a blocked entry."""
     spans, lock = customer_bibliographies(spark, sf_dir)
-    actions = upsert.sync_action(spans.select("citation_key", "text"), lock.drop("path")).join(lock.select("citation_key", "path"), "citation_key")
+    acts = upsert.sync_action(spans.select("citation_key", "text"), lock.drop("path")).join(lock.select("citation_key", "path"), "citation_key")
     folder = fresh(spark, "bibliographies")
-    done = sinks.write_files(sinks.synced(upsert.synced_text(spans, actions)), folder)
+    done = sinks.write_files(sinks.synced(upsert.synced_text(spans, acts)), folder)
     there = spark.read.format("binaryFile").option("pathGlobFilter", "*.bib").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.sha2("content", 256).alias("found"))
     return done.select("name", "status", F.col("sha256").alias("told")).join(there, "name", "left")
 
@@ -71,3 +71,33 @@ def written_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "project string, entries array<struct<citation_key:string,status:string>>"
     files = spark.read.schema(kind).json(folder, multiLine=True, pathGlobFilter="*.lock.json")
     return files.select("project", F.posexplode("entries").alias("pos", "e")).select("project", "pos", "e.*")
+
+
+@query(
+    """WITH a AS (SELECT 'c''' || o_custkey || '.bib' AS path, o_orderkey AS k, o_orderstatus = 'P' AS waiting, o_orderkey % 7 = 0 AS lacking, o_orderkey % 2 = 0 AS official FROM orders),
+s AS (SELECT path, bool_or(waiting OR lacking) AS blocked, count(*) FILTER (WHERE k % 2 = 1) AS changes, string_agg(CASE WHEN lacking AND NOT waiting AND official THEN ' --citation-key o' || k END, '' ORDER BY k) AS official,
+  string_agg(CASE WHEN lacking AND NOT waiting AND NOT official THEN ' --citation-key o' || k END, '' ORDER BY k) AS manual, '''' || replace(path, '''', '''"''"''') || '''' AS q FROM a GROUP BY 1)
+SELECT path, 'WRITE_SYNCED_BIBTEX' AS code, false AS human, false AS network, 'python -m provlake sync-bibtex --bib ' || q || ' --lock ''my lock'' --output references.provlake.bib --add-missing --json' AS command FROM s WHERE NOT blocked AND changes > 0
+UNION ALL SELECT path, 'REFRESH_LOCK_CANONICAL_BIBTEX', false, true, 'python -m provlake reference-check --lock ''my lock'' --write-lock ''my lock'' --fetch-official-bibtex --live --json' || official FROM s WHERE official IS NOT NULL
+UNION ALL SELECT path, 'BACKFILL_MANUAL_CANONICAL_BIBTEX', true, false, 'python -m provlake reference-check --lock ''my lock'' --bibtex-dir REVIEWED_FALLBACK_BIBTEX_DIR --write-lock ''my lock'' --json' || manual FROM s WHERE manual IS NOT NULL"""
+)
+def sync_next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the synchronization of each customer's bibliography sets off."""
+    spans, lock = customer_bibliographies(spark, sf_dir)
+    n = F.substring("citation_key", 2, 20).cast("long")
+    lock = lock.withColumn("canonical", F.when(n % 7 != 0, F.col("canonical"))).withColumn("source_kind", F.when(n % 2 == 0, "official_export").otherwise(upsert.SYNCABLE[1]))
+    acts = upsert.sync_action(spans.select("citation_key", "text"), lock.drop("path")).join(spans.select("citation_key", F.concat(F.lit("c'"), F.substring("path", 2, 20)).alias("path"), "ord"), "citation_key")
+    a = actions.sync_actions(acts, "my lock", add_missing=True)
+    return a.select("path", "code", F.col("requires_human_review").alias("human"), F.col("network_required").alias("network"), "command")
+
+
+@query(
+    """SELECT 'c' || o_custkey || '.json' AS lock, 'DOWNLOAD_SOURCES_LIVE' AS code, true AS writes, 'python -m provlake download-sources --lock c' || o_custkey || '.json --source-dir ''my sources'' --live --json' AS command
+FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderkey % 3 = 0) > 0"""
+)
+def download_next_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The download that each customer's plan, with addresses for a third of its entries, sets off."""
+    o = table(spark, sf_dir, "orders")
+    items = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string"), F.lit(".json")).alias("lock"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("https://x/"), F.col("o_orderkey").cast("string"))).alias("url"))
+    a = actions.download_actions(items, "my sources")
+    return a.select("lock", "code", F.col("writes_files").alias("writes"), "command")
