@@ -323,16 +323,6 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path, mode="overwrite")
 
 
-def write_texts(rows: DataFrame, folder: str) -> int:
-    """Texts (name, text) as files of a local folder, on the driver; how many."""
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for n, r in enumerate(rows.toLocalIterator(), 1):
-        with open(os.path.join(folder, r["name"]), "w", encoding="utf-8") as f:
-            f.write(r["text"])
-    return n
-
-
 def sensitive_config(path: str) -> dict[str, str]:
     """Keys of a private file; they stay on the driver and never come into a table."""
     try:

@@ -33,6 +33,8 @@ STAGING = "_staging"
 MANIFEST = "name string, staged string, bytes long, sha256 string, note string"
 OUTCOME = "name string, status string, bytes long, sha256 string"
 MANIFEST_ROWS = 10_000
+#: Files that a task moves, and the greatest number of tasks.
+MOVES, MOST_TASKS = 500, 10_000
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -186,7 +188,9 @@ def publish(spark: SparkSession, folder: str, job: str, overwrite: bool = False)
                 status.append("written")
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(status, pa.string()), b.column("bytes"), b.column("sha256")], names=["name", "status", "bytes", "sha256"])
 
-    done = checkpointed(rows.repartition("name").mapInArrow(run, OUTCOME))
+    # a number of its own, as moves cost by files, and rows without payloads are too small to be dealt out by bytes
+    tasks = min(-(-rows.count() // MOVES) or 1, MOST_TASKS)
+    done = checkpointed(rows.repartition(tasks, "name").mapInArrow(run, OUTCOME))
     removed(source)
     return done
 

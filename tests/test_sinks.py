@@ -9,6 +9,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from provlake.operators import actions
 from provlake.sources import fetch, loaders, sinks
 
 FILES = "name string, payload binary, note string, bytes string"
@@ -131,3 +132,26 @@ def test_lockfiles_and_responses_read_back(spark, tmp_path):
     sinks.write_files(sinks.responses(records), str(tmp_path / "cache"))
     got = {(r["source"], r["url"]): r["body_sha256"] for r in loaders.cache_files(spark, str(tmp_path / "cache")).collect()}
     assert got == {("acl", "https://x.org/a?b"): hashlib.sha256("new é".encode()).hexdigest(), ("iclr", "u"): hashlib.sha256(b"z").hexdigest()}
+
+
+def test_what_a_synchronization_sets_off(spark):
+    kind = "path string, ord long, citation_key string, action string, reason string, source_kind string"
+    lacking = "canonical_bibtex_text_missing"
+    rows = [("a b.bib", 0, "k", "replace", "current_bibtex_differs_from_lock_canonical", "official_export"), ("same.bib", 0, "k", "unchanged", "already_synced", "official_export")]
+    rows += [("c.bib", 2, "z", "blocked", lacking, "official_export"), ("c.bib", 1, "y y", "blocked", lacking, "official_export"), ("c.bib", 0, "m", "blocked", lacking, None), ("c.bib", 3, "n", "add", "missing_from_bib", "official_export")]
+    table = spark.createDataFrame(rows, kind)
+    got = [(r["path"], r["code"], r["command"]) for r in actions.sync_actions(table, "l.json", asked=["k"]).orderBy("path", "ord").collect()]
+    assert got == [
+        ("a b.bib", "WRITE_SYNCED_BIBTEX", "python -m provlake sync-bibtex --bib 'a b.bib' --lock l.json --output references.provlake.bib --json --citation-key k"),
+        ("c.bib", "REFRESH_LOCK_CANONICAL_BIBTEX", "python -m provlake reference-check --lock l.json --write-lock l.json --fetch-official-bibtex --live --json --citation-key 'y y' --citation-key z"),
+        ("c.bib", "BACKFILL_MANUAL_CANONICAL_BIBTEX", "python -m provlake reference-check --lock l.json --bibtex-dir REVIEWED_FALLBACK_BIBTEX_DIR --write-lock l.json --json --citation-key m"),
+    ]
+    assert {r["path"] for r in actions.sync_actions(table, "l.json", wrote=True).collect()} == {"c.bib"}
+    assert actions.sync_actions(table.limit(0), "l.json").count() == 0
+
+
+def test_what_a_download_plan_sets_off(spark):
+    items = spark.createDataFrame([("a", "u"), ("a", None), ("b", None), ("c", "")], "lock string, url string")
+    got = [(r["lock"], r["command"]) for r in actions.download_actions(items, "s", ["k"]).collect()]
+    assert got == [("a", "python -m provlake download-sources --lock a --source-dir s --citation-key k --live --json")]
+    assert actions.download_actions(items, "s", live=True).count() == 0
