@@ -295,12 +295,12 @@ def cache_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("source", "url", F.col("body_sha256").alias("sha"))
 
 
-def cache_files(spark: SparkSession, root: str) -> DataFrame:
-    """source, url, body_sha256, path of responses kept as JSON files, one each, in folders by source; none if there is no folder."""
+def cache_files(spark: SparkSession, root: str, files: str = "*/*.json") -> DataFrame:
+    """source, url, body_sha256, path of responses kept as JSON files, one each, in folders by source (or as ``files`` says); none if there is no folder."""
     kind = "source string, url string, body_sha256 string"
-    if not exists(spark, f"{root}/*/*.json"):
+    if not exists(spark, f"{root}/{files}"):
         return spark.createDataFrame([], kind + ", path string")
-    return spark.read.schema(kind).json(f"{root}/*/*.json", multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
+    return spark.read.schema(kind).json(f"{root}/{files}", multiLine=True).select("*", F.col("_metadata.file_path").alias("path"))
 
 
 def cached(cache: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -249,7 +249,13 @@ def lockfiles(lock: DataFrame, name: Column, generated_at: str | None = None) ->
 
 
 def responses(records: DataFrame) -> DataFrame:
-    """Files of cached responses (source, url, status, body, fetched_at), a folder a source; of one address the latest."""
-    last = records.groupBy("source", "url").agg(F.max_by(F.struct("status", "body", "fetched_at"), F.struct(F.col("fetched_at").isNotNull().alias("_has"), "fetched_at")).alias("r")).select("source", "url", "r.*")
+    """Files of cached responses (source, url, status, body, fetched_at), a folder a source; of one address the latest.
+
+    With a column ``cache`` a response is one of that cache, a folder above the sources' folders. Of responses fetched at
+    one time that with the greatest status and body counts, so that a run that is repeated writes the same.
+    """
+    at = ["cache"] if "cache" in records.columns else []
+    latest = F.struct(F.col("fetched_at").isNotNull().alias("_has"), "fetched_at", "status", "body")
+    last = records.groupBy(*at, "source", "url").agg(F.max_by(F.struct("status", "body", "fetched_at"), latest).alias("r")).select(*at, "source", "url", "r.*")
     body = F.struct("source", "url", "status", F.create_map().cast("map<string,string>").alias("headers"), "body", "fetched_at", F.sha2("body", 256).alias("body_sha256"))
-    return indented(last.select(F.concat("source", F.lit("/"), cache_key(F.col("url"))).alias("name"), F.to_json(body, {"ignoreNullFields": "false"}).alias("record")), "record")
+    return indented(last.select(F.concat_ws("/", *at, "source", cache_key(F.col("url"))).alias("name"), F.to_json(body, {"ignoreNullFields": "false"}).alias("record")), "record")
