@@ -9,13 +9,13 @@ hash of its words.
    on the spot, so a band that a third of all texts share has one entry a batch, not one a text
 3. candidate pairs join each item to its band's least item. A hub's members are dealt in salted blocks, so its text goes
    to each block once and not to each pair; members are measured exactly on the texts, as they stream by
-4. where a band's items are still in several components, components that have items of like signatures (``SLACK``,
-   about five standard deviations, below the threshold) are one family. A family's items meet in blocks of
-   ``BLOCK``, each block with each, and a block pair measures exactly whatever is in different components. It puts
-   out no more links than join its components, so no link is lost to the star shape of step 3, and no group puts
-   out all its pairs. Items of a band with more than ``LARGE`` of them meet only where they share another band as well,
-   which two texts at the threshold do but for one pair in ten million: so a band of very many items that are not alike
-   isn't run through block by block
+4. components of items that have like signatures (``SLACK``, about five standard deviations, below the threshold) and
+   share a band are one family. Hubs have shown most of them in step 3. Where a band's items are still of several, they
+   meet in blocks of ``BLOCK``, each block with each, in bands of more than ``LARGE`` items last, when fewer are apart:
+   that is an order only, and no band's pairs are left out. The work of a band whose very many items are not alike is
+   quadratic, dealt out by pairs of blocks. A family of several components of step 3 meets in blocks as well, and a block
+   pair measures exactly whatever is in different components. It puts out no more links than join its components, so no
+   link is lost to the star shape of step 3, and no group puts out all its pairs
 
 Edge cases: null and empty texts and those of blanks only have no words, and are one class; texts of one to four
 words have one shingle; repeated rows are in their class each; a null doc_id is kept, and the least of a class only
@@ -286,27 +286,6 @@ def blocks(rows: DataFrame, payload: str) -> DataFrame:
     return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def finer(rows: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(key, id, root): items of large bands again, once for each other band that they have, under a key of both."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, ids, root = (b.column(i).to_numpy() for i in range(3))
-            own = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
-            n = np.array([len(x) for x in own], np.int64)
-            other = np.concatenate(own) if own else np.zeros(0, np.int64)
-            of = np.repeat(np.arange(len(key)), n)
-            keep = other != key[of]
-            of, other = of[keep], other[keep]
-            # the same key from either band
-            low, high = np.minimum(key[of], other), np.maximum(key[of], other)
-            both = mix(mix(low.view(np.uint64)) ^ (high.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(ids[of]), pa.array(root[of])], names=["key", "id", "root"])
-
-    bands = sketches.groupBy("id").agg(F.first("bands").alias("bands"))
-    return rows.select("key", "id", "root").join(bands, "id").select("key", "id", "root", "bands").mapInArrow(lean(split), "key long, id long, root long").distinct()
-
-
 def mixed(rows: DataFrame, least: int) -> DataFrame:
     """key, n of those whose items, ``least`` or more, are of several components."""
     return rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("n")).where(f"_a <> _b and n >= {least}").select("key", "n")
@@ -333,32 +312,39 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY, l
     pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     close = stored(agreeing(pairs, sigs, least), "candidates")
     good = stored(starred(close, texts, threshold), "similar")
-    forget(close)
     blobs.free_shuffles(spark)
     labels = None if good.isEmpty() else components(good)
 
-    def rooted(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("root", F.col("id")) if labels is None else rows.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    root = rooted(members.select("key", "id").distinct())
-    keys = stored(mixed(root, 3), "mixed")
-    meeting = root.join(keys.where(F.col("n") <= large).select("key"), "key").select("key", "id", "root")
-    many = keys.where(F.col("n") > large).select("key")
-    if not many.isEmpty():
-        parts = stored(finer(root.join(many, "key"), sketches), "finer")
-        meeting = meeting.unionByName(parts.join(mixed(parts, 2).select("key"), "key").select("key", "id", "root"))
-    near = stored(blocks(meeting.join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
-    blobs.free_shuffles(spark)
-    if near.isEmpty():
-        forget(members, first, texts, good, near)
-        return labels
-    families = components(near).select(F.col("id").alias("root"), F.col("root").alias("key"))
-    items = rooted(ids).join(families, "root").join(texts, "id").select("key", "id", "root", "text")
-    more = stored(blocks(items, "text").mapInArrow(lean(block_rows(by_overlap, threshold, True)), "a long, b long").distinct(), "similar")
-    blobs.free_shuffles(spark)
-    if not more.isEmpty():
-        labels = components(good.unionByName(more))
-    forget(members, first, texts, good, near, more)
+    def rooted(rows: DataFrame, known: DataFrame | None, name: str = "root") -> DataFrame:
+        return rows.withColumn(name, F.col("id")) if known is None else rows.join(known.withColumnRenamed("root", name), "id", "left").withColumn(name, F.coalesce(name, "id"))
+
+    # items that a hub has shown to be of one family needn't meet to show it
+    alike, families = close, None if close.isEmpty() else components(close)
+    made = [members, first, texts, close, good]
+    bands = members.select("key", "id").distinct()
+    keys = stored(mixed(rooted(bands, families), 3), "mixed")
+    for some in (F.col("n") <= large, F.col("n") > large):
+        if keys.where(some).isEmpty():
+            continue
+        root = rooted(bands.join(keys.where(some).select("key"), "key"), families)
+        meeting = root.join(mixed(root, 3).select("key"), "key")
+        near = stored(blocks(meeting.join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
+        blobs.free_shuffles(spark)
+        made.append(near)
+        if not near.isEmpty():
+            alike = alike.unionByName(near)
+            families = components(alike)
+    items = rooted(rooted(ids, labels), families, "key")
+    again = stored(mixed(items, 2), "mixed")
+    made += [keys, again]
+    if not again.isEmpty():
+        rows = items.join(again.select("key"), "key").join(texts, "id").select("key", "id", "root", "text")
+        more = stored(blocks(rows, "text").mapInArrow(lean(block_rows(by_overlap, threshold, True)), "a long, b long").distinct(), "similar")
+        made.append(more)
+        blobs.free_shuffles(spark)
+        if not more.isEmpty():
+            labels = components(good.unionByName(more))
+    forget(*made)
     return labels
 
 

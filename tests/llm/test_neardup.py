@@ -209,3 +209,25 @@ def test_all_repeated_paragraphs_go(spark):
     df = spark.createDataFrame([(1, line + "\nsome words of its own here"), (2, "other words of another text\n" + line)], "doc_id long, text string")
     few = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.dedup(df, least_run=0).collect()}
     assert few[1] == 0 and few[2] == len(line) and {r["n_removed"] for r in paragraph_dedup.dedup(df).collect()} == {0}
+
+
+def test_large_bands_lose_no_link_of_one_band(spark):
+    """Items that share one band only are linked, however many items the band has."""
+    rng = np.random.RandomState(6)
+    base = [f"w{x}" for x in rng.randint(0, 10**6, 60)]
+    texts = [" ".join(base), " ".join([*base[:-3], "a", "b", "c"])] + [" ".join(f"w{x}" for x in rng.randint(0, 10**6, 60)) for _ in range(4)]
+    assert 0.8 <= similarity(*map(shingle_bag, texts[:2])) < 1
+    docs = neardup.plain(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])
+    (made,) = neardup.sketch_rows(iter([batch.select(["doc_id", "row", "text"])]))
+    # the two aren't the band's least, which others are measured with
+    ids = made.column("id").to_pylist()
+    order = {i: n for n, i in enumerate(ids)}
+    new = lambda i: order[i] if order[i] > 1 else 100 + order[i]
+    key = np.array([7], np.int64).tobytes()
+    rows = [(d, r, new(i), s, key) for d, r, i, s in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), ids, made.column("sig").to_pylist(), strict=True)]
+    sketches = spark.createDataFrame(rows, "doc_id long, row long, id long, sig binary, bands binary")
+    for large in (2, 1000):
+        labels = neardup.links(docs.select("row", "text"), sketches, large=large)
+        got = {} if labels is None else {r["id"]: r["root"] for r in labels.collect()}
+        assert set(got) == {100, 101} and got[100] == got[101], large
