@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from provlake.functions.text import cache_key
-from provlake.session import checkpointed
+from provlake.session import checkpointed, dealt
 
 STAGING = "_staging"
 MANIFEST = "name string, staged string, bytes long, sha256 string, note string"
@@ -35,6 +35,8 @@ OUTCOME = "name string, status string, bytes long, sha256 string"
 MANIFEST_ROWS = 10_000
 #: Files that a task moves, and the greatest number of tasks.
 MOVES, MOST_TASKS = 500, 10_000
+#: Bytes of files that are handed on at once.
+READ_BYTES = 4 << 20
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -211,6 +213,32 @@ def write_files(files: DataFrame, folder: str, overwrite: bool = False) -> DataF
     return publish(files.sparkSession, folder, stage(files, folder), overwrite)
 
 
+def read_back(done: DataFrame, folder: str) -> DataFrame:
+    """name, content of the files of an outcome that are there, read by the tasks that hold their names.
+
+    Nothing is listed, and as many small files share a task as a task had moved; a reader of a folder has its files listed
+    by the driver and deals out a few dozen a task. A file that is gone fails the job.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, at = filesystem(folder)
+        for b in batches:
+            names: list[str] = []
+            held: list[bytes] = []
+            size = 0
+            for name in b.column(0).to_pylist():
+                with where.open_input_stream(f"{at}/{name}") as file:
+                    held.append(file.read())
+                names.append(name)
+                size += len(held[-1])
+                if size >= READ_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], names=["name", "content"])
+                    names, held, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], names=["name", "content"])
+
+    return done.where(F.col("status").isin("written", "skipped_exists")).select("name").mapInArrow(run, "name string, content binary")
+
+
 # --- what is written ----------------------------------------------------------------------------------
 
 
@@ -238,8 +266,8 @@ def indented(rows: DataFrame, column: str) -> DataFrame:
 def lockfiles(lock: DataFrame, name: Column, generated_at: str | None = None) -> DataFrame:
     """Files of lockfiles, one a project, entries by key. lock: project and an entry's columns; name: of project."""
     entry = F.to_json(F.struct(*[c for c in lock.columns if c not in ("project", "ord")]), {"ignoreNullFields": "false"})
-    # one project's lock, as one file holds it
-    whole = lock.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("citation_key", entry.alias("e")))).alias("x"))
+    # one project's lock, as one file holds it; dealt out, as the work goes by files and partitions are merged by bytes
+    whole = dealt(lock, "project").groupBy("project").agg(F.array_sort(F.collect_list(F.struct("citation_key", entry.alias("e")))).alias("x"))
     said = lambda c: F.regexp_replace(F.to_json(F.array(c.cast("string")), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
     body = F.concat(
         F.lit('{"schema_version":"lock.v1","audit_policy":{},"generated_at":'), said(F.lit(generated_at)), F.lit(',"project":'), said(F.col("project")),

@@ -155,3 +155,19 @@ def test_what_a_download_plan_sets_off(spark):
     got = [(r["lock"], r["command"]) for r in actions.download_actions(items, "s", ["k"]).collect()]
     assert got == [("a", "python -m provlake download-sources --lock a --source-dir s --citation-key k --live --json")]
     assert actions.download_actions(items, "s", live=True).count() == 0
+
+
+def test_files_are_read_back_by_the_names_that_were_written(spark, tmp_path):
+    files = spark.range(40).select(F.concat(F.lit("d/"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") != 7, F.encode(F.concat(F.lit("x"), F.col("id").cast("string")), "UTF-8")).alias("payload"), F.lit("none").alias("note"))
+    done = sinks.write_files(files, str(tmp_path / "t"))
+    there = sinks.read_back(done, str(tmp_path / "t"))
+    assert {(r["name"], bytes(r["content"])) for r in there.collect()} == {(f"d/{i}", f"x{i}".encode()) for i in range(40) if i != 7}
+    # no folder is listed, so the number of tasks goes by names and not by files
+    assert there.rdd.getNumPartitions() == done.rdd.getNumPartitions()
+
+
+def test_locks_are_dealt_out(spark):
+    """Small locks aren't merged into one task: what a task does goes by its files."""
+    lock = spark.range(64).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("project"), F.lit("k").alias("citation_key"))
+    files = sinks.lockfiles(lock, F.concat("project", F.lit(".json")))
+    assert files.select(F.spark_partition_id().alias("p")).distinct().count() > 1
