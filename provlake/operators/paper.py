@@ -96,6 +96,8 @@ def paper_audit(bibs: DataFrame, lock: DataFrame, tex: DataFrame, roots: DataFra
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
+    # read twice below: issues are short, while making them goes through all texts
+    whole = checkpointed(whole)
     # each project's claims are numbered on their own
     claim = F.concat("project", F.lit(BETWEEN), rollup.claim_id_in(F.col("message")))
     stands = whole.where(F.col("code").isin(rollup.CLAIM_REPRESENTATIVES)).select(claim.alias("_claim")).where("_claim is not null").distinct()
