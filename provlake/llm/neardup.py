@@ -10,12 +10,14 @@ hash of its words.
 3. candidate pairs join each item to its band's least item. A hub's members are dealt in salted blocks, so its text goes
    to each block once and not to each pair; members are measured exactly on the texts, as they stream by
 4. components of items that have like signatures (``SLACK``, about five standard deviations, below the threshold) and
-   share a band are one family. Hubs have shown most of them in step 3. Where a band's items are still of several, they
-   meet in blocks of ``BLOCK``, each block with each, in bands of more than ``LARGE`` items last, when fewer are apart:
-   that is an order only, and no band's pairs are left out. The work of a band whose very many items are not alike is
-   quadratic, dealt out by pairs of blocks. A family of several components of step 3 meets in blocks as well, and a block
-   pair measures exactly whatever is in different components. It puts out no more links than join its components, so no
-   link is lost to the star shape of step 3, and no group puts out all its pairs
+   share a band are one family. Hubs have shown most of them in step 3. Where a band's items are still of several, those
+   outside its largest family meet all of the band in blocks of ``BLOCK``; items of the largest one needn't meet each
+   other, so a large family with a few strangers costs as many rows as it has items for each block of strangers. Bands of
+   more than ``LARGE`` items come last, when fewer are apart: that is an order only, and no band's pairs are left out. The
+   work of a band whose very many items are not alike is quadratic, dealt out by pairs of blocks. A family of several
+   components of step 3 meets in blocks in the same way, and a block pair measures exactly whatever is in different
+   components. It puts out no more links than join its components, so no link is lost to the star shape of step 3, and no
+   group puts out all its pairs
 
 Edge cases: null and empty texts and those of blanks only have no words, and are one class; texts of one to four
 words have one shingle; repeated rows are in their class each; a null doc_id is kept, and the least of a class only
@@ -236,6 +238,9 @@ def block_rows(alike, least: float, ids_out: bool):
         side, ids, root, payload = zip(*rows, strict=True)
         side, ids, root = np.array(side), np.array(ids, np.int64), np.array(root, np.int64)
         x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: the block meets itself
+        if side[0] == 2:  # what is in its largest component needn't be compared with the same
+            own, count = np.unique(root, return_counts=True)
+            x = np.flatnonzero(root != own[count.argmax()])
         found: list[tuple[int, int]] = []
         if len(x) and len(y) and (root != root[0]).any():
             found = joining(alike(list(payload), x, y, least), x, y, root)
@@ -274,21 +279,32 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
 
 def blocks(rows: DataFrame, payload: str) -> DataFrame:
-    """(key, i, j, side, id, root, payload): an item goes to each pair of blocks of its key that has its own.
+    """(key, i, j, side, id, root, payload) of rows with what ``apart`` tells of their key.
 
-    Items of one component mostly share blocks, so most block pairs of a group that is one but for a few are skipped.
+    Blocks of items outside their key's main component meet all blocks; those of the main one meet only these, as its
+    items are together already. The items of a key that has no more than one block meet in it.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    out = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    one = F.col("n") <= BLOCK
+    outer = F.when(one, 1).otherwise(F.ceil(F.col("rest") / BLOCK))
+    inner = F.when(one, 0).otherwise(F.ceil((F.col("n") - F.col("rest")) / BLOCK))
+    out = rows.withColumn("_outer", outer.cast("int")).withColumn("_inner", inner.cast("int")).withColumn("_in", ~one & (F.col("root") == F.col("main")))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    out = out.withColumn("own", F.when(F.col("_in"), F.col("_outer") + place("_inner")).otherwise(place("_outer")))
+    last = F.when(F.col("_in"), F.col("_outer")).otherwise(F.col("_outer") + F.col("_inner")) - 1
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     out = out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "root", payload)
     return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def mixed(rows: DataFrame, least: int) -> DataFrame:
-    """key, n of those whose items, ``least`` or more, are of several components."""
-    return rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.count(F.lit(1)).alias("n")).where(f"_a <> _b and n >= {least}").select("key", "n")
+def apart(rows: DataFrame, least: int) -> DataFrame:
+    """(key, n, rest, main) of keys whose n items, ``least`` or more, are of several components.
+
+    main is one that has most of them, and rest are in others.
+    """
+    each = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    of = each.groupBy("key").agg(F.sum("c").alias("n"), F.max("c").alias("_most"), F.max_by("root", "c").alias("main"))
+    return of.where(f"_most < n and n >= {least}").select("key", "n", (F.col("n") - F.col("_most")).alias("rest"), "main")
 
 
 def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY, large: int = LARGE) -> DataFrame | None:
@@ -322,23 +338,26 @@ def links(docs: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY, l
     alike, families = close, None if close.isEmpty() else components(close)
     made = [members, first, texts, close, good]
     bands = members.select("key", "id").distinct()
-    keys = stored(mixed(rooted(bands, families), 3), "mixed")
+    keys = stored(apart(rooted(bands, families), 3), "mixed")
     for some in (F.col("n") <= large, F.col("n") > large):
-        if keys.where(some).isEmpty():
+        own = keys.where(some)
+        if own.isEmpty():
             continue
-        root = rooted(bands.join(keys.where(some).select("key"), "key"), families)
-        meeting = root.join(mixed(root, 3).select("key"), "key")
-        near = stored(blocks(meeting.join(sigs, "id"), "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
+        if alike is not close:  # families have grown since
+            own = stored(apart(rooted(bands.join(own.select("key"), "key"), families), 3), "mixed")
+            made.append(own)
+        meeting = rooted(bands.join(own, "key"), families).join(sigs, "id")
+        near = stored(blocks(meeting, "sig").mapInArrow(lean(block_rows(by_signature, least, False)), "a long, b long").distinct(), "families")
         blobs.free_shuffles(spark)
         made.append(near)
         if not near.isEmpty():
             alike = alike.unionByName(near)
             families = components(alike)
     items = rooted(rooted(ids, labels), families, "key")
-    again = stored(mixed(items, 2), "mixed")
+    again = stored(apart(items, 2), "mixed")
     made += [keys, again]
     if not again.isEmpty():
-        rows = items.join(again.select("key"), "key").join(texts, "id").select("key", "id", "root", "text")
+        rows = items.join(again, "key").join(texts, "id")
         more = stored(blocks(rows, "text").mapInArrow(lean(block_rows(by_overlap, threshold, True)), "a long, b long").distinct(), "similar")
         made.append(more)
         blobs.free_shuffles(spark)

@@ -231,3 +231,31 @@ def test_large_bands_lose_no_link_of_one_band(spark):
         labels = neardup.links(docs.select("row", "text"), sketches, large=large)
         got = {} if labels is None else {r["id"]: r["root"] for r in labels.collect()}
         assert set(got) == {100, 101} and got[100] == got[101], large
+
+
+def test_a_large_family_with_few_strangers_makes_few_rows(spark, monkeypatch):
+    """Items of a band's largest family don't meet each other again, and a band's rows are made by one join."""
+    rng = np.random.RandomState(7)
+    words = lambda n: [f"w{x}" for x in rng.randint(0, 10**6, n)]
+    base, other = words(60), words(60)
+    texts = [" ".join([*base[:-1], f"v{i}"]) for i in range(120)] + [" ".join([*other[:-1], f"v{i}"]) for i in range(2)] + [" ".join(words(60))]
+    docs = neardup.plain(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()])
+    (made,) = neardup.sketch_rows(iter([batch.select(["doc_id", "row", "text"])]))
+    key = np.array([7], np.int64).tobytes()  # one band of all, whose least item is of the large family
+    rows = [(d, r, 1000 + d, s, key) for d, r, s in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), made.column("sig").to_pylist(), strict=True)]
+    sketches = spark.createDataFrame(rows, "doc_id long, row long, id long, sig binary, bands binary")
+    sizes, joins, blocks = [], [], neardup.blocks
+
+    def counted(rows, payload):
+        out = blocks(rows, payload)
+        sizes.append(out.count())
+        joins.append(sum("Join" in x and "(key#" in x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        return out
+
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "blocks", counted)
+    got = {r["id"]: r["root"] for r in neardup.links(docs.select("row", "text"), sketches).collect()}
+    assert set(got) == set(range(1000, 1122)) and len({got[i] for i in range(1000, 1120)}) == 1 and got[1120] == got[1121] != got[1000]
+    # 120 items meet one block of three, which meets 15 blocks and itself
+    assert sizes[0] == 120 + 3 * 16 and joins == [1] * len(joins), (sizes, joins)
